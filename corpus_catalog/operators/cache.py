@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -150,8 +151,7 @@ def purge(cache: DataFrame, repos: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prompt_hash(prompt: str = C.SUMMARY_PROMPT) -> str:
-    import hashlib
-
+    """Prompt part of the cache key."""
     return hashlib.sha256(prompt.encode("utf-8")).hexdigest()[:16]
 
 
@@ -169,6 +169,7 @@ def prompt_requests(files: DataFrame) -> DataFrame:
         files.filter(~F.col("excluded"))
         .select("repo", "path", prompt.alias("prompt"))
         .withColumn("prompt_hash", X.short_hash(F.col("prompt")))
+        .withColumn("chars", F.length("prompt").cast("bigint"))
     )
 
 
@@ -176,5 +177,5 @@ def cost_estimate(requests: DataFrame) -> DataFrame:
     """Requests and estimated prompt tokens per repo."""
     return requests.groupBy("repo").agg(
         F.count(F.lit(1)).alias("requests"),
-        F.sum(X.token_estimate(F.length("prompt"))).alias("prompt_tokens"),
+        F.sum(X.token_estimate(F.col("chars"))).alias("prompt_tokens"),
     )

@@ -39,9 +39,9 @@ def manifest_defaults(manifest: DataFrame) -> DataFrame:
     )
 
 
-def builds(scan_hashes: DataFrame, modes: DataFrame, tool_version: str = C.TOOL_VERSION) -> DataFrame:
+def builds(scan_hashes: DataFrame, tool_version: str = C.TOOL_VERSION) -> DataFrame:
     """Build header per repo; its files are the manifest rows."""
-    return scan_hashes.join(modes.select("repo", "ignore_mode"), "repo").select(
+    return scan_hashes.select(
         "repo",
         F.lit(C.MANIFEST_SCHEMA_VERSION).alias("schema_version"),
         F.lit(tool_version).alias("tool_version"),

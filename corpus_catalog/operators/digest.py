@@ -59,6 +59,23 @@ def scan_hash(files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
     )
 
 
+def scan_hash_of(repos: DataFrame, files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+    """Digest of every given ``(repo, ignore_mode)``, also of those without files."""
+    found = files.select("repo", "path", "source_hash").join(
+        repos.select("repo", "ignore_mode"), "repo"
+    )
+    return (
+        repos.select("repo", "ignore_mode")
+        .join(scan_hash(found, limit), "repo", "left")
+        .select(
+            "repo",
+            "ignore_mode",
+            F.coalesce("files", F.lit(0)).alias("files"),
+            F.coalesce("scan_hash", X.short_hash(F.lit("[]"))).alias("scan_hash"),
+        )
+    )
+
+
 def corpus_fingerprint(files: DataFrame) -> DataFrame:
     """One order-free fingerprint of a whole corpus, from partial aggregates."""
     return files.agg(

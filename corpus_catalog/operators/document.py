@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
-from corpus_catalog.operators.digest import scan_hash
+from corpus_catalog.operators.digest import scan_hash_of
 from corpus_catalog.operators.ordering import assemble
 from corpus_catalog.operators.rank import scored
 from corpus_catalog.operators.tree import tree_lines
@@ -86,19 +86,16 @@ def file_block(title: Column, entry: bool) -> Column:
 
 
 def totals(rows: DataFrame, modes: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
-    """Per repo: file counts, cache hits, mode and digest."""
+    """File counts, cache hits, mode and digest of every repo in ``modes``."""
     counts = rows.groupBy("repo").agg(
         F.count_if("is_key").alias("n_key"),
         F.count_if(~F.col("is_key")).alias("n_other"),
         F.count_if("cache_hit").alias("hits"),
     )
-    with_mode = rows.select("repo", "path", "source_hash").join(
-        modes.select("repo", "ignore_mode"), "repo"
-    )
     return (
-        counts.join(scan_hash(with_mode, limit), "repo")
-        .join(modes.select("repo", "ignore_mode"), "repo")
-        .select("repo", "files", "n_key", "n_other", "hits", "ignore_mode", "scan_hash")
+        scan_hash_of(modes, rows, limit)
+        .join(counts, "repo", "left")
+        .na.fill(0, ["n_key", "n_other", "hits"])
     )
 
 
@@ -131,6 +128,7 @@ def document_lines(rows: DataFrame, per_repo: DataFrame, escape_cells: bool = Fa
     is_key = F.col("is_key")
     frame = {
         0: header,
+        1: F.when(F.col("files") == 0, F.lit("")),
         2: after_tree,
         4: F.when(n_other, F.lit(table_head)),
         6: F.when(n_other, F.lit("")),
@@ -171,7 +169,7 @@ def documents(
     """``(repo, part, content, scan_hash, files, hits)``; Markdown.
 
     ``summaries`` is a stored table with is_priority and cache_hit; it is read
-    several times.
+    several times.  ``modes`` lists the repos to document.
     """
     rows = scored(summaries)
     per_repo = totals(rows, modes, limit)

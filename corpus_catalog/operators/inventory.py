@@ -41,7 +41,7 @@ def scan_modes(repos: DataFrame, tracked: DataFrame, files: DataFrame) -> DataFr
         .join(present, "repo", "left")
         .select("repo", "vcs", "vcs_tool", flagged, F.coalesce("listed", F.lit(False)).alias("listed"))
         .withColumn("ignore_mode", mode)
-        .select("repo", "ignore_mode", warning.alias("warning"))
+        .select("repo", "ignore_mode", "present", warning.alias("warning"))
     )
 
 

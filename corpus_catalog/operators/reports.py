@@ -62,11 +62,13 @@ def change_report(
     summaries: DataFrame | None = None,
     limit: int = C.PART_ROWS,
 ) -> DataFrame:
-    """``(repo, part, content)`` for repos with changes.
+    """``(repo, part, content)`` for repos with a baseline and changes.
 
-    ``headers`` has repo, previous_hash, scan_hash and ignore_mode; ``changes``
-    is a stored table, it is read several times.
+    ``headers`` has repo, previous_hash, scan_hash and ignore_mode, one row per
+    repo that can be compared; ``changes`` is a stored table, it is read
+    several times.
     """
+    changes = changes.join(headers.select("repo"), "repo", "left_semi")
     counts = change_counts(changes)
     per_repo = headers.join(counts, "repo")
     title = F.concat(

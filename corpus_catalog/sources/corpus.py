@@ -133,14 +133,15 @@ def files_v2(docs: DataFrame) -> DataFrame:
 # --- side tables ------------------------------------------------------------
 
 
-def _repo_number() -> Column:
-    return F.substring("repo", 4, 9).cast("int")
+def repo_number() -> Column:
+    """Number of a repo; null for repos that do not exist."""
+    return F.substring("repo", 4, 9).try_cast("int")
 
 
 def repos(docs: DataFrame) -> DataFrame:
     """Requested repos: version-control flag, tool flag; some do not exist."""
     known = docs.select(F.col("source").alias("repo")).distinct()
-    n = _repo_number()
+    n = repo_number()
     known = known.select(
         "repo",
         ((n % 2 == 0) | (n % 10 == 7)).alias("vcs"),
@@ -155,7 +156,7 @@ def repos(docs: DataFrame) -> DataFrame:
 def tracked(docs: DataFrame) -> DataFrame:
     """Tracked paths of the repos under version control."""
     rows = files_v1(docs).select("repo", "path", "doc_id")
-    return rows.filter((F.col("doc_id") % 29 != 0) & (_repo_number() % 2 == 0)).select(
+    return rows.filter((F.col("doc_id") % 29 != 0) & (repo_number() % 2 == 0)).select(
         "repo", "path"
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from corpus_catalog import config as C
+from corpus_catalog.schemas import CACHE
 
 _local_dirs: dict[str, str] = {}
 
@@ -116,3 +117,16 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.select(
         "repo", "part", F.regexp_replace("content", r"\n\z", "").alias("content")
     ).write.mode("overwrite").partitionBy("repo", "part").text(path)
+
+
+# --- cache entries as JSON ------------------------------------------------------
+
+
+def parse_cache(lines: DataFrame) -> DataFrame:
+    """Cache rows from JSON ``value`` strings; a corrupt entry counts as absent."""
+    entry = F.from_json("value", CACHE, {"mode": "PERMISSIVE"})
+    return (
+        lines.select(entry.alias("entry"))
+        .select("entry.*")
+        .filter(F.col("path").isNotNull() & F.col("approx_tokens").isNotNull())
+    )

@@ -10,7 +10,6 @@ own delta and changes nothing else.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -120,8 +119,14 @@ class Watch:
 
     # --- state ---------------------------------------------------------------
 
-    def state(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """Newest row per path, deletions included, of all batches below ``before``."""
+    def state(
+        self, spark: SparkSession, before: int | None = None, within: DataFrame | None = None
+    ) -> DataFrame:
+        """Newest row per path, deletions included, of all batches below ``before``.
+
+        ``within`` holds the repos or paths of interest; others are dropped
+        before anything is shuffled.
+        """
         bases = tables.snapshots(spark, self.bases, before)
         since = bases[-1] if bases else -1
         numbers = [n for n in tables.snapshots(spark, self.deltas, before) if n > since]
@@ -130,37 +135,45 @@ class Watch:
             paths.append(tables.snapshot_path(self.bases, since))
         if not paths:
             return spark.createDataFrame([], STATE)
-        return K.latest(spark.read.schema(STATE).parquet(*paths), VERSION_ORDER)
+        rows = spark.read.schema(STATE).parquet(*paths)
+        if within is not None:
+            rows = rows.join(within, within.columns, "left_semi")
+        return K.latest(rows, VERSION_ORDER)
 
-    def files(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        return self.state(spark, before).filter(~F.col("deleted"))
+    def files(
+        self, spark: SparkSession, before: int | None = None, within: DataFrame | None = None
+    ) -> DataFrame:
+        return self.state(spark, before, within).filter(~F.col("deleted"))
 
     def latest_documents(self, spark: SparkSession) -> DataFrame:
         """Newest document of every repo that still has files."""
         numbers = tables.snapshots(spark, self.documents)
-        written = [
-            tables.read(spark, tables.snapshot_path(self.documents, n), DOCUMENTS).withColumn(
-                "batch", F.lit(n)
-            )
-            for n in numbers
-        ]
-        if not written:
+        if not numbers:
             return spark.createDataFrame([], DOCUMENTS)
-        every = reduce(DataFrame.unionByName, written)
-        newest = every.groupBy("repo").agg(F.max("batch").alias("batch"))
+        every = (
+            spark.read.schema(T.StructType([*DOCUMENTS.fields, T.StructField("snapshot", T.LongType())]))
+            .option("basePath", self.documents)
+            .parquet(*[tables.snapshot_path(self.documents, n) for n in numbers])
+        )
+        newest = every.groupBy("repo").agg(F.max("snapshot").alias("snapshot"))
         alive = self.files(spark).select("repo").distinct()
-        return every.join(newest, ["repo", "batch"], "left_semi").join(alive, "repo", "left_semi")
+        return (
+            every.join(newest, ["repo", "snapshot"], "left_semi")
+            .join(alive, "repo", "left_semi")
+            .drop("snapshot")
+        )
 
     # --- one micro-batch -------------------------------------------------------
 
     def _changes(self, batch: DataFrame, number: int) -> DataFrame:
         """Versions of this batch that are newer than the state, with the known summary."""
-        known = self.state(batch.sparkSession, before=number).select(
+        newest = tables.materialize(K.latest(version_keys(batch), VERSION_ORDER), "newest")
+        paths = tables.small(newest.select("repo", "path"), newest.count(), self.broadcast_rows)
+        known = self.state(batch.sparkSession, before=number, within=paths).select(
             "repo",
             "path",
             *[F.col(c).alias(f"known_{c}") for c in ["ts", "deleted", "source_hash", "summary"]],
         )
-        newest = K.latest(version_keys(batch), VERSION_ORDER)
         mine = F.struct(*VERSION_ORDER)
         theirs = F.struct(*[F.col(f"known_{c}") for c in VERSION_ORDER])
         same = F.col("source_hash").eqNullSafe(F.col("known_source_hash"))
@@ -201,8 +214,7 @@ class Watch:
 
         touched = tables.read_snapshot(spark, self.deltas, STATE, number).select("repo").distinct()
         rows = (
-            self.files(spark, before=number + 1)
-            .join(touched, "repo", "left_semi")
+            self.files(spark, before=number + 1, within=touched)
             .withColumn("is_priority", X.is_priority_name(F.col("path")))
         )
         rows = tables.materialize(rows, "touched")
