@@ -23,6 +23,8 @@ from corpus_catalog.schemas import PARSED
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+# Fields that hold nested statements; expressions never do, so they are not visited.
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
 
 
 def _compares_name(test: ast.expr) -> bool:
@@ -52,7 +54,8 @@ def parse_source(text: str | None) -> dict | None:
     level = deque([module])
     while level:
         node = level.popleft()
-        level.extend(ast.iter_child_nodes(node))
+        for block in _BLOCKS:
+            level.extend(getattr(node, block, ()))
         match node:
             case ast.Import(names=names):
                 imports.update(alias.name.partition(".")[0] for alias in names)

@@ -12,7 +12,13 @@ KINDS = ["modified", "added", "deleted", "renamed"]
 
 
 def hashes(files: DataFrame) -> DataFrame:
-    """``(repo, path, source_hash)`` of the readable files; contents go no further."""
+    """``(repo, path, source_hash)`` of the readable files; contents go no further.
+
+    A table that already carries the hash is not read for its contents.
+    """
+    if "source_hash" in files.columns:
+        found = F.col("source_hash")
+        return files.filter(found.isNotNull()).select("repo", "path", "source_hash")
     return files.filter(F.col("content").isNotNull()).select(
         "repo", "path", X.source_hash(F.col("content")).alias("source_hash")
     )

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
 from corpus_catalog.functions.json_text import json_string
-from corpus_catalog.operators.ordering import hot_groups, split_hot
+from corpus_catalog.operators.ordering import UNKNOWN, hot_groups, split_hot
 from corpus_catalog.sources.tables import small
 
 _ENTRIES = "concat('[', listagg(entry, ', ') within group (order by path, source_hash), ']')"
 
 
-def scan_hash(files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+def scan_hash(files: DataFrame, limit: int = C.PART_ROWS, hot=UNKNOWN) -> DataFrame:
     """``(repo, ignore_mode, path, source_hash)`` to ``(repo, files, scan_hash)``.
 
     The digest of a repo is the SHA-256 of the JSON list of its sorted
@@ -42,7 +42,8 @@ def scan_hash(files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
             F.count(F.lit(1)).alias("files"), X.short_hash(F.expr(_ENTRIES)).alias("scan_hash")
         )
 
-    hot = hot_groups(files.select("repo"), ["repo"], limit)
+    if hot is UNKNOWN:
+        hot = hot_groups(files.select("repo"), ["repo"], limit)
     if hot is None:
         return flat(entries)
     cool_rows, hot_rows = split_hot(entries, ["repo"], hot)
@@ -59,14 +60,18 @@ def scan_hash(files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
     )
 
 
-def scan_hash_of(repos: DataFrame, files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+def scan_hash_of(
+    repos: DataFrame, files: DataFrame, limit: int = C.PART_ROWS, hot=UNKNOWN
+) -> DataFrame:
     """Digest of every given ``(repo, ignore_mode)``, also of those without files."""
+    if hot is UNKNOWN:
+        hot = hot_groups(files.select("repo"), ["repo"], limit)
     found = files.select("repo", "path", "source_hash").join(
         repos.select("repo", "ignore_mode"), "repo"
     )
     return (
         repos.select("repo", "ignore_mode")
-        .join(scan_hash(found, limit), "repo", "left")
+        .join(scan_hash(found, limit, hot), "repo", "left")
         .select(
             "repo",
             "ignore_mode",

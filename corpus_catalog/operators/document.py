@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
 from corpus_catalog.operators.digest import scan_hash_of
-from corpus_catalog.operators.ordering import assemble
+from corpus_catalog.operators.ordering import assemble, hot_groups
 from corpus_catalog.operators.rank import scored
 from corpus_catalog.operators.tree import tree_lines
 
@@ -85,7 +85,7 @@ def file_block(title: Column, entry: bool) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def totals(rows: DataFrame, modes: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+def totals(rows: DataFrame, modes: DataFrame, limit: int, hot) -> DataFrame:
     """File counts, cache hits, mode and digest of every repo in ``modes``."""
     counts = rows.groupBy("repo").agg(
         F.count_if("is_key").alias("n_key"),
@@ -93,7 +93,7 @@ def totals(rows: DataFrame, modes: DataFrame, limit: int = C.PART_ROWS) -> DataF
         F.count_if("cache_hit").alias("hits"),
     )
     return (
-        scan_hash_of(modes, rows, limit)
+        scan_hash_of(modes, rows, limit, hot)
         .join(counts, "repo", "left")
         .na.fill(0, ["n_key", "n_other", "hits"])
     )
@@ -172,9 +172,10 @@ def documents(
     several times.  ``modes`` lists the repos to document.
     """
     rows = scored(summaries)
-    per_repo = totals(rows, modes, limit)
+    hot = hot_groups(rows.select("repo"), ["repo"], limit)
+    per_repo = totals(rows, modes, limit, hot)
     lines = document_lines(rows, per_repo, escape_cells)
-    content = assemble(lines, ["repo"], ORDER, limit=limit, keys=rows.select("repo"))
+    content = assemble(lines, ["repo"], ORDER, limit=limit, hot=hot)
     return content.join(per_repo.select("repo", "scan_hash", "files", "hits"), "repo")
 
 
@@ -184,7 +185,8 @@ def documents_json(summaries: DataFrame, modes: DataFrame, limit: int = C.PART_R
     Pieces are assembled like the lines of the Markdown form.
     """
     rows = scored(summaries)
-    per_repo = totals(rows, modes, limit)
+    hot = hot_groups(rows.select("repo"), ["repo"], limit)
+    per_repo = totals(rows, modes, limit, hot)
     first = rows.groupBy("repo").agg(
         F.min(F.when(F.col("is_key"), F.struct(-F.col("score"), "path")))["path"].alias("first_key"),
         F.min(F.when(~F.col("is_key"), F.col("path"))).alias("first_other"),
@@ -234,4 +236,4 @@ def documents_json(summaries: DataFrame, modes: DataFrame, limit: int = C.PART_R
             ),
         ]
     )
-    return assemble(pieces, ["repo"], ORDER, separator="", limit=limit, keys=rows.select("repo"))
+    return assemble(pieces, ["repo"], ORDER, separator="", limit=limit, hot=hot)

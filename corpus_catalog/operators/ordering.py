@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corpus_catalog import config as C
 from corpus_catalog.sources.tables import materialize, small
 
+# Largest groups not known yet; see ``hot_groups``.
+UNKNOWN = object()
+
 _SEPARATORS = {"\n": "chr(10)", ", ": "', '", "": "''"}
 
 
@@ -62,14 +65,15 @@ def row_numbers(
     group: list[str],
     order: list,
     limit: int = C.PART_ROWS,
-    keys: DataFrame | None = None,
+    hot=UNKNOWN,
 ) -> DataFrame:
     """Add ``row_no`` (bigint, from 1) within each group.
 
-    ``keys`` is a cheaper frame to take the group sizes from, if there is one.
+    ``hot`` is the result of ``hot_groups`` if the caller has it.
     """
     single = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
-    hot = hot_groups(df if keys is None else keys, group, limit)
+    if hot is UNKNOWN:
+        hot = hot_groups(df, group, limit)
     if hot is None:
         return df.withColumn("row_no", single)
     cool_rows, hot_rows = split_hot(df, group, hot)
@@ -82,7 +86,7 @@ def assemble(
     order: list[str],
     separator: str = "\n",
     limit: int = C.PART_ROWS,
-    keys: DataFrame | None = None,
+    hot=UNKNOWN,
 ) -> DataFrame:
     """Join the ``text`` of each group's rows in order: ``(group, part, content)``.
 
@@ -92,15 +96,14 @@ def assemble(
     joined = F.expr(
         f"listagg(text, {_SEPARATORS[separator]}) within group (order by {', '.join(order)})"
     )
-    hot = hot_groups(rows if keys is None else keys, group, limit)
+    if hot is UNKNOWN:
+        hot = hot_groups(rows, group, limit)
     if hot is None:
         whole = rows.groupBy(*group).agg(joined.alias("content"))
         return whole.select(*group, F.lit(0).cast("bigint").alias("part"), "content")
     cool_rows, hot_rows = split_hot(rows, group, hot)
     part = F.floor((F.col("row_no") - 1) / limit).cast("bigint")
-    parts = (
-        _numbered(hot_rows, group, order)
-        .withColumn("part", part)
-        .unionByName(cool_rows.withColumns({"row_no": F.lit(1).cast("bigint"), "part": F.lit(0).cast("bigint")}))
-    )
+    zero = F.lit(0).cast("bigint")
+    numbered = _numbered(hot_rows, group, order).withColumn("part", part).drop("row_no")
+    parts = numbered.unionByName(cool_rows.withColumn("part", zero))
     return parts.groupBy(*group, "part").agg(joined.alias("content"))

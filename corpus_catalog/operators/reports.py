@@ -14,7 +14,7 @@ from corpus_catalog.operators.document import (
     line,
     union_lines,
 )
-from corpus_catalog.operators.ordering import assemble
+from corpus_catalog.operators.ordering import assemble, hot_groups
 from corpus_catalog.operators.summarize import missing_defaults
 
 # Section order of each report.
@@ -106,4 +106,5 @@ def change_report(
             entries.select(*line(section, F.col("text"), key=key)),
         ]
     )
-    return assemble(lines, ["repo"], ORDER, limit=limit, keys=changes.select("repo"))
+    hot = hot_groups(changes.select("repo"), ["repo"], limit)
+    return assemble(lines, ["repo"], ORDER, limit=limit, hot=hot)

@@ -40,14 +40,15 @@ def gate(files: DataFrame, strict_keys: bool = False) -> DataFrame:
     """
     if "read_error" not in files.columns:
         files = files.withColumn("read_error", F.lit(None).cast("string"))
+    if "source_hash" not in files.columns:
+        files = files.withColumn("source_hash", X.source_hash(F.col("content")))
     content, reason = F.col("content"), F.col("exclusion_reason")
     readable = reason.isNull() | (reason == TOO_LARGE)
     lossy = F.when(reason.isNull(), X.is_lossy(content)).otherwise(
         F.coalesce(reason == TOO_LARGE, F.lit(False))
     )
     return (
-        files.withColumn("source_hash", X.source_hash(content))
-        .withColumn(
+        files.withColumn(
             "exclusion_reason", exclusion_reason(content, F.col("read_error"), strict_keys)
         )
         .withColumn("excluded", reason.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
-from corpus_catalog.operators.ordering import assemble
+from corpus_catalog.operators.ordering import assemble, hot_groups
 
 
 def _directories(files: DataFrame) -> DataFrame:
@@ -92,6 +92,5 @@ def tree_lines(files: DataFrame, mark_top_files: bool = True) -> DataFrame:
 
 def directory_tree(files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
     """``(repo, part, content)``; repos above ``limit`` files come in parts."""
-    return assemble(
-        tree_lines(files), ["repo"], ["key"], limit=limit, keys=files.select("repo")
-    )
+    hot = hot_groups(files.select("repo"), ["repo"], limit)
+    return assemble(tree_lines(files), ["repo"], ["key"], limit=limit, hot=hot)

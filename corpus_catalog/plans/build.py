@@ -22,47 +22,65 @@ class Build:
     cache: DataFrame  # the new cache
 
 
-def contents_of(files: DataFrame, wanted: DataFrame, rows: int, limit: int) -> DataFrame | None:
-    """Files listed in ``wanted`` if that can be had without shuffling contents."""
+def contents_of(
+    files: DataFrame, wanted: DataFrame, rows: int, limit: int = C.BROADCAST_ROWS
+) -> DataFrame:
+    """Files listed in ``wanted``, without ever shuffling contents.
+
+    A counted, small list is broadcast to the files.  Beyond that all files are
+    returned: handling them where they lie and joining the small results costs
+    less than moving the contents.
+    """
     if rows > limit:
-        return None
+        return files
     return files.join(F.broadcast(wanted.select("repo", "path")), ["repo", "path"], "left_semi")
 
 
 def fill(
     files: DataFrame,
     inventory: DataFrame,
-    cache: DataFrame,
+    cache: DataFrame | None,
     key: K.CacheKey,
     broadcast_rows: int = C.BROADCAST_ROWS,
 ) -> DataFrame:
     """Packed summaries of all inventory files: hits from the cache, misses computed.
 
-    The lookup moves hashes only and is stored.  Contents are never shuffled:
-    a counted, small set of misses is broadcast to the files; otherwise the
-    files are summarised where they lie and the small summaries are joined.
+    Without a cache the contents are read once.  With one, the lookup moves
+    hashes only, and then the contents of the misses are read.
     """
-    present = D.build_inputs(inventory, D.hashes(files))
-    found = materialize(K.lookup(present, cache, key), "lookup")
-    misses = found.filter(~F.col("cache_hit")).drop("summary", "approx_tokens", "source_hash")
+    inventory = materialize(inventory, "inventory")
+    listed = contents_of(files, inventory, inventory.count(), broadcast_rows)
+    if cache is None:
+        return inventory.withColumns(
+            {"cache_hit": F.lit(False), "staleness_reason": F.lit("not_cached")}
+        ).join(packed(summarize(listed)), ["repo", "path"])
+    present = D.build_inputs(inventory, D.hashes(listed))
+    found = materialize(
+        K.lookup(present, cache, key).drop("is_stale", "approx_tokens"), "lookup"
+    )
+    hits, misses = found.filter("cache_hit"), found.filter(~F.col("cache_hit"))
     n_misses = misses.count()
-    hits = found.filter("cache_hit").drop("approx_tokens")
     if n_misses == 0:
         return hits
-    picked = contents_of(files, misses, n_misses, broadcast_rows)
-    fresh = packed(summarize(files if picked is None else picked))
+    fresh = packed(summarize(contents_of(listed, misses, n_misses, broadcast_rows)))
+    misses = misses.drop("source_hash", "summary")
     return hits.unionByName(misses.join(fresh, ["repo", "path"]))
 
 
 def build(
-    files: DataFrame, inventory: DataFrame, cache: DataFrame, key: K.CacheKey, built_at: Column
+    files: DataFrame,
+    inventory: DataFrame,
+    cache: DataFrame | None,
+    key: K.CacheKey,
+    built_at: Column,
 ) -> Build:
     filled = materialize(fill(files, inventory, cache, key), "summaries")
     fresh = filled.filter(~F.col("cache_hit")).select("repo", "path", "source_hash", "summary")
+    new = K.entries(fresh, key, built_at)
     return Build(
         summaries=filled,
         manifest=filled.select("repo", "path", "source_hash"),
-        cache=K.upsert(cache, K.entries(fresh, key, built_at)),
+        cache=new if cache is None else K.upsert(cache, new),
     )
 
 
@@ -70,9 +88,3 @@ def context_documents(built: Build, modes: DataFrame, limit: int = C.PART_ROWS)
     """Markdown documents with their token estimate and warnings."""
     parts = documents(unpacked(built.summaries), modes, limit)
     return parts.join(token_budget(parts), "repo")
-
-
-def empty_cache(files: DataFrame) -> DataFrame:
-    from corpus_catalog.schemas import CACHE
-
-    return files.sparkSession.createDataFrame([], CACHE)

@@ -53,17 +53,26 @@ class Tables:
     def docs(self) -> DataFrame:
         return corpus.documents(self.spark, self.sf_dir)
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents for work on whole texts."""
+        return tables.spread(self.docs, "doc_id")
+
     @cached_property
     def files1(self) -> DataFrame:
-        return corpus.files_v1(self.docs)
+        return corpus.files_v1(self.texts)
 
     @cached_property
     def files2(self) -> DataFrame:
-        return corpus.files_v2(self.docs)
+        return corpus.files_v2(self.texts)
 
     @cached_property
     def paths1(self) -> DataFrame:
-        return self.files1.select("repo", "path")
+        return corpus.files_v1(self.docs).select("repo", "path")
+
+    @cached_property
+    def paths2(self) -> DataFrame:
+        return corpus.files_v2(self.docs).select("repo", "path")
 
     @cached_property
     def pages(self) -> DataFrame:
@@ -105,12 +114,12 @@ class Tables:
 
     @cached_property
     def inventory1(self) -> DataFrame:
-        return self.scan(self.files1, corpus.tracked(self.docs))
+        return self.scan(self.paths1, corpus.tracked(self.docs))
 
     @cached_property
     def inventory2(self) -> DataFrame:
         """Second scan; version control lists every file."""
-        return self.scan(self.files2, self.files2.select("repo", "path"))
+        return self.scan(self.paths2, self.paths2)
 
     # --- hashes and summaries -------------------------------------------------
 
@@ -149,7 +158,7 @@ class Tables:
     @cached_property
     def build1(self) -> B.Build:
         """Cold build of the scanned first snapshot."""
-        return self._build(self.files1, self.inventory1, B.empty_cache(self.docs), FIRST_BUILD)
+        return self._build(self.files1, self.inventory1, None, FIRST_BUILD)
 
     @cached_property
     def build2(self) -> B.Build:
@@ -189,43 +198,37 @@ class Tables:
 
     # --- streams -----------------------------------------------------------------
 
-    def land_versions(self) -> str:
-        """File versions as separate Parquet writes: first snapshot, differences, repeats."""
-        landing = tables.new_path(self.spark, "landing")
+    def versions(self) -> list[DataFrame]:
+        """File versions in order of arrival.
+
+        The first snapshot, what differs in the second, and both again: repeats,
+        of which the first snapshot's are also late.
+        """
         day1, day2 = F.lit(FIRST_BUILD).cast("timestamp"), F.lit(SECOND_BUILD).cast("timestamp")
-        columns = ["repo", "path", "content", "deleted", "ts"]
-        first = self.files1.select(
-            "repo", "path", "content", F.lit(False).alias("deleted"), day1.alias("ts")
-        )
+        kept = F.lit(False).alias("deleted")
+        first = self.files1.select("repo", "path", "content", kept, day1.alias("ts"))
         delta = D.diff(self.hashes1, self.hashes2)
-        written = (
-            delta.filter(F.col("new_path").isNotNull())
-            .select("repo", F.col("new_path").alias("path"))
-            .join(self.files2, ["repo", "path"])
-            .select("repo", "path", "content", F.lit(False).alias("deleted"), day2.alias("ts"))
-        )
-        removed = (
-            delta.filter(F.col("kind").isin("deleted", "renamed"))
-            .select("repo", F.col("old_path").alias("path"))
-            .select(
-                "repo",
-                "path",
-                F.lit(None).cast("binary").alias("content"),
-                F.lit(True).alias("deleted"),
-                day2.alias("ts"),
-            )
+        new = delta.filter(F.col("new_path").isNotNull())
+        written = self.files2.join(
+            new.select("repo", F.col("new_path").alias("path")), ["repo", "path"], "left_semi"
+        ).select("repo", "path", "content", kept, day2.alias("ts"))
+        gone = delta.filter(F.col("kind").isin("deleted", "renamed"))
+        removed = gone.select(
+            "repo",
+            F.col("old_path").alias("path"),
+            F.lit(None).cast("binary").alias("content"),
+            F.lit(True).alias("deleted"),
+            day2.alias("ts"),
         )
         second = written.unionByName(removed)
-        first.write.parquet(f"{landing}/a")
-        second.write.parquet(f"{landing}/b")
-        # The same versions delivered again, and first versions arriving late.
-        repeats = self.spark.read.schema(W.FILE_VERSIONS).parquet(f"{landing}/a", f"{landing}/b")
-        repeats.select(*columns).write.parquet(f"{landing}/c")
-        return landing
+        return [first, second, first.unionByName(second)]
 
     def stream_to_table(self, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Run a transformation over the landed versions; the written result."""
-        stream = transform(W.read_versions(self.spark, self.land_versions()))
+        landing = tables.new_path(self.spark, "landing")
+        for number, arrival in enumerate(self.versions()):
+            arrival.write.parquet(f"{landing}/{number}")
+        stream = transform(W.read_versions(self.spark, landing))
         path = tables.new_path(self.spark, "sink")
         W.run_available(stream, path, tables.new_path(self.spark, "stream-checkpoint"))
         return tables.read(self.spark, path, stream.schema)
@@ -537,8 +540,7 @@ def cache_upsert(t: Tables) -> DataFrame:
     """The mixed cache after storing the stale entries of the second snapshot."""
     found = K.lookup(t.hashes2, t.mixed_cache, KEY)
     stale = materialize(found.filter("is_stale").select("repo", "path"), "stale")
-    picked = B.contents_of(t.files2, stale, stale.count(), C.BROADCAST_ROWS)
-    fresh = S.packed(S.summarize(t.files2 if picked is None else picked))
+    fresh = S.packed(S.summarize(B.contents_of(t.files2, stale, stale.count())))
     new = K.entries(fresh.join(stale, ["repo", "path"], "left_semi"), KEY, F.lit(SECOND_BUILD))
     root = tables.new_path(t.spark, "caches")
     tables.write_snapshot(K.upsert(t.mixed_cache, new), root)
@@ -560,7 +562,7 @@ def cache_latest(t: Tables) -> DataFrame:
 @query
 def cache_evict(t: Tables) -> DataFrame:
     """Entries left after dropping those of deleted files."""
-    kept = K.evict_deleted(t.cache1, t.files2.select("repo", "path"))
+    kept = K.evict_deleted(t.cache1, t.paths2)
     return kept.select("repo", "path", "source_hash", "approx_tokens")
 
 
@@ -592,8 +594,7 @@ def cache_purge(t: Tables) -> DataFrame:
 @query
 def incremental_build(t: Tables) -> DataFrame:
     """Second snapshot over the cache of the first."""
-    inventory = t.files2.select("repo", "path")
-    return S.unpacked(B.fill(t.files2, inventory, t.cache1, KEY)).select(
+    return S.unpacked(B.fill(t.files2, t.paths2, t.cache1, KEY)).select(
         "repo",
         "path",
         "source_hash",
@@ -768,9 +769,13 @@ def watch_dedup(t: Tables) -> DataFrame:
 def watch_rebuild(t: Tables) -> DataFrame:
     """Final state of the watched corpus; equals a build of the second snapshot."""
     watch = W.Watch(tables.new_path(t.spark, "watch"))
-    versions = W.read_versions(t.spark, t.land_versions(), max_files=1)
+    landing = tables.new_path(t.spark, "landing")
     checkpoint = tables.new_path(t.spark, "stream-checkpoint")
-    watch.start(versions, checkpoint, available_now=True).awaitTermination()
+    for number, arrival in enumerate(t.versions()):
+        arrival.write.parquet(f"{landing}/{number}")
+        # Each run goes on where the last one stopped.
+        versions = W.read_versions(t.spark, landing)
+        watch.start(versions, checkpoint, available_now=True).awaitTermination()
     return S.unpacked(watch.files(t.spark)).select(
         "repo", "path", "source_hash", "summary", "role", _joined("public_symbols")
     )

@@ -47,6 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return read(df.sparkSession, path, df.schema)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that is read in fewer tasks than there are cores.
+
+    Only a table of a few files is moved; a large one already has many tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int, limit: int = C.BROADCAST_ROWS) -> DataFrame:
     """Mark a frame of ``rows`` counted rows for broadcast if that is few enough."""
     return F.broadcast(df) if rows <= limit else df

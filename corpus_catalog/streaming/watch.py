@@ -200,8 +200,7 @@ class Watch:
         n = misses.count()
         if n == 0:
             return done
-        picked = contents_of(batch, misses, n, self.broadcast_rows)
-        read = batch if picked is None else picked
+        read = contents_of(batch, misses, n, self.broadcast_rows)
         fresh = packed(summarize(read.select("repo", "path", "content"))).dropDuplicates(
             ["repo", "path", "source_hash"]
         )
