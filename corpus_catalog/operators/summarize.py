@@ -85,7 +85,7 @@ def _python_text(parsed: Column, name: Column) -> Column:
 def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
     """``(repo, path, content[, read_error])`` to one summary row per file."""
     path, text, reason = F.col("path"), F.col("text"), F.col("exclusion_reason")
-    name, ext, parsed = F.col("name"), F.col("ext"), F.col("parsed")
+    name, ext = F.col("name"), F.col("ext")
     exports = F.col("exports")
     is_js = ext.isin(JS_EXTENSIONS)
 
@@ -94,7 +94,8 @@ def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
         .withColumn("name", X.file_name(path))
         .withColumn("ext", X.extension(path))
     )
-    # Everything that needs the text, before the text is dropped.
+    # Everything that needs the text.  The parser is called one step later, so
+    # that rows queue up for Python without their texts.
     features = read.select(
         "repo",
         "path",
@@ -114,7 +115,8 @@ def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
         X.line_count(text).alias("lines"),
         text.isNotNull().alias("has_text"),
         F.when(ext == ".py", text).alias("python_text"),
-    ).withColumn("parsed", python_source.parsed_python(F.col("python_text")))
+    )
+    parsed = python_source.parsed_python(F.col("python_text"))
 
     found = (
         F.when(ext == ".py", _python_text(parsed, name))
