@@ -18,10 +18,13 @@ SPACE = (
     r"[\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+# Line ends other than \n.
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_END = r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}])"
 WORD = r"[\p{L}\p{N}_]"
 
-SECRET_WORD = rf"(?iu)(?<!{WORD})(?:{C.SECRET_WORDS})(?!{WORD})"
+# The look-ahead at the first letters lets most positions fail at once.
+SECRET_WORD = rf"(?iu)(?=[tspabc])(?<!{WORD})(?:{C.SECRET_WORDS})(?!{WORD})"
 QUOTED = r""""[^"\n]*"|'[^'\n]*'"""
 
 JS_EXPORT = (
@@ -106,7 +109,9 @@ def has_private_key(content: Column, strict_keys: bool = False) -> Column:
     adds it.
     """
     headers = C.PRIVATE_KEY_HEADERS + ([C.PLAIN_PRIVATE_KEY_HEADER] if strict_keys else [])
-    return content.cast("string").rlike("|".join(headers))
+    text = content.cast("string")
+    # A plain search settles nearly all files.
+    return text.contains("-----BEGIN ") & text.rlike("|".join(headers))
 
 
 def decode(content: Column) -> Column:
@@ -147,8 +152,12 @@ def redaction_count(text: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    unfinished = (text != "") & ~text.rlike(rf"{LINE_END}\z")
-    return F.regexp_count(text, F.lit(LINE_END)) + unfinished.cast("int")
+    """Number of lines, for all the line ends of text files."""
+    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    plain = newlines + ((text != "") & ~text.endswith("\n")).cast("int")
+    unfinished = (text != "") & ~F.right(text, F.lit(1)).rlike(LINE_END)
+    any_end = F.regexp_count(text, F.lit(LINE_END)) + unfinished.cast("int")
+    return F.when(any_of([text.contains(c) for c in OTHER_LINE_ENDS]), any_end).otherwise(plain)
 
 
 def markdown_title(text: Column) -> Column:

@@ -20,6 +20,8 @@ READ_ERROR = "read_error"
 
 JS_EXTENSIONS = [".js", ".ts", ".jsx", ".tsx"]
 CONFIG_EXTENSIONS = [".yaml", ".yml", ".json"]
+# Extensions with a summary of their own; others get a line count.
+SUMMARIZED_EXTENSIONS = [".py", ".md", *JS_EXTENSIONS, *CONFIG_EXTENSIONS]
 
 
 def exclusion_reason(content: Column, read_error: Column, strict_keys: bool = False) -> Column:
@@ -112,7 +114,7 @@ def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
         F.when(is_js, X.js_exports(text)).alias("exports"),
         F.when(is_js, X.js_imports(text)).alias("js_imports"),
         F.when(ext == ".md", X.markdown_title(text)).alias("title"),
-        X.line_count(text).alias("lines"),
+        F.when(~ext.isin(SUMMARIZED_EXTENSIONS), X.line_count(text)).alias("lines"),
         text.isNotNull().alias("has_text"),
         F.when(ext == ".py", text).alias("python_text"),
     )
