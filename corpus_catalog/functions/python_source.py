@@ -73,7 +73,10 @@ _PARSED_ARROW = to_arrow_type(PARSED)
 
 
 def _parse_batch(text: pa.Array) -> pa.Array:
-    return pa.array([parse_source(t) for t in text.to_pylist()], type=_PARSED_ARROW)
+    texts = text.to_pylist()
+    # Copies of one file in a batch are parsed once.
+    parsed = {t: parse_source(t) for t in set(texts)}
+    return pa.array([parsed[t] for t in texts], type=_PARSED_ARROW)
 
 
 def parsed_python(text: Column) -> Column:

@@ -248,12 +248,15 @@ S1 = _summaries("s1", "v1")
 S2 = _summaries("s2", "v2")
 
 EVIDENCE = "'if __name__ == \"__main__\"'"
+ENTRYPOINTS = (
+    "CASE WHEN guard IS NULL THEN [] ELSE "
+    f"[{{'path': path, 'lineno': guard, 'evidence': {EVIDENCE}, 'confidence': 0.95::DOUBLE}}] END"
+)
 # Length of the summary as JSON, null fields left out.
 TOKENS = f"""
 (length(to_json({{'summary': summary, 'role': role, 'public_symbols': symbols,
   'public_symbols_count': len(symbols), 'import_deps': imports, 'provides': [], 'consumes': [],
-  'entrypoints': CASE WHEN guard IS NULL THEN [] ELSE
-     [{{'path': path, 'lineno': guard, 'evidence': {EVIDENCE}, 'confidence': 0.95::DOUBLE}}] END,
+  'entrypoints': {ENTRYPOINTS},
   'entrypoints_count': CASE WHEN guard IS NULL THEN 0 ELSE 1 END, 'excluded': excluded,
   'exclusion_reason': exclusion_reason, 'redaction_count': redactions, 'is_binary': is_binary,
   'decode_lossy': lossy}}))
@@ -592,6 +595,8 @@ def statements() -> dict[str, str]:
             staleness_reason IS NOT NULL AS is_stale, staleness_reason,
             CASE WHEN staleness_reason IS NULL THEN summary END AS summary,
             CASE WHEN staleness_reason IS NULL THEN approx_tokens END AS approx_tokens FROM found""",
+        "cache_json": f"""WITH {V1},{S1},{CACHE1} SELECT repo, path, source_hash, approx_tokens FROM c1
+            WHERE id % 7 <> 0""",
         "cache_upsert": f"""WITH {V1},{S1},{CACHE1},{V2},{H2},{LOOKUP},{S2},
             new AS (SELECT repo, path, source_hash, 'p1' AS prompt_hash, 'heuristic' AS backend_id, '1' AS tool_version,
               summary, {TOKENS} AS approx_tokens FROM s2
@@ -649,6 +654,8 @@ def statements() -> dict[str, str]:
         "changes_summaries": _report("summaries"),
         "changes_both": _report("both"),
         "scan_hash": f"{files},{MODES},{H1} {_digest('h1')}",
+        "fingerprint": f"""{files},{H1} SELECT count(*) AS files, bit_xor(CAST('0x' ||
+            left(sha256(repo || {NL} || path || {NL} || source_hash), 15) AS BIGINT)) AS fingerprint FROM h1""",
         "key_file_score": f"""{summaries} , scored AS (SELECT repo, path, CAST(
               CASE role WHEN 'entrypoint' THEN 10 WHEN 'config' THEN 5 WHEN 'docs' THEN 3 ELSE 0 END
               + CASE WHEN regexp_matches(lower(path), '(readme|claude\\.md|package\\.json|cargo\\.toml|go\\.mod|pyproject\\.toml)[^/]*$') THEN 3 ELSE 0 END
@@ -664,6 +671,17 @@ def statements() -> dict[str, str]:
             SELECT repo, dir, count(*) FILTER (regexp_replace(path, '/?[^/]*$', '') = dir) AS files,
               count(*) AS files_below FROM above GROUP BY repo, dir""",
         "context_doc": f"{documents} SELECT repo, part, content, scan_hash, files, hits FROM doc",
+        "document_sink": f"{documents} SELECT repo, part, content FROM doc",
+        "context_json": f"""{documents},
+            key_items AS (SELECT repo, string_agg(CAST(to_json({{'path': path, 'role': role, 'summary': summary,
+                'public_symbols': symbols, 'import_deps': imports, 'entrypoints': {ENTRYPOINTS}}}) AS VARCHAR),
+                ',' ORDER BY score DESC, path) AS items FROM b1 WHERE score >= 5 GROUP BY repo),
+            other_items AS (SELECT repo, string_agg(CAST(to_json({{'path': path, 'role': role, 'summary': summary}}) AS VARCHAR),
+                ',' ORDER BY path) AS items FROM b1 WHERE score < 5 GROUP BY repo)
+            SELECT repo, CAST(0 AS BIGINT) AS part, '{{"metadata":' || to_json({{'files': files, 'cache_hits': 0,
+                'ignore_mode': ignore_mode, 'scan_hash': scan_hash}}) || ',"tree":' || to_json(coalesce(tree, ''))
+              || ',"key_files":[' || coalesce(k.items, '') || '],"other_files":[' || coalesce(o.items, '') || ']}}' AS content
+            FROM digests LEFT JOIN trees USING (repo) LEFT JOIN key_items k USING (repo) LEFT JOIN other_items o USING (repo)""",
         "token_budget": f"""{documents} SELECT repo, length(content) AS chars,
             CAST(ceil(length(content) / 4) AS BIGINT) AS approx_tokens,
             CASE WHEN ceil(length(content) / 4) > 8000 THEN 'token_budget_exceeded' ELSE '' END AS warnings FROM doc""",

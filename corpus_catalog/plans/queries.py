@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpus_catalog import config as C
 from corpus_catalog.functions import globs, text as X
@@ -41,6 +41,11 @@ GLOBS = {
 }
 
 
+def _doc_id(path: Column) -> Column:
+    """Document that a path was derived from."""
+    return F.regexp_extract(path, r"(?:\A|/)d([0-9]+)/", 1).cast("bigint")
+
+
 class Tables:
     """Frames derived from the provided tables, for one query."""
 
@@ -100,14 +105,24 @@ class Tables:
     @cached_property
     def existing(self) -> DataFrame:
         """Repos that exist, with their mode."""
-        return materialize(self.modes.filter("present").select("repo", "ignore_mode"), "modes")
+        return self.stored_modes.filter("present").select("repo", "ignore_mode")
+
+    # One small row per repo each; stored, since every scan needs them.
+
+    @cached_property
+    def stored_modes(self) -> DataFrame:
+        return materialize(self.modes, "modes")
+
+    @cached_property
+    def stored_rules(self) -> DataFrame:
+        return materialize(R.rules_by_repo(self.rules), "rules")
 
     def scan(self, files: DataFrame, tracked: DataFrame) -> DataFrame:
         return I.scan(
             files,
-            self.modes,
+            self.existing,
             tracked,
-            R.rules_by_repo(self.rules),
+            self.stored_rules,
             self.submodule_names,
             self.submodule_markers,
         )
@@ -144,7 +159,7 @@ class Tables:
     @cached_property
     def mixed_cache(self) -> DataFrame:
         """The same with entries of other prompts, backends and tool versions."""
-        n = F.regexp_extract("path", r"(?:\A|/)d([0-9]+)/", 1).cast("bigint") % 7
+        n = _doc_id(F.col("path")) % 7
         return self.cache1.withColumns(
             {
                 "prompt_hash": F.when(n == 0, "p0").otherwise(F.col("prompt_hash")),
@@ -248,7 +263,7 @@ def query(build: Callable[[Tables], DataFrame]):
     return run
 
 
-def _joined(column: str) -> "F.Column":
+def _joined(column: str) -> Column:
     return F.array_join(column, ",").alias(column)
 
 
@@ -527,10 +542,12 @@ def cache_lookup(t: Tables) -> DataFrame:
 @query
 def cache_json(t: Tables) -> DataFrame:
     """Entries kept as JSON; cut-off ones count as absent."""
-    whole = t.cache1.select(F.to_json(F.struct("*")).alias("value"))
-    damaged = F.crc32("value") % 7 == 0
-    lines = whole.select(
-        F.when(damaged, F.expr("left(value, length(value) - 9)")).otherwise(F.col("value")).alias("value")
+    value = F.to_json(F.struct("*"))
+    damaged = _doc_id(F.col("path")) % 7 == 0
+    lines = t.cache1.select(
+        F.when(damaged, F.substring(value, F.lit(1), F.length(value) - 9))
+        .otherwise(value)
+        .alias("value")
     )
     return tables.parse_cache(lines).select("repo", "path", "source_hash", "approx_tokens")
 
@@ -637,7 +654,7 @@ def diff_status(t: Tables) -> DataFrame:
     """Baselines are missing for some repos and of another mode for others."""
     number = corpus.repo_number()
     before = D.builds(scan_hash_of(t.existing, t.hashes1)).filter(number % 7 != 1)
-    now = t.modes.withColumn(
+    now = t.stored_modes.withColumn(
         "ignore_mode",
         F.when(number % 7 == 2, F.lit(I.GIT)).otherwise(F.col("ignore_mode")),
     )
@@ -715,6 +732,14 @@ def context_doc(t: Tables) -> DataFrame:
     return t.documents1
 
 
+@query
+def document_sink(t: Tables) -> DataFrame:
+    """Documents written as text and read back."""
+    path = tables.new_path(t.spark, "documents")
+    tables.write_documents(t.documents1, path)
+    return tables.read_documents(t.spark, path)
+
+
 @query
 def token_budget(t: Tables) -> DataFrame:
     return DOC.token_budget(t.documents1).withColumn("warnings", F.array_join("warnings", ","))

@@ -128,6 +128,14 @@ def write_documents(docs: DataFrame, path: str) -> None:
     ).write.mode("overwrite").partitionBy("repo", "part").text(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents as written, ``(repo, part, content)``."""
+    schema = "value string, repo string, part bigint"
+    return spark.read.schema(schema).text(path, wholetext=True).select(
+        "repo", "part", F.col("value").alias("content")
+    )
+
+
 # --- cache entries as JSON ------------------------------------------------------
 
 
