@@ -18,7 +18,7 @@ from corpus_catalog.operators.cache import (
 from corpus_catalog.operators.diff import builds, change_counts, diff, diff_status, hashes
 from corpus_catalog.operators.digest import corpus_fingerprint, scan_hash, scan_hash_of
 from corpus_catalog.operators.document import documents, documents_json, token_budget
-from corpus_catalog.operators.inventory import preview, scan, scan_modes
+from corpus_catalog.operators.inventory import candidates, preview, scan, scan_modes
 from corpus_catalog.operators.rank import key_files, other_files, scored
 from corpus_catalog.operators.reports import change_report, changed_summaries
 from corpus_catalog.operators.summarize import gate, redacted_text, summarize, symbols
@@ -41,6 +41,7 @@ __all__ = [
     "Watch",
     "build",
     "builds",
+    "candidates",
     "change_counts",
     "change_report",
     "changed_summaries",

@@ -134,5 +134,8 @@ TOOL_VERSION = "1"
 # Rows of one repo that one task may gather into one string.  Repos above it
 # are cut into ordered parts of at most this many rows.
 PART_ROWS = 100_000
-# Rows of a frame that may be broadcast when its rows are short key tuples.
-BROADCAST_ROWS = 500_000
+# Rows of a frame of a few short or hashed columns that may be broadcast; about
+# 100 MB as 64-bit keys.
+BROADCAST_ROWS = 2_000_000
+# Bytes of per-repo settings that may be broadcast.
+BROADCAST_BYTES = 64 << 20

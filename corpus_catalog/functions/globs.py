@@ -61,40 +61,53 @@ def glob_regex(glob: str) -> str | None:
     return None if members is not None else "".join(out)
 
 
+_ANYWHERE = r"(?s:.*/)?"  # the top or below any directory
+
+
 @dataclass(frozen=True)
 class Rule:
     ord: int
     negated: bool
     kind: str  # dir | anchored | any
     pattern: str
-    regex: str | None  # None: malformed, never matches
+    floating: bool  # may match from any component on
+    tail: str | None  # regex from there on; None: malformed, never matches
 
+    @property
+    def regex(self) -> str | None:
+        return None if self.tail is None else alternation([self])
 
-def compile_pattern(pattern: str) -> tuple[str, str | None]:
-    """(kind, anchored regex) of a pattern without its negation mark."""
-    if pattern.endswith("/"):
-        name = pattern[:-1]
-        start = r"\A" if "/" in name else r"(?:\A|/)"
-        return "dir", rf"{start}{_literal(name)}(?:/|\z)"
-    if pattern.startswith("/"):
-        kind, start, body = "anchored", r"\A", glob_regex(pattern[1:])
-    else:
-        kind, start, body = "any", r"\A(?s:.*/)?", glob_regex(pattern)
-    # One newline may follow, as before `$`.
-    return kind, None if body is None else rf"{start}(?:{body})\n?\z"
+
+def alternation(rules: list[Rule]) -> str:
+    """One anchored regex for any of the rules; the common start is tried once."""
+    floating = "|".join(r.tail for r in rules if r.floating)
+    fixed = [r.tail for r in rules if not r.floating]
+    branches = ([f"{_ANYWHERE}(?:{floating})"] if floating else []) + fixed
+    return rf"\A(?:{'|'.join(branches)})"
 
 
 def compile_rule(line: str, ord: int = 0) -> Rule:
     negated = line.startswith("!")
-    pattern = line[1:] if negated else line
-    kind, regex = compile_pattern(pattern)
-    return Rule(ord, negated, kind, pattern, regex)
+    return compile_pattern(line[1:] if negated else line, negated, ord)
 
 
-def parse_rules(text: str) -> list[Rule]:
-    """Rules of one ignore file: trimmed lines, without blanks and comments."""
+def compile_pattern(pattern: str, negated: bool = False, ord: int = 0) -> Rule:
+    """Rule of a pattern without its negation mark."""
+    if pattern.endswith("/"):
+        name = pattern[:-1]
+        tail = rf"{_literal(name)}(?:/|\z)"
+        return Rule(ord, negated, "dir", pattern, "/" not in name, tail)
+    anchored = pattern.startswith("/")
+    body = glob_regex(pattern[1:] if anchored else pattern)
+    # One newline may follow, as before `$`.
+    tail = None if body is None else rf"{body}\n?\z"
+    return Rule(ord, negated, "anchored" if anchored else "any", pattern, not anchored, tail)
+
+
+def parse_rules(text: str, defaults: list[str] = ()) -> list[Rule]:
+    """Default rules, then those of an ignore file: trimmed lines, no blanks or comments."""
     kept = (line.strip() for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
-    return compile_rules([line for line in kept if line and not line.startswith("#")])
+    return compile_rules([*defaults, *(line for line in kept if line and line[0] != "#")])
 
 
 def compile_rules(lines: list[str]) -> list[Rule]:
@@ -103,17 +116,20 @@ def compile_rules(lines: list[str]) -> list[Rule]:
 
 def matches(path: Column, pattern: str) -> Column:
     """Does one rule, without negation, match the path?"""
-    _, regex = compile_pattern(pattern)
+    regex = compile_pattern(pattern).regex
     return F.lit(False) if regex is None else path.rlike(regex)
 
 
 def decision_runs(rules: list[Rule]) -> list[tuple[bool, str]]:
     """(negated, regex) pairs, last rule first; neighbours of one sign are merged."""
-    usable = [r for r in reversed(rules) if r.regex is not None]
-    return [
-        (negated, "|".join(r.regex for r in run))
-        for negated, run in groupby(usable, key=lambda r: r.negated)
-    ]
+    usable = [r for r in reversed(rules) if r.tail is not None]
+    return [(sign, alternation(list(run))) for sign, run in groupby(usable, lambda r: r.negated)]
+
+
+def one_regex(rules: list[Rule], negated: bool) -> str:
+    """One regex of all rules of a sign; empty if there are none."""
+    chosen = [r for r in rules if r.tail is not None and r.negated == negated]
+    return alternation(chosen) if chosen else ""
 
 
 def is_ignored(path: Column, rules: list[Rule]) -> Column:
@@ -124,7 +140,17 @@ def is_ignored(path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*decisions, F.lit(False))
 
 
-def is_ignored_by(path: Column, runs: Column) -> Column:
-    """As ``is_ignored`` with the runs of a row, ``array<struct<negated,regex>>``."""
-    first = F.get(F.filter(runs, lambda run: F.rlike(path, run["regex"])), F.lit(0))
-    return F.coalesce(~first["negated"], F.lit(False))
+def is_ignored_by(path: Column, ignoring: Column, keeping: Column, runs: Column) -> Column:
+    """As ``is_ignored`` with the rules of a row.
+
+    ``ignoring`` and ``keeping`` match what some rule ignores or keeps; only
+    paths that both match need the order of the rules.  ``regexp_instr`` keeps
+    its last pattern compiled, which rows of one repo share; ``rlike`` would
+    compile a pattern per row.
+    """
+
+    def found(regex: Column) -> Column:
+        return (regex != "") & (F.regexp_instr(path, regex) > 0)
+
+    last = F.get(F.filter(runs, lambda run: F.regexp_instr(path, run["regex"]) > 0), F.lit(0))
+    return found(ignoring) & (~found(keeping) | ~last["negated"])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpus_catalog import config as C
 from corpus_catalog.functions import globs, text as X
 from corpus_catalog.functions.globs import Rule
 
 GIT = "git"
 BEST_EFFORT = "best_effort"
+RULE_COLUMNS = ["ignoring", "keeping", "rules"]
 
 
 def normalized(files: DataFrame) -> DataFrame:
@@ -65,19 +67,24 @@ def ignore_prune(files: DataFrame, rules: list[Rule]) -> DataFrame:
 # --- rules per repo -----------------------------------------------------------
 
 
-def with_rules(files: DataFrame, rules_by_repo: DataFrame) -> DataFrame:
-    """Add the rule array of each file's repo.
+def with_rules(rows: DataFrame, rules_by_repo: DataFrame) -> DataFrame:
+    """Add the rules of each row's repo.
 
     One row per file, so a repo with many files stays many small rows; a
     skewed repo is split by the adaptive join.
     """
-    return files.join(rules_by_repo, "repo", "left").withColumn(
-        "rules", F.coalesce("rules", F.expr("array()").cast("array<struct<rank:int,negated:boolean,regex:string>>"))
+    none = F.array().cast("array<struct<negated:boolean,regex:string>>")
+    return rows.join(rules_by_repo, "repo", "left").withColumns(
+        {
+            "ignoring": F.coalesce("ignoring", F.lit("")),
+            "keeping": F.coalesce("keeping", F.lit("")),
+            "rules": F.coalesce("rules", none),
+        }
     )
 
 
 def ignored_by_repo_rules(path: Column) -> Column:
-    return globs.is_ignored_by(path, F.col("rules"))
+    return globs.is_ignored_by(path, F.col("ignoring"), F.col("keeping"), F.col("rules"))
 
 
 def pruned_by_repo_rules(path: Column) -> Column:
@@ -118,6 +125,39 @@ def submodule_filter(files: DataFrame, names: DataFrame, markers: DataFrame) ->
 # --- whole scan -----------------------------------------------------------------
 
 
+def _settings(modes: DataFrame, rules_by_repo: DataFrame) -> DataFrame:
+    """Mode and rules, one row per repo."""
+    return with_rules(modes.select("repo", "ignore_mode"), rules_by_repo)
+
+
+def _passes_rules(path: Column) -> Column:
+    """Rules of the repo; pruning and the hidden filter only where directories are walked."""
+    walked = ~is_hidden(path) & ~pruned_by_repo_rules(path)
+    return ~ignored_by_repo_rules(path) & ((F.col("ignore_mode") == GIT) | walked)
+
+
+def candidates(files: DataFrame, modes: DataFrame, rules_by_repo: DataFrame) -> DataFrame:
+    """Files with contents, without most of those that a scan would drop.
+
+    Spares ignored files the summary where the inventory is too long to be
+    broadcast to the contents.  The settings are broadcast if their measured
+    size allows it; otherwise nothing is dropped.
+    """
+    settings = _settings(modes, rules_by_repo)
+    text = F.aggregate(
+        "rules", F.lit(0).cast("bigint"), lambda sum, rule: sum + F.length(rule["regex"]) + 32
+    )
+    row = F.length("repo") + F.length("ignoring") + F.length("keeping") + text + 64
+    size = settings.agg(F.sum(row)).first()[0] or 0
+    if size > C.BROADCAST_BYTES:
+        return files
+    return (
+        files.join(F.broadcast(settings), "repo")
+        .filter(_passes_rules(X.normal_path(F.col("path"))))
+        .drop("ignore_mode", *RULE_COLUMNS)
+    )
+
+
 def scan(
     files: DataFrame,
     modes: DataFrame,
@@ -130,16 +170,17 @@ def scan(
 
     Only paths flow through the joins; contents are read later.
     """
-    path = F.col("path")
-    settings = with_rules(modes.select("repo", "ignore_mode"), rules_by_repo)
-    paths = normalized(files.select("repo", "path")).join(settings, "repo")
-    wanted = paths.filter(~ignored_by_repo_rules(path))
-
-    listed = tracked_only(wanted.filter(F.col("ignore_mode") == GIT), normalized(tracked))
-    walked = wanted.filter(
-        (F.col("ignore_mode") == BEST_EFFORT) & ~is_hidden(path) & ~pruned_by_repo_rules(path)
+    path, mode = F.col("path"), F.col("ignore_mode")
+    paths = normalized(files.select("repo", "path"))
+    kept = (
+        paths.join(_settings(modes, rules_by_repo), "repo")
+        .filter(_passes_rules(path))
+        .drop(*RULE_COLUMNS)
+    )
+    listed = tracked_only(kept.filter(mode == GIT), normalized(tracked))
+    walked = submodule_filter(
+        kept.filter(mode == BEST_EFFORT), submodule_names, submodule_markers
     )
-    walked = submodule_filter(walked, submodule_names, submodule_markers)
     return listed.unionByName(walked).select(
         "repo", "path", "ignore_mode", X.is_priority_name(path).alias("is_priority")
     )

@@ -23,17 +23,30 @@ class Build:
 
 
 def contents_of(
-    files: DataFrame, wanted: DataFrame, rows: int, limit: int = C.BROADCAST_ROWS
+    files: DataFrame,
+    wanted: DataFrame,
+    rows: int,
+    limit: int = C.BROADCAST_ROWS,
+    by: tuple[str, ...] = ("repo", "path"),
 ) -> DataFrame:
-    """Files listed in ``wanted``, without ever shuffling contents.
+    """Files listed in ``wanted`` and perhaps some more, without shuffling contents.
 
-    A counted, small list is broadcast to the files.  Beyond that all files are
-    returned: handling them where they lie and joining the small results costs
-    less than moving the contents.
+    Callers join their results back on the exact keys, so a superset is fine.
+    A counted list is broadcast as 64-bit hashes, whose size does not depend on
+    the keys.  If it is too long, the repos it touches are; if those are too
+    many, all files are returned: handling them where they lie costs less than
+    moving their contents.
     """
     if rows > limit:
-        return files
-    return files.join(F.broadcast(wanted.select("repo", "path")), ["repo", "path"], "left_semi")
+        wanted, by = wanted.select("repo").distinct(), ("repo",)
+        if wanted.count() > limit:
+            return files
+    key = F.xxhash64(*by).alias("wanted_key")
+    return (
+        files.withColumn("wanted_key", key)
+        .join(F.broadcast(wanted.select(key)), "wanted_key", "left_semi")
+        .drop("wanted_key")
+    )
 
 
 def fill(

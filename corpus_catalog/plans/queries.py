@@ -115,7 +115,7 @@ class Tables:
 
     @cached_property
     def stored_rules(self) -> DataFrame:
-        return materialize(R.rules_by_repo(self.rules), "rules")
+        return materialize(R.rules_by_repo(corpus.rule_files(self.docs)), "rules")
 
     def scan(self, files: DataFrame, tracked: DataFrame) -> DataFrame:
         return I.scan(
@@ -183,7 +183,8 @@ class Tables:
         )
 
     def _build(self, files, inventory, cache, at: str) -> B.Build:
-        return B.build(files, inventory, cache, KEY, F.lit(at))
+        candidates = I.candidates(files, self.existing, self.stored_rules)
+        return B.build(candidates, inventory, cache, KEY, F.lit(at))
 
     @cached_property
     def rows1(self) -> DataFrame:
@@ -380,7 +381,7 @@ def ignore_filter(t: Tables) -> DataFrame:
 @query
 def ignore_filter_by_repo(t: Tables) -> DataFrame:
     """Each repo's own rules."""
-    ruled = I.with_rules(t.paths1, R.rules_by_repo(t.rules))
+    ruled = I.with_rules(t.paths1, R.rules_by_repo(corpus.rule_files(t.docs)))
     return ruled.filter(~I.ignored_by_repo_rules(F.col("path"))).select("repo", "path")
 
 

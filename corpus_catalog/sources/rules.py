@@ -6,7 +6,7 @@ import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -16,44 +16,55 @@ from corpus_catalog.functions import globs, text as X
 cloudpickle.register_pickle_by_value(globs)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_COMPILED = T.StructType(
-    [T.StructField("kind", T.StringType()), T.StructField("regex", T.StringType())]
+_RULE = T.StructType(
+    [
+        T.StructField("ord", T.IntegerType()),
+        T.StructField("negated", T.BooleanType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("pattern", T.StringType()),
+        T.StructField("regex", T.StringType()),
+    ]
 )
-_COMPILED_ARROW = to_arrow_type(_COMPILED)
-
-
-def _compile_batch(patterns: pa.Array) -> pa.Array:
-    compiled = [globs.compile_pattern(p) for p in patterns.to_pylist()]
-    return pa.array([{"kind": k, "regex": r} for k, r in compiled], type=_COMPILED_ARROW)
+_RULES = T.ArrayType(_RULE)
+_RULES_ARROW = to_arrow_type(_RULES)
+_DECISION = T.StructType(
+    [
+        T.StructField("ignoring", T.StringType()),
+        T.StructField("keeping", T.StringType()),
+        T.StructField(
+            "rules",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("negated", T.BooleanType()),
+                        T.StructField("regex", T.StringType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
+_DECISION_ARROW = to_arrow_type(_DECISION)
 
 
-def rule_lines(content: Column) -> Column:
-    """Trimmed lines of a rule file, without blanks and comments."""
-    lines = F.transform(F.split(content, r"\r\n|[\r\n]", -1), X.strip)
-    return F.filter(lines, lambda line: (line != "") & ~line.startswith("#"))
+# A rule file is one row; compiling its globs is the only work done in Python.
 
 
 def ignore_rules(rule_files: DataFrame, defaults: list[str] = C.DEFAULT_IGNORE_RULES) -> DataFrame:
-    """``(repo, content)`` to ordered, compiled rules, defaults first.
+    """``(repo, content)`` to ordered rules, defaults first.
 
     One row per rule: repo, ord, negated, kind, pattern, regex; a malformed
     rule has no regex and never matches.
     """
-    leading = F.array(*[F.lit(d) for d in defaults]).cast("array<string>")
-    lines = rule_files.select(
-        "repo", F.posexplode(F.concat(leading, rule_lines(F.col("content")))).alias("ord", "line")
-    )
-    negated = F.col("line").startswith("!")
-    rules = lines.select(
-        "repo",
-        "ord",
-        negated.alias("negated"),
-        F.when(negated, F.expr("substring(line, 2)")).otherwise(F.col("line")).alias("pattern"),
-    )
-    compiled = arrow_udf(_compile_batch, _COMPILED)(F.col("pattern"))
-    return rules.withColumn("compiled", compiled).select(
-        "repo", "ord", "negated", "compiled.kind", "pattern", "compiled.regex"
-    )
+
+    def parse(contents: pa.Array) -> pa.Array:
+        parsed = (globs.parse_rules(c or "", defaults) for c in contents.to_pylist())
+        fields = _RULE.fieldNames()
+        rows = [[{f: getattr(r, f) for f in fields} for r in rules] for rules in parsed]
+        return pa.array(rows, type=_RULES_ARROW)
+
+    rules = arrow_udf(parse, _RULES)(F.col("content").cast("string"))
+    return rule_files.select("repo", rules.alias("rules")).select("repo", F.inline("rules"))
 
 
 def rule_warnings(rules: DataFrame) -> DataFrame:
@@ -62,18 +73,26 @@ def rule_warnings(rules: DataFrame) -> DataFrame:
     )
 
 
-def rules_by_repo(rules: DataFrame) -> DataFrame:
-    """One row per repo: its usable rules, last one first.
+def rules_by_repo(
+    rule_files: DataFrame, defaults: list[str] = C.DEFAULT_IGNORE_RULES
+) -> DataFrame:
+    """The rules of each repo in the form that paths are tested with.
 
-    The rules of a repo come from one rule file, so the array is bounded by a
-    value that was already held in one row.
+    ``ignoring`` and ``keeping`` are one regex each of all rules that ignore or
+    keep; ``rules`` are the rules as runs of one sign, last run first.
     """
-    rule = F.struct((-F.col("ord")).alias("rank"), "negated", "regex")
-    return (
-        rules.filter(F.col("regex").isNotNull())
-        .groupBy("repo")
-        .agg(F.array_sort(F.collect_list(rule)).alias("rules"))
-    )
+
+    def decide(contents: pa.Array) -> pa.Array:
+        rows = []
+        for content in contents.to_pylist():
+            rules = globs.parse_rules(content or "", defaults)
+            runs = [{"negated": n, "regex": r} for n, r in globs.decision_runs(rules)]
+            ignoring, keeping = (globs.one_regex(rules, sign) for sign in (False, True))
+            rows.append({"ignoring": ignoring, "keeping": keeping, "rules": runs})
+        return pa.array(rows, type=_DECISION_ARROW)
+
+    decision = arrow_udf(decide, _DECISION)(F.col("content").cast("string"))
+    return rule_files.select("repo", decision.alias("decision")).select("repo", "decision.*")
 
 
 def submodule_names(definitions: DataFrame) -> DataFrame:

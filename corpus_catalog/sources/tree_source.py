@@ -1,8 +1,9 @@
-"""Directory ingest: a data source that reads source trees into a files table.
+"""Directory ingest: source trees below a shared folder as a files table.
 
 Spark's own file sources skip names starting with ``_`` or ``.``, which would
-lose ``__init__.py`` and dotfiles, hence a source of its own.  Each repo's
-top-level directories are separate partitions.
+lose ``__init__.py`` and dotfiles.  A data source lists the trees, names only;
+the listing is stored and spread by path, so that a repo or directory with
+most of the files is read by all tasks alike.
 """
 
 from __future__ import annotations
@@ -14,27 +15,42 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpus_catalog.schemas import FILES
+from corpus_catalog.sources.tables import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_ARROW = to_arrow_schema(FILES)
+LISTING = T.StructType(
+    [
+        T.StructField("repo", T.StringType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("bytes", T.LongType()),
+    ]
+)
+_FILES_ARROW = to_arrow_schema(FILES)
 _SKIPPED = ".git"  # version-control data; a pointer file of this name is kept
+_TASK_BYTES = 128 << 20
 _BATCH_BYTES = 32 << 20
 
 
 @dataclass
-class Subtree(InputPartition):
+class Subtree:
     repo: str
     root: str
     below: str  # directory relative to the root
     deep: bool  # False: only the files directly in it
 
 
+@dataclass
+class Share(InputPartition):
+    trees: list[Subtree]
+
+
 def _subtrees(repo: str, root: str) -> list[Subtree]:
     found = [Subtree(repo, root, "", False)]
     with os.scandir(root) as entries:
@@ -44,77 +60,93 @@ def _subtrees(repo: str, root: str) -> list[Subtree]:
     return found
 
 
-def _paths(tree: Subtree) -> Iterator[str]:
-    start = os.path.join(tree.root, tree.below)
-    for folder, dirs, names in os.walk(start):
-        dirs[:] = [d for d in sorted(dirs) if d != _SKIPPED] if tree.deep else []
-        for name in sorted(names):
-            yield os.path.relpath(os.path.join(folder, name), tree.root)
-
-
-def _read(tree: Subtree) -> Iterator[tuple]:
-    for path in _paths(tree):
-        content = error = None
-        try:
-            with open(os.path.join(tree.root, path), "rb") as f:
-                content = f.read()
-        except FileNotFoundError:
-            pass  # a dangling link: listed, without content
-        except OSError as problem:
-            error = problem.strerror or type(problem).__name__
-        size = None if content is None else len(content)
-        yield tree.repo, path.replace("\\", "/"), content, size, error
-
-
-def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    columns, held = [[] for _ in _ARROW], 0
-    for row in rows:
-        for column, value in zip(columns, row):
-            column.append(value)
-        held += row[3] or 0
-        if held > _BATCH_BYTES or len(columns[0]) >= 10_000:
-            yield _batch(columns)
-            columns, held = [[] for _ in _ARROW], 0
-    if columns[0]:
-        yield _batch(columns)
-
-
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)]
-    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+def _listed(tree: Subtree) -> Iterator[tuple]:
+    for folder, dirs, names in os.walk(os.path.join(tree.root, tree.below)):
+        dirs[:] = [d for d in dirs if d != _SKIPPED] if tree.deep else []
+        for name in names:
+            file = os.path.join(folder, name)
+            try:
+                size = os.path.getsize(file)
+            except OSError:
+                size = 0  # a dangling link is listed; reading it gives no content
+            yield tree.repo, os.path.relpath(file, tree.root).replace("\\", "/"), file, size
 
 
 class SourceTrees(DataSource):
-    """Option ``path``: a folder of repos; with ``repo`` the folder is that repo."""
+    """Lists files.  Option ``path``: a folder of repos, or with ``repo`` that one repo."""
 
     @classmethod
     def name(cls) -> str:
         return "source_trees"
 
     def schema(self):
-        return FILES
+        return LISTING
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _Lister(self.options)
 
 
-class _Reader(DataSourceReader):
+class _Lister(DataSourceReader):
     def __init__(self, options):
         self.path, self.repo = options["path"], options.get("repo")
+        self.tasks = int(options.get("tasks", "32"))
 
-    def partitions(self) -> list[Subtree]:
+    def partitions(self) -> list[Share]:
         if self.repo:
-            return _subtrees(self.repo, self.path)
-        with os.scandir(self.path) as entries:
-            repos = sorted(e.name for e in entries if e.is_dir())
-        return [t for r in repos for t in _subtrees(r, os.path.join(self.path, r))]
-
-    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
-        return _batches(_read(partition))
+            trees = _subtrees(self.repo, self.path)
+        else:
+            with os.scandir(self.path) as entries:
+                repos = sorted(e.name for e in entries if e.is_dir())
+            trees = [t for r in repos for t in _subtrees(r, os.path.join(self.path, r))]
+        n = max(1, min(self.tasks, len(trees)))
+        return [Share(trees[i::n]) for i in range(n)]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
+        for tree in partition.trees:
+            yield from _listed(tree)
+
+
+def _read(file: str) -> tuple[bytes | None, str | None]:
+    """(content, error)"""
+    try:
+        with open(file, "rb") as f:
+            return f.read(), None
+    except FileNotFoundError:
+        return None, None
+    except OSError as problem:
+        return None, problem.strerror or type(problem).__name__
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Read the listed files, in batches of bounded size."""
+    rows, held = [], 0
+    for batch in batches:
+        for listed in batch.to_pylist():
+            content, error = _read(listed["file"])
+            size = None if content is None else len(content)
+            rows.append(
+                {
+                    "repo": listed["repo"],
+                    "path": listed["path"],
+                    "content": content,
+                    "size": size,
+                    "read_error": error,
+                }
+            )
+            held += size or 0
+            if held > _BATCH_BYTES or len(rows) >= 10_000:
+                yield pa.RecordBatch.from_pylist(rows, schema=_FILES_ARROW)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_FILES_ARROW)
 
 
 def read_trees(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
-    """Files table of a folder every executor can reach."""
+    """Files table of a folder that every executor can reach."""
     spark.dataSource.register(SourceTrees)
-    reader = spark.read.format("source_trees").option("path", path)
-    return (reader.option("repo", repo) if repo else reader).load()
+    cores = spark.sparkContext.defaultParallelism
+    reader = spark.read.format("source_trees").option("path", path).option("tasks", 4 * cores)
+    listing = materialize((reader.option("repo", repo) if repo else reader).load(), "listing")
+    total = listing.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(cores, -(-total // _TASK_BYTES))
+    return listing.repartition(tasks, "repo", "path").mapInArrow(_contents, FILES)

@@ -200,11 +200,14 @@ class Watch:
         n = misses.count()
         if n == 0:
             return done
-        read = contents_of(batch, misses, n, self.broadcast_rows)
-        fresh = packed(summarize(read.select("repo", "path", "content"))).dropDuplicates(
-            ["repo", "path", "source_hash"]
-        )
-        return done.unionByName(misses.join(fresh, ["repo", "path", "source_hash"]))
+        # By hash too: of many versions of a path only the wanted one is read.
+        version = ("repo", "path", "source_hash")
+        hashed = batch.withColumn("source_hash", X.source_hash(F.col("content")))
+        read = contents_of(hashed, misses, n, self.broadcast_rows, version)
+        fresh = packed(
+            summarize(read.select("repo", "path", "content", "source_hash"))
+        ).dropDuplicates(list(version))
+        return done.unionByName(misses.join(fresh, list(version)))
 
     def process(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession

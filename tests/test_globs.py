@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from corpus_catalog.functions import globs
 
 
+RUNS = "array<struct<negated:boolean,regex:string>>"
+
+
 def expected(path: str, pattern: str) -> bool:
     """Plain statement of the rules, one path at a time, without brackets."""
     if pattern.endswith("/"):
@@ -42,7 +45,7 @@ paths = st.lists(st.text("ab.-", min_size=1, max_size=3), min_size=1, max_size=4
 @settings(max_examples=400, deadline=None)
 @given(paths, st.text("ab.-*?/", min_size=1, max_size=6))
 def test_regex_agrees_with_plain_matching(path, pattern):
-    _, regex = globs.compile_pattern(pattern)
+    regex = globs.compile_pattern(pattern).regex
     found = bool(re.search(regex.replace(r"\z", r"\Z"), path))
     assert found == expected(path, pattern)
 
@@ -80,7 +83,7 @@ def test_match_in_spark(spark, pattern, path, matches):
 
 def test_last_match_wins_for_literal_and_row_rules(spark):
     rules = globs.parse_rules("# c\n\n *.log \n!keep.log\r\nkeep.log/\n[bad\n/a*\n!/ab\n")
-    assert [(r.pattern, r.negated, r.regex is None) for r in rules] == [
+    assert [(r.pattern, r.negated, r.tail is None) for r in rules] == [
         ("*.log", False, False),
         ("keep.log", True, False),
         ("keep.log/", False, False),
@@ -96,11 +99,36 @@ def test_last_match_wins_for_literal_and_row_rules(spark):
             for n, r in globs.decision_runs(rules)
         ]
     )
+    signs = [F.lit(globs.one_regex(rules, negated)) for negated in (False, True)]
     got = df.select(
         "path",
         globs.is_ignored(F.col("path"), rules).alias("a"),
-        globs.is_ignored_by(F.col("path"), runs).alias("b"),
+        globs.is_ignored_by(F.col("path"), *signs, runs).alias("b"),
+        globs.is_ignored_by(F.col("path"), F.lit(""), F.lit(""), F.array().cast(RUNS)).alias("c"),
     ).collect()
+    assert not any(r.c for r in got)
     want = {"x.log": True, "keep.log": True, "d/keep.log": True, "ab": False, "ac": True, "z": False}
     assert {r.path: r.a for r in got} == want
     assert all(r.a == r.b for r in got)
+
+
+def test_rules_of_a_table_agree_with_literal_rules(spark):
+    from corpus_catalog.operators import inventory as I
+    from corpus_catalog.sources import rules as R
+
+    texts = {
+        "a": "*.log\n!k*\nkeep/\n[bad\n/x*\n!/xy\n!/xz\n",
+        "b": "*.py\n",
+        "c": "!x\n",
+        "d": "# nothing\n",
+    }
+    names = ["x.log", "k.log", "keep/k.log", "xy", "xz", "xa", "m.py", "d/m.py", "z"]
+    rule_files = spark.createDataFrame(list(texts.items()), "repo string, content string")
+    paths = spark.createDataFrame([(r, n) for r in [*texts, "e"] for n in names], "repo string, path string")
+    ruled = I.with_rules(paths, R.rules_by_repo(rule_files, []))
+    got = {(r.repo, r.path): r.i for r in ruled.select("repo", "path", I.ignored_by_repo_rules(F.col("path")).alias("i")).collect()}
+    for repo in [*texts, "e"]:
+        rules = globs.parse_rules(texts.get(repo, ""))
+        want = paths.filter(F.col("repo") == repo).select("path", globs.is_ignored(F.col("path"), rules).alias("i"))
+        for row in want.collect():
+            assert got[(repo, row.path)] == row.i, (repo, row.path)

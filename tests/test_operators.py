@@ -163,7 +163,7 @@ def scan(spark, paths, rules="", vcs=False, tool=True, tracked=(), gitmodules=""
     modules = spark.createDataFrame([("r", gitmodules)], "repo string, content string")
     marked = spark.createDataFrame([("r", m) for m in markers], "repo string, path string")
     modes = I.scan_modes(repos, tracked, files)
-    by_repo = R.rules_by_repo(R.ignore_rules(rule_files))
+    by_repo = R.rules_by_repo(rule_files)
     found = I.scan(files, modes, tracked, by_repo, R.submodule_names(modules), marked)
     mode = one(modes)
     return {r.path: r.is_priority for r in found.collect()}, mode.ignore_mode, mode.warning
