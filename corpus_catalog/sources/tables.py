@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -12,6 +15,7 @@ from corpus_catalog import config as C
 from corpus_catalog.schemas import CACHE
 
 _local_dirs: dict[str, str] = {}
+_scratch = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +47,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     file contents again.
     """
     path = new_path(df.sparkSession, name)
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.parquet(path)
     return read(df.sparkSession, path, df.schema)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop the intermediate tables of this block when it ends.
+
+    For work whose results are all written inside the block, such as one
+    micro-batch of an endless stream.
+    """
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scratch.paths = _scratch.paths, outer
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a table that is read in fewer tasks than there are cores.
 

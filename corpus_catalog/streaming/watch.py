@@ -210,6 +210,11 @@ class Watch:
         return done.unionByName(misses.join(fresh, list(version)))
 
     def process(self, batch: DataFrame, number: int) -> None:
+        """Handle one micro-batch; everything it leaves behind is a numbered snapshot."""
+        with tables.scratch(batch.sparkSession):
+            self._process(batch, number)
+
+    def _process(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         wanted = ignore_filter(batch, list(self.rules)) if self.rules else batch
         tables.write_snapshot(self._delta(wanted, number), self.deltas, number)

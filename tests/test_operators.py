@@ -18,23 +18,23 @@ from corpus_catalog.schemas import CACHE
 from corpus_catalog.sources import rules as R, tables
 from corpus_catalog.sources.tree_source import read_trees
 
-FUNCTIONS = '''"""Sample module with functions."""
+FUNCTIONS = '''"""Reads meters."""
 
 import os
 import sys
 from pathlib import Path
 
-def public_function():
+def read_meter():
     pass
 
-class MyClass:
+class Meter:
     pass
 
-def _private_helper():
+def _calibrate():
     pass
 
 if __name__ == "__main__":
-    public_function()
+    read_meter()
 '''
 
 
@@ -49,10 +49,10 @@ def one(df):
 
 def test_python_summary(files):
     row = one(S.summarize(files({"pkg/sample.py": FUNCTIONS})))
-    assert row.public_symbols == ["public_function", "MyClass"]
+    assert row.public_symbols == ["read_meter", "Meter"]
     assert row.public_symbols_count == 2
     assert row.import_deps == ["os", "pathlib", "sys"]
-    assert row.summary == "Sample module with functions."
+    assert row.summary == "Reads meters."
     assert row.role == "entrypoint"
     assert [e.asDict() for e in row.entrypoints] == [
         {
@@ -227,6 +227,35 @@ def test_preview(spark, rows):
     assert {r.more for r in got if r.repo == "q"} == {0}
 
 
+def test_candidates_drop_what_a_scan_drops(spark, files, monkeypatch):
+    df = files({"a.py": "", ".h/x": "", "v/x": "", "b.log": ""}).unionByName(
+        files({"a.py": "", ".h/x": "", "v/x": "", "b.log": ""}, "g")
+    )
+    modes = spark.createDataFrame([("r", "best_effort"), ("g", "git")], "repo string, ignore_mode string")
+    rules = R.rules_by_repo(spark.createDataFrame([("r", "v"), ("g", "v")], "repo string, content string"))
+    kept = I.candidates(df, modes, rules)
+    assert kept.columns == df.columns
+    assert {(r.repo, r.path) for r in kept.collect()} == {
+        ("r", "a.py"), ("g", "a.py"), ("g", ".h/x"), ("g", "v/x"),
+    }
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 1)
+    assert I.candidates(df, modes, rules).count() == df.count()
+
+
+def test_contents_are_picked_without_a_shuffle(spark, files):
+    df = files({"a": "", "b": ""}).unionByName(files({"c": ""}, "q"))
+    wanted = spark.createDataFrame([("r", "a")], "repo string, path string")
+
+    def picked(rows, limit):
+        found = B.contents_of(df, wanted, rows, limit)
+        assert "hashpartitioning(wanted_key" not in found._jdf.queryExecution().toString()
+        return sorted(r.path for r in found.collect())
+
+    assert picked(1, 10) == ["a"]
+    assert picked(11, 10) == ["a", "b"]  # the repos that are touched
+    assert picked(11, 0) == ["a", "b", "c"]
+
+
 # --- cache -----------------------------------------------------------------------
 
 
@@ -329,7 +358,7 @@ def test_documents_are_equal_for_equal_input(spark, files):
     assert texts[0] == texts[1]
     doc = texts[0].content
     assert "## Directory Structure" in doc and "## Key Files" in doc and "## Other Files" in doc
-    assert '### main.py\n**Role:** entrypoint\n\nSample module with functions.\n\n**Provides:** public_function, MyClass\n**Consumes:** os, pathlib, sys\n**Entry:** `if __name__ == "__main__"` (line 16)\n' in doc
+    assert '### main.py\n**Role:** entrypoint\n\nReads meters.\n\n**Provides:** read_meter, Meter\n**Consumes:** os, pathlib, sys\n**Entry:** `if __name__ == "__main__"` (line 16)\n' in doc
     assert "| lib/u.py | library | Defines: f |" in doc
     other = modes.withColumn("ignore_mode", F.lit("best_effort"))
     built = B.build(df, listed, None, KEY, F.lit("2024-01-01"))

@@ -1,3 +1,4 @@
+import glob
 from datetime import datetime
 
 import pytest
@@ -51,6 +52,12 @@ def test_state_follows_versions(spark, run):
     assert len(tables.snapshots(spark, watch.bases)) == 2
 
 
+def test_batches_leave_no_intermediate_tables(spark, run):
+    run([[version("a.md", "# One", 1)]])
+    left = glob.glob(tables.shared_dir(spark) + "/corpus_catalog/*")
+    assert not [p for p in left if "touched-" in p or "newest-" in p or "versions-" in p]
+
+
 def test_unchanged_content_is_a_hit(spark, run):
     watch = run([[version("a.md", "# One", 1)], [version("a.md", "# One", 2)]])
     (row,) = watch.files(spark).collect()
