@@ -62,7 +62,7 @@ def extension(path: Column) -> Column:
 
 def parent_dir(path: Column) -> Column:
     """Directory part of a path, empty at the top."""
-    return F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1)
+    return F.substring(path, F.lit(1), F.length(path) - F.length(file_name(path)) - 1)
 
 
 def ancestor_dirs(path: Column) -> Column:
@@ -70,7 +70,7 @@ def ancestor_dirs(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.transform(
         F.slice(parts, 1, F.size(parts) - 1),
-        lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"),
+        lambda _, i: F.call_function("substring_index", path, F.lit("/"), i + 1),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
 from corpus_catalog.operators.ordering import assemble, hot_groups
+from corpus_catalog.sources.tables import materialize
 
 
 def _directories(files: DataFrame) -> DataFrame:
@@ -57,35 +58,49 @@ def tree_lines(files: DataFrame, mark_top_files: bool = True) -> DataFrame:
         .agg(F.max("name").alias("last"))
         .select("repo", path_of_last.alias("node"), F.lit(True).alias("is_last"))
     )
-    nodes = nodes.join(last, ["repo", "node"], "left").withColumn(
-        "is_last", F.coalesce("is_last", F.lit(False))
+    # Stored, since the steps below read it three times.
+    nodes = materialize(
+        nodes.join(last, ["repo", "node"], "left").withColumn(
+            "is_last", F.coalesce("is_last", F.lit(False))
+        ),
+        "nodes",
     )
 
-    # Indentation below a directory: one piece per level under the top.
-    dirs = nodes.filter("is_dir").select("repo", "node", "is_last")
-    piece = F.when(F.col("is_last"), "    ").otherwise("│   ")
-    levels = dirs.select(
-        "repo",
-        F.col("node").alias("parent"),
-        F.posexplode(X.ancestor_dirs(F.concat("node", F.lit("/_")))).alias("level", "node"),
-    ).filter(F.col("level") > 0)
-    indents = (
-        levels.join(dirs, ["repo", "node"])
-        .groupBy("repo", "parent")
-        .agg(F.array_sort(F.collect_list(F.struct("level", piece.alias("piece")))).alias("pieces"))
+    # Indentation below a directory: blank under each last sibling among it and
+    # the directories above it, a line under the others.  Only last siblings
+    # are joined and gathered, at most one per level.
+    levels = (
+        nodes.filter("is_dir")
         .select(
             "repo",
-            "parent",
-            F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("indent"),
+            F.col("node").alias("parent"),
+            F.posexplode(X.ancestor_dirs(F.concat("node", F.lit("/_")))).alias("level", "node"),
         )
+        .filter(F.col("level") > 0)
+    )
+    last_dirs = nodes.filter(F.col("is_dir") & F.col("is_last")).select("repo", "node")
+    blanks = (
+        levels.join(last_dirs, ["repo", "node"])
+        .groupBy("repo", "parent")
+        .agg(F.collect_list("level").alias("blanks"))
+    )
+    parents = F.split("parent", "/")
+    indent = F.array_join(
+        F.transform(
+            F.slice(parents, 2, F.size(parents)),
+            lambda _, i: F.when(
+                F.coalesce(F.array_contains("blanks", i + 1), F.lit(False)), "    "
+            ).otherwise("│   "),
+        ),
+        "",
     )
     slash = F.when(F.col("is_dir"), "/").otherwise("")
     top_slash = F.lit("/") if mark_top_files else slash
     branch = F.when(F.col("is_last"), "└── ").otherwise("├── ")
     text = F.when(F.col("parent") == "", F.concat("name", top_slash)).otherwise(
-        F.concat(F.coalesce("indent", F.lit("")), branch, F.col("name"), slash)
+        F.concat(indent, branch, F.col("name"), slash)
     )
-    return nodes.join(indents, ["repo", "parent"], "left").select(
+    return nodes.join(blanks, ["repo", "parent"], "left").select(
         "repo", X.order_key(F.col("node")).alias("key"), text.alias("text")
     )
 

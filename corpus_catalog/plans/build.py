@@ -99,5 +99,5 @@ def build(
 
 def context_documents(built: Build, modes: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
     """Markdown documents with their token estimate and warnings."""
-    parts = documents(unpacked(built.summaries), modes, limit)
+    parts = materialize(documents(unpacked(built.summaries), modes, limit), "documents")
     return parts.join(token_budget(parts), "repo")
