@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpus_catalog import config as C
-from corpus_catalog.functions import text as X
 from corpus_catalog.operators.diff import KINDS, change_counts
 from corpus_catalog.operators.document import (
     ORDER,

@@ -105,7 +105,9 @@ def tree_lines(files: DataFrame, mark_top_files: bool = True) -> DataFrame:
     )
 
 
-def directory_tree(files: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+def directory_tree(
+    files: DataFrame, limit: int = C.PART_ROWS, mark_top_files: bool = True
+) -> DataFrame:
     """``(repo, part, content)``; repos above ``limit`` files come in parts."""
     hot = hot_groups(files.select("repo"), ["repo"], limit)
-    return assemble(tree_lines(files), ["repo"], ["key"], limit=limit, hot=hot)
+    return assemble(tree_lines(files, mark_top_files), ["repo"], ["key"], limit=limit, hot=hot)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpus_catalog import config as C
 from corpus_catalog.operators import cache as K, diff as D
 from corpus_catalog.operators.document import documents, token_budget
+from corpus_catalog.operators.inventory import normalized
 from corpus_catalog.operators.summarize import packed, summarize, unpacked
 from corpus_catalog.sources.tables import materialize
 
@@ -61,7 +62,7 @@ def fill(
     Without a cache the contents are read once.  With one, the lookup moves
     hashes only, and then the contents of the misses are read.
     """
-    inventory = materialize(inventory, "inventory")
+    files, inventory = normalized(files), materialize(inventory, "inventory")
     listed = contents_of(files, inventory, inventory.count(), broadcast_rows)
     if cache is None:
         return inventory.withColumns(

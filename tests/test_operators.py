@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_catalog import config as C
-from corpus_catalog.functions import globs
 from corpus_catalog.operators import cache as K
 from corpus_catalog.operators import diff as D
 from corpus_catalog.operators import inventory as I
@@ -347,6 +346,16 @@ def test_second_build_hits_everything(files, broadcast_rows):
     assert {r.path: r.summary for r in cold.collect()} == {r.path: r.summary for r in again.collect()}
 
 
+def test_backslashes_in_paths(spark, files):
+    df = files({"a\\b.py": "x = 1"})
+    modes = spark.createDataFrame([("r", "best_effort")], "repo string, ignore_mode string")
+    rules = R.rules_by_repo(spark.createDataFrame([], "repo string, content string"))
+    none = spark.createDataFrame([], "repo string, path string")
+    found = I.scan(df, modes, none, rules, none, none)
+    for cache in (None, spark.createDataFrame([], CACHE)):
+        assert one(B.fill(I.candidates(df, modes, rules), found, cache, KEY)).path == "a/b.py"
+
+
 def test_documents_are_equal_for_equal_input(spark, files):
     df = files({"main.py": FUNCTIONS, "lib/u.py": "def f(): pass", "README.md": "# Hi"})
     modes = spark.createDataFrame([("r", "git")], "repo string, ignore_mode string")

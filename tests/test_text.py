@@ -1,9 +1,6 @@
-import hashlib
-import os
 import random
 import re
 
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from corpus_catalog.functions import text as X

@@ -2,7 +2,6 @@ import glob
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpus_catalog.functions import globs
 from corpus_catalog.schemas import FILE_VERSIONS
