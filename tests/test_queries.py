@@ -13,7 +13,7 @@ TABLES = [
 # Slow to start, and covered by tests of their own.
 SLOW = {"watch_rebuild", "changes_summaries", "document_sink", "cache_status"}
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = dict(contract.registry.QUERIES), contract.oracle.statements()
 
 
 @pytest.fixture(scope="module")
