@@ -15,8 +15,9 @@ similarity of at least ``threshold``; groups are the connected components.
 4.  Every member of a list is paired with the list's cleanest member only, the one
     with the fewest shingles of its own, such as the text that others were
     copied from. Union-sketch estimates filter the pairs, the full sets decide.
-5.  Lists that still hold several components give the pairs between them. Pairs
-    inside a component would not change it, so they are never formed.
+5.  Lists that still hold several components give the pairs between them, as far
+    as their places in the lists leave room for the needed overlap. Pairs inside a
+    component would not change it, so they are never formed.
 """
 
 from __future__ import annotations
@@ -130,29 +131,63 @@ def _comparable(threshold: float, x: str, y: str) -> Column:
     return F.expr(f"10000 * least({x}, {y}) >= {share} * greatest({x}, {y})")
 
 
-def linked(work: Work, lists: DataFrame, sets: DataFrame, threshold: float, k: int = K) -> DataFrame:
-    """Links ``(a, b)`` that connect all similar sets which meet in a list, not each of their pairs.
+def rarest(work: Work, sets: DataFrame, threshold: float) -> DataFrame:
+    """Lists under which similar sets must meet: ``rep, n, h, before, rank``.
 
-    ``lists (rep, n, h, rank)`` has a row for each list ``h`` that a set of ``n`` hashes
-    is in, ``sets (rep, n, hashes)`` the sets. First each member is compared with
-    its list's member of the lowest rank, then members of different components.
+    A set is listed under its rarest shingles, in one order for all sets. ``before`` counts
+    its shingles ahead of ``h`` in that order, first those of no other set. With
+    ``ceil(threshold * n)`` or more of them left from ``h`` on, two similar sets
+    share one of the listed. ``rank`` is the part that no other set holds.
     """
+    items = sets.select("rep", "n", F.explode("hashes").alias("h"))
+    common = work.store(items.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "common")
+    mine = Window.partitionBy("rep")
+    ranked = items.join(common, "h").select(
+        "rep", "n", "h",
+        F.row_number().over(mine.orderBy("c", "h")).alias("place"),
+        F.greatest(F.col("n") - F.count("*").over(mine), F.lit(0)).alias("own"),
+    )
+    return work.store(
+        ranked.select("rep", "n", "h", (F.col("own") + F.col("place") - 1).alias("before"), (F.col("own") / F.col("n")).alias("rank"))
+        .filter(F.col("n") - F.col("before") >= _ceil_share("n", threshold)),
+        "rarest",
+    )
+
+
+def _stars(work: Work, lists: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of each list's member of the lowest rank with the others."""
     pivots = work.store(
         lists.groupBy("h").agg(F.min(F.struct("rank", "rep", "n")).alias("p"), F.count("*").alias("c"))
         .filter("c > 1").select("h", F.col("p.rep").alias("a"), F.col("p.n").alias("a_n")),
         "pivots",
     )
-    stars = (
+    return (
         lists.join(pivots, "h").filter(F.col("rep") != F.col("a")).filter(_comparable(threshold, "n", "a_n"))
         .select("a", F.col("rep").alias("b")).distinct()
     )
+
+
+def linked(
+    work: Work, sets: DataFrame, threshold: float, k: int = K, lists: DataFrame | None = None
+) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar sets of ``sets (rep, n, hashes)``, not each of their pairs.
+
+    First each member of a list is compared with the list's member of the lowest rank, in
+    the lists of the rarest shingles and in further ``lists (rep, n, h, rank)``. Then
+    members of different components are compared that meet under a rarest shingle:
+    at the first one that two sets share, what either has from there on bounds their overlap.
+    """
+    exact = rarest(work, sets, threshold)
+    stars = _stars(work, exact, threshold)
+    if lists is not None:
+        stars = stars.union(_stars(work, lists, threshold)).distinct()
     first = _confirmed(work, stars, sets, threshold, k, "star")
     found = work.store(components(work, first), "found")
 
     # Pairs between the components that still meet in a list.
     placed = work.store(
-        lists.join(found, lists.rep == found.node, "left")
-        .select("rep", "n", "h", F.coalesce("component", "rep").alias("component")),
+        exact.join(found, exact.rep == found.node, "left")
+        .select("rep", "n", "h", "before", F.coalesce("component", "rep").alias("component")),
         "placed",
     )
     mixed = work.store(
@@ -161,10 +196,14 @@ def linked(work: Work, lists: DataFrame, sets: DataFrame, threshold: float, k: i
         "mixed",
     )
     left = work.store(placed.join(mixed, "h"), "left")
-    right = left.select("h", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
+    right = left.select("h", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "before", "component")))
+    share = round(threshold * 10_000)
+    overlap = F.expr(
+        f"least(n - before, b_n - b_before) * {10_000 + share} >= {share} * (n + b_n)"
+    )
     between = (
-        left.join(right, "h").filter("component <> b_c and rep < b").filter(_comparable(threshold, "n", "b_n"))
-        .select(F.col("rep").alias("a"), "b").distinct()
+        left.join(right, "h").filter("component <> b_component and rep < b_rep").filter(overlap)
+        .filter(_comparable(threshold, "n", "b_n")).select(F.col("rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     )
     return first.union(_confirmed(work, between, sets, threshold, k, "between"))
 
@@ -211,28 +250,12 @@ def near_duplicates(
             "likely",
         )
 
-        # Their full sets, and the rarest shingles that similar sets must share one of.
         texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("t"))
         sets = work.store(
             full_sets(texts.join(likely, "rep")).select("rep", F.size("hashes").cast("long").alias("n"), "hashes"),
             "sets",
         )
-        items = sets.select("rep", "n", F.explode("hashes").alias("h"))
-        common = work.store(items.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "common")
-        by_rarity = Window.partitionBy("rep").orderBy("c", "h")
-        ranked = items.join(common, "h").select(
-            "rep", "n", "h",
-            F.row_number().over(by_rarity).alias("place"),
-            F.count("*").over(Window.partitionBy("rep")).alias("shared"),
-        )
-        prefix = work.store(
-            ranked.withColumn("own", F.greatest(F.col("n") - F.col("shared"), F.lit(0)))
-            .filter(F.col("place") + F.col("own") <= F.col("n") - _ceil_share("n", threshold) + 1)
-            .select("rep", "n", "h", "own"),
-            "prefix",
-        )
-
-        links = linked(work, prefix.select("rep", "n", "h", (F.col("own") / F.col("n")).alias("rank")), sets, threshold, k)
+        links = linked(work, sets, threshold, k)
         groups = work.keep(components(work, links), "groups")
     component = F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     result = members.join(groups, members.rep == groups.node, "left").select(

@@ -149,7 +149,7 @@ def repeated_paragraphs(
         sets = work.store(
             paragraph_sets(texts.join(wanted, "id").select("id", "t", "lines"), min_words), "sets"
         )
-        links = linked(work, lists, sets, threshold)
+        links = linked(work, sets, threshold, lists=lists)
         groups = work.keep(components(work, links), "groups")
     first = F.coalesce("component", "rep")
     return (
