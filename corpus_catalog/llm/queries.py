@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpus_catalog.llm import near_dups, substrings
+from corpus_catalog.llm import decontaminate, near_dups, packing, quality, substrings
 from corpus_catalog.llm.common import documents
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, sf_dir), threshold=0.85)
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph to remove, with the document that keeps its first copy."""
     found = substrings.repeated_paragraphs(documents(spark, sf_dir))
@@ -24,8 +39,13 @@ def op4_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": op1_pack,
     "op4_repeated_paragraphs": op4_repeated_paragraphs,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_leaks": op8_leaks,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_leaks": decontaminate.LEAKS_SQL,
+}
