@@ -7,10 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpus_catalog.llm import decontaminate, near_dups, packing, quality, substrings
+from corpus_catalog.llm import decontaminate, licenses, near_dups, packing, quality, sharding, substrings, token_counts
 from corpus_catalog.llm.common import documents
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source",
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
@@ -29,6 +36,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op4_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph to remove, with the document that keeps its first copy."""
     found = substrings.repeated_paragraphs(documents(spark, sf_dir))
@@ -38,12 +50,19 @@ def op4_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op3_token_counts": op3_token_counts,
     "op4_repeated_paragraphs": op4_repeated_paragraphs,
+    "op5_shards": op5_shards,
     "op7_quality_rules": op7_quality_rules,
     "op8_leaks": op8_leaks,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
