@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpus_catalog.llm import decontaminate, licenses, near_dups, packing, quality, sharding, substrings, token_counts
+from corpus_catalog.llm import decontaminate, html_text, lattice_lm, licenses, near_dups, packing, quality, sharding, substrings, token_counts
 from corpus_catalog.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
@@ -36,6 +40,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.train(pages))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return found.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -56,9 +65,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_main_text": op2_main_text,
     "op3_token_counts": op3_token_counts,
     "op4_repeated_paragraphs": op4_repeated_paragraphs,
     "op5_shards": op5_shards,
+    "op6_lattice_scores": op6_lattice_scores,
     "op7_quality_rules": op7_quality_rules,
     "op8_leaks": op8_leaks,
     "op9_near_duplicates": op9_near_duplicates,
