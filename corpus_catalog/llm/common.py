@@ -22,13 +22,14 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self._paths = spark, name, []
+        self.spark, self.name = spark, name
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Work:
         return self
 
     def __exit__(self, *_) -> None:
-        for path in self._paths:
+        for _, path in self._paths.values():
             self._drop(path)
 
     def _write(self, df: DataFrame, name: str) -> str:
@@ -42,8 +43,13 @@ class Work:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = self._write(df, name)
-        self._paths.append(path)
-        return tables.read(self.spark, path, df.schema)
+        found = tables.read(self.spark, path, df.schema)
+        self._paths[id(found)] = found, path
+        return found
+
+    def release(self, stored: DataFrame) -> None:
+        """Drop a stored table that no later step reads."""
+        self._drop(self._paths.pop(id(stored))[1])
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return tables.read(self.spark, self._write(df, name), df.schema)

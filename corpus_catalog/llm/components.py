@@ -21,11 +21,21 @@ def _star(work: Work, sides: DataFrame, name: str) -> DataFrame:
     return sides.join(least, "u")
 
 
-def components(work: Work, links: DataFrame) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether every link leads straight to a root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+    )
+    per_node = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return per_node.filter("up > 1 or up = 1 and root = 1").isEmpty()
+
+
+def components(work: Work, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(node, component)`` of every node of ``links (a, b)``; the component is its smallest node.
 
     An empty table of links gives an empty table. Links of a node with itself,
-    repeated links and null ends are ignored.
+    repeated links and null ends are ignored. After a given number of ``rounds`` a
+    component may still have several labels, but no label belongs to two.
     """
     edges = work.store(
         links.filter("a is not null and b is not null and a <> b")
@@ -33,14 +43,11 @@ def components(work: Work, links: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    before = None
-    while True:
+    done = 0
+    while done != rounds:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = work.store(
-            _star(work, both, "large")
-            .filter("v > u and v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct(),
+            _star(work, both, "large").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
             "large",
         )
         small = _star(work, large, "small")
@@ -50,12 +57,9 @@ def components(work: Work, links: DataFrame) -> DataFrame:
             .distinct(),
             "small",
         )
-        state = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-        ).first()
-        if state == before:
+        done += 1
+        if done != rounds and _settled(edges):
             break
-        before = state
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.union(roots)
+    nodes = edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = edges.select("v").distinct().join(edges.select("u").distinct(), F.col("v") == F.col("u"), "left_anti")
+    return nodes.union(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))

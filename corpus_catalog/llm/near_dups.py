@@ -182,7 +182,7 @@ def linked(
     if lists is not None:
         stars = stars.union(_stars(work, lists, threshold)).distinct()
     first = _confirmed(work, stars, sets, threshold, k, "star")
-    found = work.store(components(work, first), "found")
+    found = work.store(components(work, first, rounds=1), "found")  # enough to leave few pairs
 
     # Pairs between the components that still meet in a list.
     placed = work.store(

@@ -24,6 +24,8 @@ from corpus_catalog.llm.near_dups import linked
 
 BANDS, ROWS = 16, 3
 MIN_WORDS = 40
+#: Places of colliding paragraphs up to this size go to the texts instead of the texts to them.
+BROADCAST_BYTES = 32 << 20
 
 _random = np.random.default_rng(7)
 _FACTOR = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,12 +141,19 @@ def repeated_paragraphs(
             .dropDuplicates(["rep", "f1", "f2"])
         )
         banded = work.store(nodes.select("rep", "n", F.explode("bands").alias("h")), "bands")
+        work.release(found)
         shared = work.store(banded.groupBy("h").count().filter("count > 1").select("h"), "shared")
         lists = work.store(banded.join(shared, "h"), "lists")
+        work.release(banded)
         # The paragraph that collides in most bands is the likeliest origin of the others.
         hits = work.store(lists.groupBy("rep").agg((-F.count("*")).alias("rank")), "hits")
         lists = lists.join(hits, "rep")
-        wanted = hits.groupBy(F.col("rep.id").alias("id")).agg(F.collect_set("rep.line").alias("lines"))
+        wanted = work.store(
+            hits.groupBy(F.col("rep.id").alias("id")).agg(F.collect_set("rep.line").alias("lines")), "wanted"
+        )
+        size = wanted.agg(F.coalesce(F.sum(56 + 4 * F.size("lines")), F.lit(0))).first()[0]
+        if size <= BROADCAST_BYTES:  # else the texts are shuffled
+            wanted = F.broadcast(wanted)
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
         sets = work.store(
             paragraph_sets(texts.join(wanted, "id").select("id", "t", "lines"), min_words), "sets"

@@ -1,0 +1,36 @@
+"""The registered queries and the pipeline on the smallest tables."""
+
+import duckdb
+
+import corpus_pipeline
+from corpus_catalog.llm import decontaminate, near_dups, quality, queries, substrings
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_leaks_equal_sql(spark):
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.sql(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
+    found = queries.QUERIES["op8_leaks"](spark, SF_DIR).select("doc_id", "item_id", "n_shared", "n_item").collect()
+    assert sorted(map(tuple, found)) == sorted(duck.sql(queries.ORACLE_SQL["op8_leaks"]).fetchall())
+
+
+def test_stages_take_effect(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    columns, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF_DIR).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+        sizes.append(docs.count())
+        if name == "quality_rules":
+            assert quality.statistics(docs).filter("n_words < 50").count() == 0
+        if name == "near_duplicates":
+            assert near_dups.near_duplicates(docs).filter("not kept").count() == 0
+        if name == "substring_dedup":
+            assert substrings.repeated_paragraphs(docs).count() == 0
+        if name == "decontamination":
+            assert decontaminate.leaks(docs, spark.read.parquet(f"{SF_DIR}/benchmark.parquet")).count() == 0
+    assert sizes == sorted(sizes, reverse=True) and 0 < sizes[-1] < sizes[0]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).select("doc_id").distinct().count() == sizes[-1]
