@@ -82,10 +82,11 @@ def scan_hash_of(
 
 
 def corpus_fingerprint(files: DataFrame) -> DataFrame:
-    """One order-free fingerprint of a whole corpus, from partial aggregates."""
+    """One order-free fingerprint of a whole corpus, from partial sums modulo 2^60; repeated rows count."""
     row = F.sha2(F.concat_ws("\n", "repo", "path", "source_hash"), 256)
     # 15 hex digits fit a bigint.
     number = F.conv(F.substring(row, 1, 15), 16, 10).cast("bigint")
+    total = F.coalesce(F.sum(number.cast("decimal(20,0)")), F.lit(0))
     return files.agg(
-        F.count(F.lit(1)).alias("files"), F.bit_xor(number).alias("fingerprint")
+        F.count(F.lit(1)).alias("files"), (total % F.lit(2**60)).cast("bigint").alias("fingerprint")
     )

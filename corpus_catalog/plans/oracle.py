@@ -654,8 +654,8 @@ def statements() -> dict[str, str]:
         "changes_summaries": _report("summaries"),
         "changes_both": _report("both"),
         "scan_hash": f"{files},{MODES},{H1} {_digest('h1')}",
-        "fingerprint": f"""{files},{H1} SELECT count(*) AS files, bit_xor(CAST('0x' ||
-            left(sha256(repo || {NL} || path || {NL} || source_hash), 15) AS BIGINT)) AS fingerprint FROM h1""",
+        "fingerprint": f"""{files},{H1} SELECT count(*) AS files, CAST(coalesce(sum(CAST('0x' ||
+            left(sha256(repo || {NL} || path || {NL} || source_hash), 15) AS BIGINT)), 0) % {2**60} AS BIGINT) AS fingerprint FROM h1""",
         "key_file_score": f"""{summaries} , scored AS (SELECT repo, path, CAST(
               CASE role WHEN 'entrypoint' THEN 10 WHEN 'config' THEN 5 WHEN 'docs' THEN 3 ELSE 0 END
               + CASE WHEN regexp_matches(lower(path), '(readme|claude\\.md|package\\.json|cargo\\.toml|go\\.mod|pyproject\\.toml)[^/]*$') THEN 3 ELSE 0 END

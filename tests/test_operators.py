@@ -514,3 +514,12 @@ def test_source_trees(spark, tmp_path):
     }
     single = read_trees(spark, str(tmp_path / "one"), "mine")
     assert {r.repo for r in single.collect()} == {"mine"} and single.count() == 3
+
+
+def test_fingerprint_counts_repeated_rows(spark):
+    from corpus_catalog.operators.digest import corpus_fingerprint
+
+    rows = [("r", "a", "1"), ("r", "b", "2")]
+    schema = "repo string, path string, source_hash string"
+    once, twice, none = (corpus_fingerprint(spark.createDataFrame(x, schema)).first() for x in (rows, rows * 2, []))
+    assert once.fingerprint != twice.fingerprint != 0 and (none.files, none.fingerprint) == (0, 0)
