@@ -17,6 +17,8 @@ from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
+from corpus_catalog.functions.text import normal_path
+
 _SPECIAL = set(r"\.^$|?*+()[]{}-&~#/") - {"/"}
 
 
@@ -117,7 +119,7 @@ def compile_rules(lines: list[str]) -> list[Rule]:
 def matches(path: Column, pattern: str) -> Column:
     """Does one rule, without negation, match the path?"""
     regex = compile_pattern(pattern).regex
-    return F.lit(False) if regex is None else path.rlike(regex)
+    return F.lit(False) if regex is None else normal_path(path).rlike(regex)
 
 
 def decision_runs(rules: list[Rule]) -> list[tuple[bool, str]]:
@@ -134,6 +136,7 @@ def one_regex(rules: list[Rule], negated: bool) -> str:
 
 def is_ignored(path: Column, rules: list[Rule]) -> Column:
     """Last matching rule decides; rules are literals, so nothing is joined."""
+    path = normal_path(path)
     decisions = [
         F.when(path.rlike(regex), F.lit(not negated)) for negated, regex in decision_runs(rules)
     ]
@@ -149,6 +152,8 @@ def is_ignored_by(path: Column, ignoring: Column, keeping: Column, runs: Column)
     compile a pattern per row.
     """
 
+    path = normal_path(path)
+
     def found(regex: Column) -> Column:
         return (regex != "") & (F.regexp_instr(path, regex) > 0)
 

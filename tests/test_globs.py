@@ -132,3 +132,10 @@ def test_rules_of_a_table_agree_with_literal_rules(spark):
         want = paths.filter(F.col("repo") == repo).select("path", globs.is_ignored(F.col("path"), rules).alias("i"))
         for row in want.collect():
             assert got[(repo, row.path)] == row.i, (repo, row.path)
+
+
+def test_paths_are_normalised(spark):
+    path = spark.createDataFrame([("node_modules\\x.js",)], "path string")
+    rules = globs.compile_rules(["node_modules/"])
+    column = path["path"]
+    assert path.select(globs.is_ignored(column, rules), globs.matches(column, "node_modules/")).first()[:] == (True, True)
