@@ -58,15 +58,25 @@ def builds(scan_hashes: DataFrame, tool_version: str = C.TOOL_VERSION) -> DataFr
 
 
 def _delta(previous: DataFrame, current: DataFrame) -> DataFrame:
-    old = previous.select("repo", "path", F.col("source_hash").alias("old_hash"))
-    new = current.select("repo", "path", F.col("source_hash").alias("new_hash"))
+    """Paths that differ, with the hash on each side; one shuffle, which all uses share.
+
+    A join would be rewritten for each use, into another one for every kind.
+    """
+    absent = F.lit(None).cast("string")
+    known = F.col("repo").isNotNull() & F.col("path").isNotNull()
+    old = previous.select("repo", "path", F.col("source_hash").alias("old_hash"), absent.alias("new_hash"))
+    new = current.select("repo", "path", absent.alias("old_hash"), F.col("source_hash").alias("new_hash"))
     kind = (
         F.when(F.col("old_hash").isNull(), "added")
         .when(F.col("new_hash").isNull(), "deleted")
         .when(F.col("old_hash") != F.col("new_hash"), "modified")
     )
     return (
-        old.join(new, ["repo", "path"], "full_outer")
+        old.unionByName(new)
+        .filter(known)  # else some uses would push it below the shuffle, and share none
+        .repartition("repo", "path")
+        .groupBy("repo", "path")
+        .agg(F.max("old_hash").alias("old_hash"), F.max("new_hash").alias("new_hash"))
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
     )

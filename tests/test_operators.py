@@ -439,6 +439,16 @@ def test_diff_invariants(spark):
     assert D.diff(old, old).isEmpty()
 
 
+def test_diff_shuffles_its_inputs_once(spark, tmp_path):
+    """All uses of the difference share one exchange: each table is read once."""
+    manifest(spark, [("same", "1"), ("a_old", "3"), ("gone", "4")]).write.parquet(str(tmp_path / "old"))
+    manifest(spark, [("same", "2"), ("x_new", "3"), ("fresh", "5")]).write.parquet(str(tmp_path / "new"))
+    found = D.diff(spark.read.parquet(str(tmp_path / "old")), spark.read.parquet(str(tmp_path / "new")))
+    assert len(found.collect()) == 4
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 2, plan
+
+
 def test_diff_status(spark):
     before = spark.createDataFrame([("b", "git"), ("c", "git"), ("d", "git")], "repo string, ignore_mode string")
     now = spark.createDataFrame([("a", "git"), ("b", "best_effort"), ("c", "git"), ("d", "git")], "repo string, ignore_mode string")
