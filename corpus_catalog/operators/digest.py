@@ -4,25 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
 from corpus_catalog.functions.json_text import json_string
-from corpus_catalog.operators.ordering import UNKNOWN, hot_groups, split_hot
-from corpus_catalog.sources.tables import small
 
+#: Hex digits of a path's SHA-256 that name its block.
+BLOCK_DIGITS = 4
 _ENTRIES = "concat('[', listagg(entry, ', ') within group (order by path, source_hash), ']')"
 
 
-def scan_hash(files: DataFrame, limit: int = C.PART_ROWS, hot=UNKNOWN) -> DataFrame:
-    """``(repo, ignore_mode, path, source_hash)`` to ``(repo, files, scan_hash)``.
-
-    The digest of a repo is the SHA-256 of the JSON list of its sorted
-    ``[mode, path, hash]`` triples, cut to 16 characters.  SHA-256 cannot be
-    split, so a repo of more than ``limit`` files is hashed in two levels:
-    files fall into blocks by path hash, and the digest is taken over the
-    block digests in block order.
-    """
-    entries = files.select(
+def _entries(files: DataFrame) -> DataFrame:
+    return files.select(
         "repo",
         "path",
         "source_hash",
@@ -37,46 +28,50 @@ def scan_hash(files: DataFrame, limit: int = C.PART_ROWS, hot=UNKNOWN) -> DataFr
         ).alias("entry"),
     )
 
-    def flat(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("repo").agg(
-            F.count(F.lit(1)).alias("files"), X.short_hash(F.expr(_ENTRIES)).alias("scan_hash")
-        )
 
-    if hot is UNKNOWN:
-        hot = hot_groups(files.select("repo"), ["repo"], limit)
-    if hot is None:
-        return flat(entries)
-    cool_rows, hot_rows = split_hot(entries, ["repo"], hot)
-    n_blocks = F.ceil(F.col("group_rows") / limit)
+def scan_hash(files: DataFrame) -> DataFrame:
+    """``(repo, ignore_mode, path, source_hash)`` to ``(repo, files, scan_hash)``.
+
+    SHA-256 cannot be split, so a repo of any size is hashed in two levels. Files
+    fall into blocks by the first ``BLOCK_DIGITS`` hex digits of their path's
+    SHA-256. A block's digest is that of the JSON list of its sorted
+    ``[mode, path, hash]`` triples; the repo's is taken over the digests of its
+    blocks in order, cut to 16 characters.
+    """
     blocks = (
-        hot_rows.join(small(*hot), "repo")
-        .withColumn("block", F.pmod(F.xxhash64("path"), n_blocks))
+        _entries(files)
+        .withColumn("block", F.substring(F.sha2("path", 256), 1, BLOCK_DIGITS))
         .groupBy("repo", "block")
         .agg(F.count(F.lit(1)).alias("files"), F.sha2(F.expr(_ENTRIES), 256).alias("digest"))
     )
     top = F.expr("listagg(digest, ', ') within group (order by block)")
-    return flat(cool_rows).unionByName(
-        blocks.groupBy("repo").agg(F.sum("files").alias("files"), X.short_hash(top).alias("scan_hash"))
+    return blocks.groupBy("repo").agg(F.sum("files").alias("files"), X.short_hash(top).alias("scan_hash"))
+
+
+def listing_hash(files: DataFrame) -> DataFrame:
+    """``(repo, files, scan_hash)`` in one level: SHA-256 of the whole sorted JSON list.
+
+    One task takes all files of a repo; only for repos known to be small, and for
+    comparison with digests taken elsewhere. Nothing here chooses it by size.
+    """
+    return _entries(files).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("files"), X.short_hash(F.expr(_ENTRIES)).alias("scan_hash")
     )
 
 
-def scan_hash_of(
-    repos: DataFrame, files: DataFrame, limit: int = C.PART_ROWS, hot=UNKNOWN
-) -> DataFrame:
-    """Digest of every given ``(repo, ignore_mode)``, also of those without files."""
-    if hot is UNKNOWN:
-        hot = hot_groups(files.select("repo"), ["repo"], limit)
+def scan_hash_of(repos: DataFrame, files: DataFrame) -> DataFrame:
+    """Digest of every given ``(repo, ignore_mode)``; without files, that of no blocks."""
     found = files.select("repo", "path", "source_hash").join(
         repos.select("repo", "ignore_mode"), "repo"
     )
     return (
         repos.select("repo", "ignore_mode")
-        .join(scan_hash(found, limit, hot), "repo", "left")
+        .join(scan_hash(found), "repo", "left")
         .select(
             "repo",
             "ignore_mode",
             F.coalesce("files", F.lit(0)).alias("files"),
-            F.coalesce("scan_hash", X.short_hash(F.lit("[]"))).alias("scan_hash"),
+            F.coalesce("scan_hash", X.short_hash(F.lit(""))).alias("scan_hash"),
         )
     )
 

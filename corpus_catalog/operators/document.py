@@ -85,7 +85,7 @@ def file_block(title: Column, entry: bool) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def totals(rows: DataFrame, modes: DataFrame, limit: int, hot) -> DataFrame:
+def totals(rows: DataFrame, modes: DataFrame) -> DataFrame:
     """File counts, cache hits, mode and digest of every repo in ``modes``."""
     counts = rows.groupBy("repo").agg(
         F.count_if("is_key").alias("n_key"),
@@ -93,7 +93,7 @@ def totals(rows: DataFrame, modes: DataFrame, limit: int, hot) -> DataFrame:
         F.count_if("cache_hit").alias("hits"),
     )
     return (
-        scan_hash_of(modes, rows, limit, hot)
+        scan_hash_of(modes, rows)
         .join(counts, "repo", "left")
         .na.fill(0, ["n_key", "n_other", "hits"])
     )
@@ -173,7 +173,7 @@ def documents(
     """
     rows = scored(summaries)
     hot = hot_groups(rows.select("repo"), ["repo"], limit)
-    per_repo = totals(rows, modes, limit, hot)
+    per_repo = totals(rows, modes)
     lines = document_lines(rows, per_repo, escape_cells)
     content = assemble(lines, ["repo"], ORDER, limit=limit, hot=hot)
     return content.join(per_repo.select("repo", "scan_hash", "files", "hits"), "repo")
@@ -186,7 +186,7 @@ def documents_json(summaries: DataFrame, modes: DataFrame, limit: int = C.PART_R
     """
     rows = scored(summaries)
     hot = hot_groups(rows.select("repo"), ["repo"], limit)
-    per_repo = totals(rows, modes, limit, hot)
+    per_repo = totals(rows, modes)
     first = rows.groupBy("repo").agg(
         F.min(F.when(F.col("is_key"), F.struct(-F.col("score"), "path")))["path"].alias("first_key"),
         F.min(F.when(~F.col("is_key"), F.col("path"))).alias("first_other"),

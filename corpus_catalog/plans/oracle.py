@@ -318,9 +318,13 @@ DIFF = _diff("ch", "h1", "h2")
 
 def _digest(rows: str) -> str:
     return f"""
-SELECT m.repo, m.ignore_mode, count(r.path) AS files, left(sha256('[' || coalesce(string_agg('["' || m.ignore_mode
-  || '", "' || r.path || '", "' || r.source_hash || '"]', ', ' ORDER BY r.path), '') || ']'), 16) AS scan_hash
-FROM modes m LEFT JOIN {rows} r USING (repo) WHERE m.present GROUP BY ALL"""
+SELECT repo, ignore_mode, CAST(sum(n) AS BIGINT) AS files,
+  left(sha256(coalesce(string_agg(digest, ', ' ORDER BY block), '')), 16) AS scan_hash
+FROM (
+  SELECT m.repo, m.ignore_mode, left(sha256(r.path), 4) AS block, count(r.path) AS n, sha256('[' || string_agg('["'
+    || m.ignore_mode || '", "' || r.path || '", "' || r.source_hash || '"]', ', ' ORDER BY r.path) || ']') AS digest
+  FROM modes m LEFT JOIN {rows} r USING (repo) WHERE m.present GROUP BY ALL
+) GROUP BY ALL"""
 
 
 # --- documents -----------------------------------------------------------------------------
