@@ -70,15 +70,19 @@ def version_keys(versions: DataFrame) -> DataFrame:
 
 
 def drop_redelivered(versions: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drop versions that arrive again within the watermark.
+    """Drop versions that arrive again within ``delay`` of their arrival.
 
     Time and deletion flag belong to the key: a file that returns to an older
-    content is a new version.
+    content is a new version. The watermark runs over the time of arrival, which
+    a restarted batch keeps, so a first delivery of any age passes; state holds the
+    keys that arrived within ``delay``, and a later redelivery passes again.
     """
     return (
         version_keys(versions)
-        .withWatermark("ts", delay)
+        .withColumn("arrived", F.current_timestamp())
+        .withWatermark("arrived", delay)
         .dropDuplicatesWithinWatermark(["repo", "path", "ts", "source_hash", "deleted"])
+        .drop("arrived")
     )
 
 
