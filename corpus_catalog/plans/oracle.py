@@ -39,7 +39,7 @@ _JS_HEAD = (
 
 CONTENT = f"""
 CASE
-  WHEN id % 251 = 7 THEN repeat('x = 1' || {NL}, 50001)
+  WHEN id % 251 = 7 THEN repeat(text || {NL}, CAST(200000 // (length(text) + 1) + 1 AS BIGINT))
   WHEN id % 97 = 5 THEN 'K = "-----BEGIN RSA PRIVATE KEY-----"' || {NL} || text
   WHEN id % 16 = 14 THEN 'BIN' || chr(0) || text
   WHEN id % 16 IN (1, 2, 3, 13) THEN {_PY_HEAD}
@@ -55,7 +55,7 @@ docs AS (SELECT doc_id AS id, source AS repo, text FROM documents),
 v1p AS (
   SELECT id, repo, unnest(CASE WHEN id % 19 = 4 AND id % 3 = 0 THEN [path, 'dup/' || path]
                                ELSE [path] END) AS path
-  FROM (SELECT id, repo, {PATH} AS path FROM docs WHERE id % 23 <> 6)
+  FROM (SELECT id, repo, {PATH} AS path FROM docs)
 )"""
 V1 = V1_PATHS + f""",
 v1 AS (
@@ -64,9 +64,12 @@ v1 AS (
 )"""
 V2 = f"""
 v2 AS (
-  SELECT id, repo, CASE WHEN id % 19 = 4 THEN 'moved/' ELSE '' END || ({PATH}) AS path,
-    ({CONTENT}) || CASE WHEN id % 13 = 5 THEN {NL} || '# modified' ELSE '' END AS content
-  FROM docs WHERE id % 17 <> 3
+  SELECT id, repo, unnest(CASE WHEN id % 23 = 6 THEN [path, 'new/' || path] ELSE [path] END) AS path, content
+  FROM (
+    SELECT id, repo, CASE WHEN id % 19 = 4 THEN 'moved/' ELSE '' END || ({PATH}) AS path,
+      ({CONTENT}) || CASE WHEN id % 13 = 5 THEN {NL} || '# modified' ELSE '' END AS content
+    FROM docs WHERE id % 17 <> 3
+  )
 )"""
 NUMBER = "CAST(substr(repo, 4) AS BIGINT)"
 TRACKED = f"""

@@ -86,8 +86,11 @@ def _content() -> Column:
         F.lit(" {}\n"),
         _comment("// "),
     )
+    # The text again and again, to more than the size limit.
+    times = F.expr("cast(200000 div (length(text) + 1) + 1 as int)")
+    oversized = F.repeat(F.concat(text, F.lit("\n")), times)
     return (
-        F.when(_mod(251) == 7, F.repeat(F.lit("x = 1\n"), 50_001))
+        F.when(_mod(251) == 7, oversized)
         .when(
             _mod(97) == 5,
             F.concat(F.lit('K = "-----BEGIN RSA PRIVATE KEY-----"\n'), text),
@@ -101,14 +104,13 @@ def _content() -> Column:
 
 
 def files_v1(docs: DataFrame) -> DataFrame:
-    """First snapshot; some files have a second copy below ``dup/``."""
+    """First snapshot: every document; some files have a second copy below ``dup/``."""
     copies = F.when(
         (_mod(19) == 4) & (_mod(3) == 0),
         F.array(F.col("path"), F.concat(F.lit("dup/"), F.col("path"))),
     ).otherwise(F.array("path"))
     return (
-        docs.filter(_mod(23) != 6)
-        .withColumn("path", _path())
+        docs.withColumn("path", _path())
         .select(
             F.col("source").alias("repo"),
             F.explode(copies).alias("path"),
@@ -119,12 +121,16 @@ def files_v1(docs: DataFrame) -> DataFrame:
 
 
 def files_v2(docs: DataFrame) -> DataFrame:
-    """Second snapshot: some files gone, new, edited or moved."""
+    """Second snapshot: some files gone, edited or moved, and new copies below ``new/``."""
     moved = F.when(_mod(19) == 4, "moved/").otherwise("")
     edit = F.when(_mod(13) == 5, "\n# modified").otherwise("")
-    return docs.filter(_mod(17) != 3).select(
+    copies = F.when(
+        _mod(23) == 6, F.array(F.col("path"), F.concat(F.lit("new/"), F.col("path")))
+    ).otherwise(F.array("path"))
+    placed = docs.filter(_mod(17) != 3).withColumn("path", F.concat(moved, _path()))
+    return placed.select(
         F.col("source").alias("repo"),
-        F.concat(moved, _path()).alias("path"),
+        F.explode(copies).alias("path"),
         F.concat(_content(), edit).cast("binary").alias("content"),
         "doc_id",
     )
