@@ -16,7 +16,7 @@ from corpus_catalog.operators.cache import (
     upsert,
 )
 from corpus_catalog.operators.diff import builds, change_counts, diff, diff_status, hashes
-from corpus_catalog.operators.digest import corpus_fingerprint, scan_hash, scan_hash_of
+from corpus_catalog.operators.digest import corpus_fingerprint, listing_hash, scan_hash, scan_hash_of
 from corpus_catalog.operators.document import documents, documents_json, token_budget
 from corpus_catalog.operators.inventory import candidates, preview, scan, scan_modes
 from corpus_catalog.operators.rank import key_files, other_files, scored
@@ -62,6 +62,7 @@ __all__ = [
     "ignore_rules",
     "key_files",
     "latest",
+    "listing_hash",
     "lookup",
     "other_files",
     "preview",

@@ -27,21 +27,27 @@ def scan_modes(repos: DataFrame, tracked: DataFrame, files: DataFrame) -> DataFr
 
     ``repos`` has repo, vcs (under version control) and vcs_tool (tool found).
     A repo that does not exist, or is under version control with an empty
-    manifest, gets a warning.
+    manifest, gets a warning.  With a column root ('directory', 'file' or null)
+    that says what exists, so that an empty directory does and a file gets a warning of
+    its own; without it a repo exists if it has files.
     """
+    has_root = "root" in repos.columns
     listed = tracked.select("repo").distinct().withColumn("listed", F.lit(True))
     present = files.select("repo").distinct().withColumn("present", F.lit(True))
     mode = F.when(F.col("vcs_tool") & F.col("vcs") & F.col("present"), GIT).otherwise(BEST_EFFORT)
     warning = (
-        F.when(~F.col("present"), F.concat(F.lit("Root directory does not exist: "), "repo"))
+        F.when(F.col("root") == "file", F.concat(F.lit("Root is not a directory: "), "repo"))
+        .when(~F.col("present"), F.concat(F.lit("Root directory does not exist: "), "repo"))
         .when(~F.col("vcs_tool"), "git not found; using best-effort ignore matching")
         .when((F.col("ignore_mode") == GIT) & ~F.col("listed"), "version-control listing is empty")
     )
-    flagged = F.coalesce("present", F.lit(False)).alias("present")
+    exists = F.col("root") == "directory" if has_root else F.col("present")
+    flagged = F.coalesce(exists, F.lit(False)).alias("present")
+    root = F.col("root") if has_root else F.lit(None).cast("string").alias("root")
     return (
         repos.join(listed, "repo", "left")
         .join(present, "repo", "left")
-        .select("repo", "vcs", "vcs_tool", flagged, F.coalesce("listed", F.lit(False)).alias("listed"))
+        .select("repo", "vcs", "vcs_tool", root, flagged, F.coalesce("listed", F.lit(False)).alias("listed"))
         .withColumn("ignore_mode", mode)
         .select("repo", "ignore_mode", "present", warning.alias("warning"))
     )

@@ -197,6 +197,23 @@ def test_best_effort_mode(spark):
     assert "git not found" in warning
 
 
+def test_roots_without_files(spark):
+    schema = "repo string, vcs boolean, vcs_tool boolean, root string"
+    repos = spark.createDataFrame(
+        [("empty", False, True, "directory"), ("one", False, True, "file"), ("none", False, True, None), ("full", True, True, "directory")], schema
+    )
+    held = spark.createDataFrame([("full", "a.py"), ("none", "stale.py")], "repo string, path string")
+    got = {r.repo: (r.present, r.ignore_mode, r.warning) for r in I.scan_modes(repos, held, held).collect()}
+    assert got == {
+        "empty": (True, "best_effort", None),
+        "one": (False, "best_effort", "Root is not a directory: one"),
+        "none": (False, "best_effort", "Root directory does not exist: none"),
+        "full": (True, "git", None),
+    }
+    old = {r.repo: (r.present, r.warning) for r in I.scan_modes(repos.drop("root"), held, held).collect()}
+    assert old["full"] == (True, None) and old["empty"] == (False, "Root directory does not exist: empty")
+
+
 def test_submodules_are_left_out(spark):
     got, _, _ = scan(
         spark,
