@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from corpus_catalog import config as C
 
@@ -214,5 +214,42 @@ def head_list(items: Column, n: int) -> Column:
     return F.array_join(F.slice(items, 1, n), ", ")
 
 
+def _count(text: Column, pattern: str) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+
+def _quoted_length(text: Column) -> Column:
+    """Characters of a string written as a Python literal."""
+    # Fixed rule: backslash, newline, return and tab take one more, other unprintable
+    # characters an escape by number; single quotes are escaped only beside double ones.
+    unprintable = r"[\p{C}\p{Z}&&[^ \n\r\t]&&[%s]]"
+    quotes = F.when(text.contains("'") & text.contains('"'), _count(text, "'")).otherwise(0)
+    return (
+        F.length(text) + 2 + quotes + _count(text, r"[\\\n\r\t]")
+        + 3 * _count(text, unprintable % r"\x{0}-\x{FF}")
+        + 5 * _count(text, unprintable % r"\x{100}-\x{FFFF}")
+        + 9 * _count(text, unprintable % r"\x{10000}-\x{10FFFF}")
+    )
+
+
+def display_length(value: Column, kind: T.DataType) -> Column:
+    """Characters of a value written as Python writes it: structs as dicts, null as None."""
+    if isinstance(kind, T.StringType):
+        size = _quoted_length(value)
+    elif isinstance(kind, T.BooleanType):
+        size = F.when(value, 4).otherwise(5)
+    elif isinstance(kind, T.ArrayType):
+        items = F.aggregate(
+            F.transform(value, lambda x: display_length(x, kind.elementType)), F.lit(0), lambda a, n: a + n
+        )
+        size = 2 + items + 2 * F.greatest(F.size(value) - 1, F.lit(0))
+    elif isinstance(kind, T.StructType):
+        fields = [len(f.name) + 4 + display_length(value[f.name], f.dataType) for f in kind.fields]
+        size = sum(fields, F.lit(2 * len(fields)))
+    else:
+        size = F.length(value.cast("string"))
+    return F.when(value.isNull(), 4).otherwise(size)
+
+
 def token_estimate(chars: Column) -> Column:
     return F.ceil(chars / C.CHARS_PER_TOKEN).cast("bigint")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
+from corpus_catalog.schemas import SUMMARY
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,9 @@ def lookup(current: DataFrame, cache: DataFrame, key: CacheKey) -> DataFrame:
 
 def entries(packed: DataFrame, key: CacheKey, built_at: Column) -> DataFrame:
     """Cache rows for freshly summarised files."""
-    tokens = F.expr("length(to_json(summary)) div 4").cast("bigint")
+    # A quarter of the summary's characters, written as a Python dictionary.
+    chars = X.display_length(F.col("summary"), SUMMARY)
+    tokens = F.floor(chars / C.CHARS_PER_TOKEN).cast("bigint")
     return packed.select(
         "repo",
         "path",

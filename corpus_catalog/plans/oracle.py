@@ -255,19 +255,41 @@ ENTRYPOINTS = (
     "CASE WHEN guard IS NULL THEN [] ELSE "
     f"[{{'path': path, 'lineno': guard, 'evidence': {EVIDENCE}, 'confidence': 0.95::DOUBLE}}] END"
 )
-# Length of the summary as JSON, null fields left out.
+
+
+def _quoted(text: str) -> str:
+    """Length of a string as Python writes it."""
+    count = f"length({text}) - length(regexp_replace({text}, '%s', '', 'g'))"
+    control, wide = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xA0\xAD]", r"[\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}\x{E000}-\x{F8FF}]"
+    return f"""(length({text}) + 2 + {count % r"[\\\n\r\t]"} + 3 * ({count % control}) + 5 * ({count % wide})
+      + CASE WHEN contains({text}, chr(39)) AND contains({text}, '"') THEN {count % "''"} ELSE 0 END)"""
+
+
+def _listed(items: str) -> str:
+    return (
+        f"(2 + coalesce(list_sum([{_quoted('x')} for x in {items}]), 0) + 2 * greatest(len({items}) - 1, 0))"
+    )
+
+
+def _truth(flag: str) -> str:
+    return f"CASE WHEN {flag} THEN 4 ELSE 5 END"
+
+
+# A quarter of the characters of the summary as a Python dictionary.
 TOKENS = f"""
-(length(to_json({{'summary': summary, 'role': role, 'public_symbols': symbols,
-  'public_symbols_count': len(symbols), 'import_deps': imports, 'provides': [], 'consumes': [],
-  'entrypoints': {ENTRYPOINTS},
-  'entrypoints_count': CASE WHEN guard IS NULL THEN 0 ELSE 1 END, 'excluded': excluded,
-  'exclusion_reason': exclusion_reason, 'redaction_count': redactions, 'is_binary': is_binary,
-  'decode_lossy': lossy}}))
- - CASE WHEN exclusion_reason IS NULL THEN length('"exclusion_reason":null,') ELSE 0 END) // 4
+CAST((length($${{'summary': , 'role': , 'public_symbols': , 'public_symbols_count': , 'import_deps': ,
+ 'provides': [], 'consumes': [], 'entrypoints': , 'entrypoints_count': 0, 'excluded': , 'exclusion_reason': ,
+ 'redaction_count': , 'is_binary': , 'decode_lossy': }}$$) - 2
+ + {_quoted('summary')} + {_quoted('role')} + {_listed('symbols')} + length(CAST(len(symbols) AS VARCHAR)) + {_listed('imports')}
+ + CASE WHEN guard IS NULL THEN 2 ELSE length($$[{{'path': , 'lineno': , 'evidence': , 'confidence': 0.95}}]$$)
+     + {_quoted('path')} + length(CAST(guard AS VARCHAR)) + {_quoted(EVIDENCE)} END
+ + {_truth('excluded')} + CASE WHEN exclusion_reason IS NULL THEN 4 ELSE length(exclusion_reason) + 2 END
+ + length(CAST(redactions AS VARCHAR)) + {_truth('is_binary')} + {_truth('lossy')}) // 4 AS BIGINT)
 """
+PROMPT_HASH = "left(sha256('" + C.SUMMARY_PROMPT.replace("'", "''") + "'), 16)"
 CACHE1 = f"""
 c1 AS (
-  SELECT repo, path, source_hash, 'p1' AS prompt_hash, 'heuristic' AS backend_id, '1' AS tool_version,
+  SELECT repo, path, source_hash, {PROMPT_HASH} AS prompt_hash, 'heuristic' AS backend_id, '1' AS tool_version,
     summary, {TOKENS} AS approx_tokens, id
   FROM s1
 ),
@@ -278,11 +300,11 @@ cm AS (
     summary, approx_tokens
   FROM c1
 )"""
-LOOKUP = """
+LOOKUP = f"""
 found AS (
   SELECT h.repo, h.path, h.source_hash,
     CASE WHEN c.path IS NULL THEN 'not_cached' WHEN c.source_hash <> h.source_hash THEN 'source_changed'
-         WHEN c.prompt_hash <> 'p1' THEN 'prompt_changed' WHEN c.backend_id <> 'heuristic' THEN 'backend_changed'
+         WHEN c.prompt_hash <> {PROMPT_HASH} THEN 'prompt_changed' WHEN c.backend_id <> 'heuristic' THEN 'backend_changed'
          WHEN c.tool_version <> '1' THEN 'tool_changed' END AS staleness_reason,
     c.summary, c.approx_tokens
   FROM h2 h LEFT JOIN cm c USING (repo, path)
@@ -605,7 +627,7 @@ def statements() -> dict[str, str]:
         "cache_json": f"""WITH {V1},{S1},{CACHE1} SELECT repo, path, source_hash, approx_tokens FROM c1
             WHERE id % 7 <> 0""",
         "cache_upsert": f"""WITH {V1},{S1},{CACHE1},{V2},{H2},{LOOKUP},{S2},
-            new AS (SELECT repo, path, source_hash, 'p1' AS prompt_hash, 'heuristic' AS backend_id, '1' AS tool_version,
+            new AS (SELECT repo, path, source_hash, {PROMPT_HASH} AS prompt_hash, 'heuristic' AS backend_id, '1' AS tool_version,
               summary, {TOKENS} AS approx_tokens FROM s2
               WHERE (repo, path) IN (SELECT (repo, path) FROM found WHERE staleness_reason IS NOT NULL))
             SELECT *, '2024-01-02' AS ts FROM new UNION ALL

@@ -23,7 +23,7 @@ from corpus_catalog.sources import corpus, rules as R, tables
 from corpus_catalog.sources.tables import materialize
 from corpus_catalog.streaming import watch as W
 
-KEY = K.CacheKey("p1")
+KEY = K.CacheKey(K.prompt_hash())
 FIRST_BUILD = "2024-01-01 00:00:00"
 SECOND_BUILD = "2024-01-02 00:00:00"
 
