@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpus_catalog import config as C
 from corpus_catalog.functions import globs, text as X
 from corpus_catalog.functions.globs import Rule
+from corpus_catalog.sources.tables import materialize
 
 GIT = "git"
 BEST_EFFORT = "best_effort"
@@ -121,6 +122,8 @@ def submodule_filter(files: DataFrame, names: DataFrame, markers: DataFrame) ->
         .union(above.join(marked, ["repo", "above"], "left_semi").select("repo", "dir"))
         .distinct()
     )
+    # Stored, so that the adaptive join can split a directory with very many files.
+    inside = materialize(inside, "submodule-dirs")
     return (
         files.withColumn("dir", X.parent_dir(F.col("path")))
         .join(inside, ["repo", "dir"], "left_anti")
@@ -178,8 +181,10 @@ def scan(
     """
     path, mode = F.col("path"), F.col("ignore_mode")
     paths = normalized(files.select("repo", "path"))
+    # Stored, so that the adaptive join can split a repo with very many files.
+    settings = materialize(_settings(modes, rules_by_repo), "settings")
     kept = (
-        paths.join(_settings(modes, rules_by_repo), "repo")
+        paths.join(settings, "repo")
         .filter(_passes_rules(path))
         .drop(*RULE_COLUMNS)
     )

@@ -84,6 +84,8 @@ def tree_lines(files: DataFrame, mark_top_files: bool = True) -> DataFrame:
         .groupBy("repo", "parent")
         .agg(F.collect_list("level").alias("blanks"))
     )
+    # Stored, so that the adaptive join can split a directory with very many entries.
+    blanks = materialize(blanks, "blanks")
     parents = F.split("parent", "/")
     indent = F.array_join(
         F.transform(

@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from corpus_catalog import config as C
 from corpus_catalog.operators import cache as K
@@ -12,8 +12,9 @@ from corpus_catalog.operators import inventory as I
 from corpus_catalog.operators import rank as RK
 from corpus_catalog.operators import reports as REP
 from corpus_catalog.operators import summarize as S
+from corpus_catalog.operators import tree as TR
 from corpus_catalog.plans import build as B
-from corpus_catalog.schemas import CACHE
+from corpus_catalog.schemas import CACHE, SUMMARY
 from corpus_catalog.sources import rules as R, tables
 from corpus_catalog.sources.tree_source import read_trees
 
@@ -550,3 +551,67 @@ def test_fingerprint_counts_repeated_rows(spark):
     schema = "repo string, path string, source_hash string"
     once, twice, none = (corpus_fingerprint(spark.createDataFrame(x, schema)).first() for x in (rows, rows * 2, []))
     assert once.fingerprint != twice.fingerprint != 0 and (none.files, none.fingerprint) == (0, 0)
+
+
+def test_entry_tokens_equal_python(spark):
+    texts = ["plain", "it's", 'say "no"', "it's \"both\"", "a\\b\n\tc\r", "é 日本 🙂", "\x00\x1f\x7f\xa0\xad​ \U000e0001", "", None]
+    empty = {"provides": [], "consumes": [], "entrypoints_count": 0, "excluded": False, "redaction_count": 0}
+    summaries = [
+        {"summary": t, "role": "library", "public_symbols": [x for x in texts[:i] if x], "public_symbols_count": i, "import_deps": [t or ""],
+         "entrypoints": [{"path": t, "lineno": 12, "evidence": "e", "confidence": 0.95}] * (i % 3), "exclusion_reason": t,
+         "is_binary": i % 2 == 0, "decode_lossy": True, **empty}
+        for i, t in enumerate(texts)
+    ]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("repo", "path", "source_hash")] + [T.StructField("summary", SUMMARY)])
+    packed = spark.createDataFrame([("r", str(i), "h", s) for i, s in enumerate(summaries)], schema)
+    found = {int(r.path): r.approx_tokens for r in K.entries(packed, KEY, F.lit("2024-01-01")).collect()}
+    assert found == {i: len(str(s)) // 4 for i, s in enumerate(summaries)}
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """Settings under which a join must split the partitions of a hot key to pass."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "64k",
+        "spark.sql.files.openCostInBytes": "64k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_files(spark):
+    """A directory of one repo holds most files; the rest are spread."""
+    n = F.col("id")
+    hot = F.concat(F.lit("src/pkg/"), F.sha2(n.cast("string"), 256), F.lit(".py"))
+    other = F.concat(F.lit("d"), n % 97, F.lit("/"), n, F.lit(".txt"))
+    return spark.range(0, 24_000, 1, 8).select(
+        F.when(n % 4 == 0, F.concat(F.lit("q"), n % 31)).otherwise("r").alias("repo"), F.when(n % 4 == 0, other).otherwise(hot).alias("path")
+    )
+
+
+def split_joins(df):
+    """Rows of ``df`` and whether its plan split a skewed join, as executed."""
+    return len(df.collect()), "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_directory_and_repo_are_split(spark, no_broadcasts):
+    files = hot_files(spark)
+    names = spark.createDataFrame([("q1", "d3")], "repo string, path string")
+    left = files.filter("not (repo = 'q1' and path like 'd3/%')").count()
+    assert left < 24_000 and split_joins(I.submodule_filter(files, names, names)) == (left, True)
+    rows, split = split_joins(TR.tree_lines(files))
+    assert split and rows > 24_000
+    modes = files.select("repo").distinct().withColumn("ignore_mode", F.lit("best_effort"))
+    rules = R.rules_by_repo(spark.createDataFrame([("r", "*.log")], "repo string, content string"))
+    assert split_joins(I.scan(files, modes, files.limit(0), rules, names, names)) == (left, True)
