@@ -6,10 +6,11 @@ covariance determinant estimate of the centre and scatter of transformed
 statistics, and a limit on the Mahalanobis distance from it.
 
 The estimate repeats concentration steps: mean and covariance of the half of a
-group's rows nearest to the last estimate, from a start that outliers can't move,
-the medians and quartile ranges. Each step is one aggregation whose partial
+group's rows nearest to the last estimate, until the determinant stops falling. Of
+two starts, medians with quartile ranges and medians with median deviations, the one
+that ends at the lower determinant counts. Each step is one aggregation whose partial
 sums are combined before the shuffle, so a group may hold any share of the rows;
-its result has one row per group. Groups too small to estimate (``MIN_GROUP``)
+its result has one row per group and start. Groups too small to estimate (``MIN_GROUP``)
 are judged by the estimate over their language, or over all rows.
 """
 
@@ -23,17 +24,21 @@ from corpus_catalog.llm.common import Work, let, words
 
 #: Rows that a group needs for an estimate of its own.
 MIN_GROUP = 200
-STEPS = 4
 #: Part of the rows that each step keeps.
-CORE = 0.75
-#: Fixed values for five statistics: the median of chi-square, and the limit of the
-#: squared distance, the chi-square quantile 1 - 1.5e-5.
-MEDIAN, LIMIT = 4.351, 30.0
+CORE = 0.5
+#: Steps end when no group's log determinant falls by more.
+FALL = 0.001
+#: Limit of the squared distance, the chi-square quantile 1 - 1.5e-5 for five statistics.
+LIMIT = 30.0
+#: Covariance of normal rows over that of their nearest half, by the number of statistics with
+#: scatter: 0.5 / P(chi-square of p + 2 <= median of chi-square of p).
+CONSISTENT = [1.0, 7.0, 3.259, 2.449, 2.105, 1.913]
 STATS = ["s0", "s1", "s2", "s3", "s4"]
 #: Least scatter of each transformed statistic. Most texts have no symbols or repeats at
 #: all, so their core has no scatter; differences below these mean nothing.
 FLOOR = [0.08, 0.03, 0.25, 0.25, 0.05]
 GROUP = ["scope", "lang", "source"]
+RUN = [*GROUP, "start"]
 
 
 def _repeated_positions(w: Column) -> Column:
@@ -118,13 +123,19 @@ def _distance(center: str = "m", factor: str = "w") -> Column:
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """Mean and scatter of each group's rows: ``scope, lang, source, m, w``."""
+    """Mean and scatter of each group's rows: ``scope, lang, source, start, m, w, det``, the determinant as a log."""
     p = len(STATS)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = rows.groupBy(GROUP).agg(
+    sums = rows.groupBy(RUN).agg(
         *(F.avg(s).alias(f"m{i}") for i, s in enumerate(STATS)),
         *(F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i, j in pairs),
     )
+    # A statistic whose scatter no factor lifts above its floor has none.
+    widest = max(CONSISTENT)
+    free = sum((F.when(F.col(f"c{i}{i}") * widest > FLOOR[i] ** 2, 1).otherwise(0) for i in range(p)), F.lit(0))
+    sums = sums.withColumn("consistent", F.element_at(F.array(*map(F.lit, CONSISTENT)), free + 1))
+    for i, j in pairs:
+        sums = sums.withColumn(f"c{i}{j}", F.col(f"c{i}{j}") * F.col("consistent"))
     for i in range(p):  # each factor a column, used by the next ones
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
@@ -137,25 +148,67 @@ def _estimates(rows: DataFrame) -> DataFrame:
             ) / F.col(f"l{i}{i}")
             sums = sums.withColumn(f"w{i}{j}", value)
     return sums.select(
-        *GROUP, F.array(*(f"m{i}" for i in range(p))).alias("m"), F.array(*(f"w{i}{j}" for i, j in pairs)).alias("w")
+        *RUN, F.array(*(f"m{i}" for i in range(p))).alias("m"), F.array(*(f"w{i}{j}" for i, j in pairs)).alias("w"),
+        (2 * sum((F.log(f"l{i}{i}") for i in range(p)), F.lit(0.0))).alias("det"),
     )
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and quartile ranges as independent scatter."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Medians, with quartile ranges and with median deviations as independent scatter."""
     p = len(STATS)
-    quart = rows.groupBy(GROUP).agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATS))
-    factor = [
-        1 / F.greatest((F.col(STATS[i])[2] - F.col(STATS[i])[0]) / 1.349, F.lit(FLOOR[i])) if i == j else F.lit(0.0)
-        for i in range(p) for j in range(i + 1)
-    ]
-    return quart.select(*GROUP, F.array(*(F.col(s)[1] for s in STATS)).alias("m"), F.array(*factor).alias("w"))
+    quart = rows.groupBy(GROUP).agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, s in enumerate(STATS)))
+    away = [F.percentile_approx(F.abs(F.col(s) - F.col(f"q{i}")[1]), 0.5, 1000).alias(f"a{i}") for i, s in enumerate(STATS)]
+    around = rows.join(_named(quart), _same()).groupBy(GROUP).agg(*away)
+
+    def start(found: DataFrame, name: str, width: list[Column]) -> DataFrame:
+        factor = [
+            1 / F.greatest(width[i], F.lit(FLOOR[i])) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)
+        ]
+        center = F.array(*(F.col(f"q{i}")[1] for i in range(p)))
+        return found.select(*GROUP, F.lit(name).alias("start"), center.alias("m"), F.array(*factor).alias("w"))
+
+    both = around.join(_named(quart), _same())
+    return start(quart, "quartiles", [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(p)]).unionByName(
+        start(both, "deviations", [F.col(f"a{i}") / 0.6745 for i in range(p)])
+    )
+
+
+def _same(columns: list[str] = GROUP) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in columns))
+
+
+def _named(df: DataFrame, columns: list[str] = GROUP) -> DataFrame:
+    return df.withColumnsRenamed({c: f"e_{c}" for c in columns})
 
 
 def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in GROUP))
-    named = estimates.select(*(F.col(c).alias(f"e_{c}") for c in GROUP), "m", "w")
-    return rows.join(named, same).withColumn("d", _distance()).drop("m", "w", *(f"e_{c}" for c in GROUP))
+    """Each row once per start, with its distance from that estimate."""
+    named = _named(estimates.select(*RUN, "m", "w"))
+    return rows.join(named, _same()).withColumn("d", _distance()).drop("m", "w", *(f"e_{c}" for c in GROUP))
+
+
+def _concentrated(work: Work, rows: DataFrame) -> DataFrame:
+    """``scope, lang, source, m, w`` of the lower determinant of each group's starts."""
+    estimates, best, step = work.store(_starts(rows), "start"), None, 0
+    while True:
+        measured = work.store(_measured(rows, estimates), f"distance{step}")
+        cut = work.store(measured.groupBy(RUN).agg(F.percentile_approx("d", CORE, 1000).alias("cut")), f"cut{step}")
+        core = measured.join(_named(cut, RUN), _same(RUN)).filter("d <= cut")
+        estimates = work.store(_estimates(core.select(*RUN, *STATS)), f"estimate{step}")
+        work.release(measured)
+        if best is None:
+            best = estimates
+        else:
+            old = _named(best.select(*RUN, F.col("det").alias("old")), RUN)
+            fell = not estimates.join(old, _same(RUN)).filter(F.col("old") - F.col("det") > FALL).isEmpty()
+            best = work.store(
+                best.unionByName(estimates).groupBy(RUN).agg(F.min(F.struct("det", "m", "w")).alias("x")).select(*RUN, "x.*"),
+                f"best{step}",
+            )
+            if not fell:
+                break
+        step += 1
+    return best.groupBy(GROUP).agg(F.min(F.struct("det", "m", "w")).alias("x")).select(*GROUP, "x.m", "x.w")
 
 
 def outliers(work: Work, rows: DataFrame) -> DataFrame:
@@ -192,24 +245,7 @@ def outliers(work: Work, rows: DataFrame) -> DataFrame:
     if fitted is None:
         return rows.withColumn("distance", F.lit(0.0))
     fitted = work.store(fitted.select(*GROUP, *STATS), "fitted")
-    estimates = work.store(_start(fitted), "start")
-    for step in range(STEPS):
-        measured = work.store(_measured(fitted, estimates), f"distance{step}")
-        cut = work.store(measured.groupBy(GROUP).agg(F.percentile_approx("d", CORE, 1000).alias("cut")), f"cut{step}")
-        named = cut.select(*(F.col(c).alias(f"e_{c}") for c in GROUP), "cut")
-        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in GROUP))
-        core = measured.join(named, same).filter("d <= cut")
-        estimates = work.store(_estimates(core), f"estimate{step}")
-    # The core is narrower than the whole; the median distance sets the scale right.
-    scale = work.store(
-        _measured(fitted, estimates).groupBy(GROUP).agg(F.percentile_approx("d", 0.5, 1000).alias("middle")), "scale"
-    )
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in GROUP))
-    judged = work.keep(
-        estimates.join(scale.select(*(F.col(c).alias(f"s_{c}") for c in GROUP), "middle"), same)
-        .select(*GROUP, "m", "w", F.greatest(F.lit(1.0), F.col("middle") / MEDIAN).alias("scale")),
-        "judged",
-    ).select(*(F.col(c).alias(f"e_{c}") for c in GROUP), "m", "w", "scale")
+    judged = _named(work.keep(_concentrated(work, fitted), "judged"))
     kept_scopes = work.keep(scopes, "scopes")
     judged = (
         kept_scopes.join(
@@ -217,12 +253,12 @@ def outliers(work: Work, rows: DataFrame) -> DataFrame:
             (F.col("scope") == F.col("e_scope"))
             & F.when(F.col("scope") == "all", F.lit(True)).otherwise(F.col("g_lang").eqNullSafe(F.col("e_lang")))
             & F.when(F.col("scope") != "source", F.lit(True)).otherwise(F.col("g_source").eqNullSafe(F.col("e_source"))),
-        ).select("g_lang", "g_source", "m", "w", "scale")
+        ).select("g_lang", "g_source", "m", "w")
     )
     judged = work.keep(judged, "limits")
     return (
         rows.join(judged, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-        .withColumn("distance", _distance() / F.col("scale")).drop("g_lang", "g_source", "m", "w", "scale")
+        .withColumn("distance", _distance()).drop("g_lang", "g_source", "m", "w")
     )
 
 

@@ -175,6 +175,14 @@ def test_quality(spark):
         assert (by[i].n_words, by[i].word_chars, by[i].n_repeat_words) == (len(w), sum(map(len, w)), len(inside))
 
 
+def test_quality_survives_a_third_of_junk(spark):
+    clean = [(i, prose(i, 200) + "\nAnd a second line here.") for i in range(260)]
+    junk = [(1000 + i, re.sub(" ", "*** ", prose(500 + i, 100))) for i in range(140)]
+    found = {r.doc_id: r for r in quality.quality(make(spark, clean + junk)).collect()}
+    assert not any(found[i].base_failed or found[i].kept for i, _ in junk)
+    assert all(found[i].kept for i, _ in clean)
+
+
 # --- 1 -------------------------------------------------------------------------------------
 
 
