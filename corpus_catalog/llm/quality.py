@@ -34,9 +34,12 @@ LIMIT = 30.0
 #: scatter: 0.5 / P(chi-square of p + 2 <= median of chi-square of p).
 CONSISTENT = [1.0, 7.0, 3.259, 2.449, 2.105, 1.913]
 STATS = ["s0", "s1", "s2", "s3", "s4"]
+#: Shares of lines repeated beyond one and of words in repeated windows that reject a text by themselves.
+ODD_LINES, ODD_WORDS = 0.3, 0.4
 #: Least scatter of each transformed statistic. Most texts have no symbols or repeats at
-#: all, so their core has no scatter; differences below these mean nothing.
-FLOOR = [0.08, 0.03, 0.25, 0.25, 0.05]
+#: all, so their core has no scatter; differences below these mean nothing. Those of the
+#: repeats put a text of the odd share, where others have none, at the limit.
+FLOOR = [0.08, 0.03, (ODD_LINES / LIMIT) ** 0.5, (ODD_WORDS / LIMIT) ** 0.5, 0.05]
 GROUP = ["scope", "lang", "source"]
 RUN = [*GROUP, "start"]
 
@@ -99,12 +102,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _transformed() -> list[Column]:
-    """Statistics made comparable: logs of sizes, shares as square roots."""
+    """Statistics made comparable: logs of sizes, shares as square roots. One repeated line counts as none."""
     n = F.greatest("n_words", F.lit(1))
     return [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias("s0"),
         F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))).alias("s1"),
-        F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("s2"),
+        F.sqrt(F.greatest(F.col("n_dup_lines") - 1, F.lit(0)) / F.greatest("n_lines", F.lit(1))).alias("s2"),
         F.sqrt(F.col("n_repeat_words") / n).alias("s3"),
         F.sqrt(F.col("n_capitals") / F.greatest("word_chars", F.lit(1))).alias("s4"),
     ]

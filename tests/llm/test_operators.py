@@ -183,6 +183,18 @@ def test_quality_survives_a_third_of_junk(spark):
     assert all(found[i].kept for i, _ in clean)
 
 
+def test_quality_rejects_one_odd_statistic(spark):
+    clean = [(i, prose(i, 200) + "\nAnd a second line here.") for i in range(300)]
+    lines = "\n".join(f"{prose(900 + i, 10)}\nw7" for i in range(20))
+    block = prose(951, 45)
+    words = f"{prose(950, 110)} {block} {block}"
+    once = f"{prose(952, 100)}\nThe same line.\n{prose(953, 100)}\nThe same line."
+    found = {r.doc_id: r for r in quality.quality(make(spark, clean + [(1000, lines), (1001, words), (1002, once)])).collect()}
+    assert not found[1000].base_failed and not found[1001].base_failed
+    assert not found[1000].kept and not found[1001].kept
+    assert found[1002].kept and all(found[i].kept for i, _ in clean)
+
+
 # --- 1 -------------------------------------------------------------------------------------
 
 
