@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from corpus_catalog.sources import tables
 
@@ -60,6 +61,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def key(docs: DataFrame, id_col: str) -> tuple[Column, str]:
+    """The ids as numbers, or as they are if they are structs such as ``row_key``, and their type."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, StructType):
+        return F.col(id_col), kind.simpleString()
+    return F.col(id_col).cast("long"), "bigint"
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id") -> Column:
+    """Key of a row, never null: its id, nulls last, and a hash of all its values. Equal rows have one key."""
+    values = [F.col(c) for c in docs.columns]
+    return F.struct(
+        F.col(id_col).isNull().alias("missing"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(*values, *(v.isNull() for v in values)).alias("row"),  # the hash itself skips nulls
+    )
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpus_catalog.llm import shingles as S
-from corpus_catalog.llm.common import Work
+from corpus_catalog.llm.common import Work, key
 from corpus_catalog.llm.components import components
 
 #: Values retained per text.
@@ -61,7 +61,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFra
             prints = [S.fingerprint(v) for v in found]
             return pa.RecordBatch.from_arrays(
                 [
-                    ids.cast(pa.int64()),
+                    ids,
                     pa.array([len(v) for v in found], pa.int64()),
                     pa.array([p[0] for p in prints], pa.int64()),
                     pa.array([p[1] for p in prints], pa.int64()),
@@ -72,8 +72,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFra
 
         return _batches(batches, make)
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch array<long>")
+    ids, kind = key(docs, id_col)
+    rows = docs.select(ids, F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -81,11 +82,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         def make(ids, found):
-            return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), _lists(found)], ["rep", "hashes"])
+            return pa.RecordBatch.from_arrays([ids, _lists(found)], ["rep", "hashes"])
 
         return _batches(batches, make)
 
-    return docs.mapInArrow(run, "rep long, hashes array<long>")
+    return docs.mapInArrow(run, f"rep {key(docs, 'rep')[1]}, hashes array<long>")
 
 
 def _ceil_share(size: Column | str, threshold: float) -> Column:
@@ -218,7 +219,7 @@ def near_duplicates(
     texts have none: they are linked with nothing and kept. A null id is never linked: its
     component is null and it is kept. Rows repeated with one id are one node, all kept
     or none. The component is the smallest id it holds, which is the one kept; an
-    empty table gives an empty one. Other columns of ``docs`` are not read.
+    empty table gives an empty one. Ids may be structs. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     with Work(spark, "near-dups") as work:
@@ -250,7 +251,7 @@ def near_duplicates(
             "likely",
         )
 
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("t"))
+        texts = docs.select(key(docs, id_col)[0].alias("rep"), F.col(text_col).cast("string").alias("t"))
         sets = work.store(
             full_sets(texts.join(likely, "rep")).select("rep", F.size("hashes").cast("long").alias("n"), "hashes"),
             "sets",

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpus_catalog.llm import shingles as S
-from corpus_catalog.llm.common import Work
+from corpus_catalog.llm.common import Work, key
 from corpus_catalog.llm.components import components
 from corpus_catalog.llm.near_dups import linked
 
@@ -30,13 +30,13 @@ BROADCAST_BYTES = 32 << 20
 _random = np.random.default_rng(7)
 _FACTOR = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERM = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_PARAGRAPH = pa.schema(
-    [("id", pa.int64()), ("line", pa.int32()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
-     ("bands", pa.list_(pa.int64()))]
-)
-_SET = pa.schema(
-    [("rep", pa.struct([("id", pa.int64()), ("line", pa.int32())])), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))]
-)
+_PARAGRAPH = ["id", "line", "n", "f1", "f2", "bands"]
+
+
+def _set(kind: pa.DataType) -> pa.Schema:
+    return pa.schema(
+        [("rep", pa.struct([("id", kind), ("line", pa.int32())])), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))]
+    )
 
 
 def _long_paragraphs(text: bytes, min_words: int):
@@ -60,7 +60,6 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
 
     def run(batches):
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for begin, text, first in _joined(texts):
                 line, cut, found = _long_paragraphs(text, min_words)
@@ -78,7 +77,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
                 doc = np.searchsorted(first, line, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[begin + doc]),
+                        batch.column(0).take(pa.array(begin + doc)),
                         pa.array((line - first[doc]).astype(np.int32)),
                         pa.array(np.diff(np.append(cut, len(found))), pa.int64()),
                         pa.array(f1),
@@ -87,12 +86,13 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
                             pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64))
                         ),
                     ],
-                    schema=_PARAGRAPH,
+                    _PARAGRAPH,
                 )
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.filter(F.col(id_col).isNotNull()).mapInArrow(
-        run, "id long, line int, n long, f1 long, f2 long, bands array<long>"
+    ids, kind = key(docs, id_col)
+    rows = docs.select(ids.alias("id"), F.col(text_col).cast("string"))
+    return rows.filter("id is not null").mapInArrow(
+        run, f"id {kind}, line int, n long, f1 long, f2 long, bands array<long>"
     )
 
 
@@ -101,7 +101,8 @@ def paragraph_sets(texts: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, text, lines in zip(*(c.to_pylist() for c in batch.columns)):
+            schema = _set(batch.column(0).type)
+            for place, text, lines in zip(*(c.to_pylist() for c in batch.columns)):
                 line, cut, found = _long_paragraphs((text or "").encode(), min_words)
                 stop = np.append(cut[1:], len(found))
                 wanted = np.flatnonzero(np.isin(line, lines))
@@ -109,13 +110,13 @@ def paragraph_sets(texts: DataFrame, min_words: int) -> DataFrame:
                     some = wanted[begin : begin + 1000]
                     yield pa.RecordBatch.from_pylist(
                         [
-                            {"rep": {"id": key, "line": int(line[i])}, "n": int(stop[i] - cut[i]), "hashes": found[cut[i] : stop[i]]}
+                            {"rep": {"id": place, "line": int(line[i])}, "n": int(stop[i] - cut[i]), "hashes": found[cut[i] : stop[i]]}
                             for i in some
                         ],
-                        schema=_SET,
+                        schema=schema,
                     )
 
-    return texts.mapInArrow(run, "rep struct<id: long, line: int>, n long, hashes array<long>")
+    return texts.mapInArrow(run, f"rep struct<id: {key(texts, 'id')[1]}, line: int>, n long, hashes array<long>")
 
 
 def repeated_paragraphs(
@@ -126,7 +127,7 @@ def repeated_paragraphs(
     ``first_*`` is the paragraph of the same component that stays. Null, empty and
     short texts have no paragraphs; rows without an id are left alone. Rows repeated
     with one id count as one document. Paragraphs repeated inside one document are
-    removed too. An empty table gives an empty one; other columns aren't read.
+    removed too. Ids may be structs. An empty table gives an empty one; other columns aren't read.
     """
     spark = docs.sparkSession
     with Work(spark, "substrings") as work:
@@ -151,10 +152,10 @@ def repeated_paragraphs(
         wanted = work.store(
             hits.groupBy(F.col("rep.id").alias("id")).agg(F.collect_set("rep.line").alias("lines")), "wanted"
         )
-        size = wanted.agg(F.coalesce(F.sum(56 + 4 * F.size("lines")), F.lit(0))).first()[0]
+        size = wanted.agg(F.coalesce(F.sum(80 + 4 * F.size("lines")), F.lit(0))).first()[0]
         if size <= BROADCAST_BYTES:  # else the texts are shuffled
             wanted = F.broadcast(wanted)
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+        texts = docs.select(key(docs, id_col)[0].alias("id"), F.col(text_col).cast("string").alias("t"))
         sets = work.store(
             paragraph_sets(texts.join(wanted, "id").select("id", "t", "lines"), min_words), "sets"
         )

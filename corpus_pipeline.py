@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that the one before kept and
-is written as Parquet. All but the last return the columns of ``documents``.
+is written as Parquet. All but the last return the columns of ``documents``. They decide
+on rows, not on ids: ids may be null, or be those of several texts.
 """
 
 from __future__ import annotations
@@ -13,32 +14,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpus_catalog.llm import decontaminate, near_dups, packing, quality, substrings
-from corpus_catalog.llm.common import documents
+from corpus_catalog.llm.common import Work, documents, row_key
 from corpus_catalog.sources import tables
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", row_key(docs))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose keys are in the first column of ``gone``."""
+    gone = gone.select(F.col(gone.columns[0]).alias("_gone")).distinct()
+    return _keyed(docs).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows of one id with different verdicts stay only if all pass."""
-    rejected = quality.quality(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Rows that the quality rules keep, each judged by itself."""
+    return _without(docs, quality.quality(_keyed(docs), "_key").filter(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 or more), the smallest id."""
-    gone = near_dups.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One row of each group of near duplicates (similarity 0.8 or more), of the smallest id, without one only if
+    none has any. Of equal rows one stays."""
+    with Work(spark, "near-duplicates") as work:
+        found = near_dups.near_duplicates(_keyed(docs), "_key")
+        gone = work.keep(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+        several = work.keep(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return _without(docs, gone)
+    # Dealt out again, so that copies of one row are combined per task before they meet.
+    repeated = (
+        _keyed(docs).join(several, F.col("_key") == several.doc_id, "left_semi").drop("_key")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).dropDuplicates()
+    )
+    return _without(docs, gone.union(several)).union(repeated)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without paragraphs that an earlier document, or an earlier line, has already."""
-    return substrings.without_repeats(docs, substrings.repeated_paragraphs(docs))
+    keyed = _keyed(docs)
+    return substrings.without_repeats(keyed, substrings.repeated_paragraphs(keyed, "_key"), "_key").drop("_key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, documents(spark, sf_dir, "benchmark"))
-    leaky = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaky, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Rows that hold no benchmark item."""
+    return _without(docs, decontaminate.leaks(_keyed(docs), documents(spark, sf_dir, "benchmark"), "_key"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """The registered queries and the pipeline on the smallest tables."""
 
+import collections
+import random
+
 import duckdb
 
 import corpus_pipeline
@@ -34,3 +37,26 @@ def test_stages_take_effect(spark, tmp_path):
             assert decontaminate.leaks(docs, spark.read.parquet(f"{SF_DIR}/benchmark.parquet")).count() == 0
     assert sizes == sorted(sizes, reverse=True) and 0 < sizes[-1] < sizes[0]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_rows_without_or_with_one_id(spark, tmp_path):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda seed, n=120: " ".join(random.Random(seed).choices(words, k=n))
+    item = text(99, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    repeat = text(50, 60)
+    rows = [
+        (None, text(1)), (None, text(2)), (None, "too short"), (None, text(1)), (7, text(3)), (7, "short"), (7, text(4)), (8, text(3)),
+        (9, text(5)), (9, text(5)), (9, text(5)), (10, text(6)), (None, text(6)), (None, f"{text(7)} {item}"), (11, text(8)), (11, f"{text(9)} {item}"),
+        (12, f"{repeat}\n{text(10)}"), (12, f"{text(11)}\n{repeat}"), (None, f"{repeat}\n{text(12)}"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    # Of the two rows of 12 that hold the repeat, either may be the first.
+    kept = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5)), (10, text(6)), (11, text(8)), (None, text(12))]
+    either = [[(12, f"{repeat}\n{text(10)}"), (12, text(11))], [(12, text(10)), (12, f"{text(11)}\n{repeat}")]]
+    assert left in [collections.Counter(kept + x) for x in either]
