@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpus_catalog.llm import decontaminate, html_text, lattice_lm, licenses, near_dups, packing, quality, sharding, substrings, token_counts
+from corpus_catalog.llm import (
+    decontaminate, fill_middle, html_text, lattice_lm, licenses, near_dups, packing, periodic_runs, quality, sharding, substrings,
+    token_counts, url_rules,
+)
 from corpus_catalog.llm.common import documents
 
 
@@ -63,6 +66,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_rules.rule_table(spark, url_rules.default_rules())
+    return url_rules.judge(documents(spark, sf_dir, "pages"), rules)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; in a tenth of them, the words from some place on are made periodic first."""
+    return periodic_runs.digest(periodic_runs.periodic_runs(documents(spark, sf_dir), rearrange=periodic_runs.periodic_tail))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_middle(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_main_text": op2_main_text,
@@ -74,8 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_leaks": op8_leaks,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_licenses": op10_licenses,
+    "op11_url_verdicts": op11_url_verdicts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_leaks": decontaminate.LEAKS_SQL,
+    "op11_url_verdicts": url_rules.sql(url_rules.default_rules()),
+    "op13_fill_middle": fill_middle.SQL,
 }
