@@ -31,13 +31,15 @@ from corpus_catalog.sources.rules import (
     submodule_markers,
     submodule_names,
 )
+from corpus_catalog.sources.cache_table import CacheTable
 from corpus_catalog.sources.tables import read_snapshot, write_documents, write_snapshot
 from corpus_catalog.sources.tree_source import read_trees
-from corpus_catalog.streaming.watch import Watch, drop_redelivered, read_versions
+from corpus_catalog.streaming.watch import Watch, drop_redelivered, drop_superseded, read_settings, read_versions
 
 __all__ = [
     "Build",
     "CacheKey",
+    "CacheTable",
     "Watch",
     "build",
     "builds",
@@ -55,6 +57,7 @@ __all__ = [
     "documents",
     "documents_json",
     "drop_redelivered",
+    "drop_superseded",
     "evict_deleted",
     "fill",
     "gate",
@@ -68,6 +71,7 @@ __all__ = [
     "preview",
     "prompt_requests",
     "purge",
+    "read_settings",
     "read_snapshot",
     "read_trees",
     "read_versions",

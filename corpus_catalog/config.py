@@ -131,9 +131,15 @@ BACKEND_ID = "heuristic"
 TOOL_VERSION = "1"
 
 # --- scale --------------------------------------------------------------
-# Rows of one repo that one task may gather into one string.  Repos above it
-# are cut into ordered parts of at most this many rows.
-PART_ROWS = 100_000
+# Parts of the stored summary cache; a repo's entries lie in one.
+CACHE_BUCKETS = 256
+# Directory ingest gives larger files without their content.
+HOLD_BYTES = 64 << 20
+# Bytes of one part of a document; a longer document comes in several, in order.
+PART_BYTES = 8 << 20
+# Rows of one repo that one task may sort; the rows of a larger one are numbered
+# from the sizes of range partitions.
+WINDOW_ROWS = 100_000
 # Rows of a frame of a few short or hashed columns that may be broadcast; about
 # 100 MB as 64-bit keys.
 BROADCAST_ROWS = 2_000_000

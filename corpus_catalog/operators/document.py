@@ -1,7 +1,7 @@
 """One Markdown or JSON document per repo.
 
-A document is assembled from lines ``(repo, section, rank, key, text)``; see
-``ordering.assemble`` for repos too large for one string.
+A document is assembled from lines ``(repo, section, rank, key, text)`` and cut by
+bytes into ordered parts; see ``ordering.assemble``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
 from corpus_catalog.operators.digest import scan_hash_of
-from corpus_catalog.operators.ordering import assemble, hot_groups
+from corpus_catalog.operators.ordering import assemble
 from corpus_catalog.operators.rank import scored
 from corpus_catalog.operators.tree import tree_lines
 
@@ -164,7 +164,7 @@ def token_budget(parts: DataFrame) -> DataFrame:
 
 
 def documents(
-    summaries: DataFrame, modes: DataFrame, limit: int = C.PART_ROWS, escape_cells: bool = False
+    summaries: DataFrame, modes: DataFrame, part_bytes: int = C.PART_BYTES, escape_cells: bool = False
 ) -> DataFrame:
     """``(repo, part, content, scan_hash, files, hits)``; Markdown.
 
@@ -172,20 +172,18 @@ def documents(
     several times.  ``modes`` lists the repos to document.
     """
     rows = scored(summaries)
-    hot = hot_groups(rows.select("repo"), ["repo"], limit)
     per_repo = totals(rows, modes)
     lines = document_lines(rows, per_repo, escape_cells)
-    content = assemble(lines, ["repo"], ORDER, limit=limit, hot=hot)
+    content = assemble(lines, ["repo"], ORDER, part_bytes=part_bytes)
     return content.join(per_repo.select("repo", "scan_hash", "files", "hits"), "repo")
 
 
-def documents_json(summaries: DataFrame, modes: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+def documents_json(summaries: DataFrame, modes: DataFrame, part_bytes: int = C.PART_BYTES) -> DataFrame:
     """``(repo, part, content)``; parts of one JSON document, joined with nothing.
 
     Pieces are assembled like the lines of the Markdown form.
     """
     rows = scored(summaries)
-    hot = hot_groups(rows.select("repo"), ["repo"], limit)
     per_repo = totals(rows, modes)
     first = rows.groupBy("repo").agg(
         F.min(F.when(F.col("is_key"), F.struct(-F.col("score"), "path")))["path"].alias("first_key"),
@@ -236,4 +234,4 @@ def documents_json(summaries: DataFrame, modes: DataFrame, limit: int = C.PART_R
             ),
         ]
     )
-    return assemble(pieces, ["repo"], ORDER, separator="", limit=limit, hot=hot)
+    return assemble(pieces, ["repo"], ORDER, separator="", part_bytes=part_bytes)

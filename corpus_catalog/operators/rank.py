@@ -33,7 +33,7 @@ def scored(summaries: DataFrame) -> DataFrame:
     )
 
 
-def key_files(scored_rows: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+def key_files(scored_rows: DataFrame, limit: int = C.WINDOW_ROWS) -> DataFrame:
     """Key files with their rank: best score first, then path."""
     keys = scored_rows.filter("is_key")
     ranked = row_numbers(keys, ["repo"], [F.desc("score"), F.asc("path")], limit)

@@ -13,7 +13,7 @@ from corpus_catalog.operators.document import (
     line,
     union_lines,
 )
-from corpus_catalog.operators.ordering import assemble, hot_groups
+from corpus_catalog.operators.ordering import assemble
 from corpus_catalog.operators.summarize import missing_defaults
 
 # Section order of each report.
@@ -59,7 +59,7 @@ def change_report(
     headers: DataFrame,
     mode: str = "both",
     summaries: DataFrame | None = None,
-    limit: int = C.PART_ROWS,
+    part_bytes: int = C.PART_BYTES,
 ) -> DataFrame:
     """``(repo, part, content)`` for repos with a baseline and changes.
 
@@ -105,5 +105,4 @@ def change_report(
             entries.select(*line(section, F.col("text"), key=key)),
         ]
     )
-    hot = hot_groups(changes.select("repo"), ["repo"], limit)
-    return assemble(lines, ["repo"], ORDER, limit=limit, hot=hot)
+    return assemble(lines, ["repo"], ORDER, part_bytes=part_bytes)

@@ -24,13 +24,13 @@ CONFIG_EXTENSIONS = [".yaml", ".yml", ".json"]
 SUMMARIZED_EXTENSIONS = [".py", ".md", *JS_EXTENSIONS, *CONFIG_EXTENSIONS]
 
 
-def exclusion_reason(content: Column, read_error: Column, strict_keys: bool = False) -> Column:
+def exclusion_reason(content: Column, read_error: Column, unheld: Column, strict_keys: bool = False) -> Column:
     """Cheap tests first; the first hit wins; null means included."""
     return (
         F.when(read_error.isNotNull(), READ_ERROR)
-        .when(content.isNull(), NOT_FOUND)
-        .when(X.is_binary(content), BINARY)
-        .when(F.octet_length(content) > C.MAX_FILE_BYTES, TOO_LARGE)
+        .when(content.isNull() & unheld.isNull(), NOT_FOUND)
+        .when(X.is_binary(content) | unheld["binary"], BINARY)
+        .when(unheld.isNotNull() | (F.octet_length(content) > C.MAX_FILE_BYTES), TOO_LARGE)
         .when(X.has_private_key(content, strict_keys), PRIVATE_KEY)
     )
 
@@ -38,8 +38,11 @@ def exclusion_reason(content: Column, read_error: Column, strict_keys: bool = Fa
 def gate(files: DataFrame, strict_keys: bool = False) -> DataFrame:
     """Add source_hash, exclusion_reason, excluded, is_binary, text, decode_lossy.
 
-    ``text`` is null for files whose text is not looked at.
+    ``text`` is null for files whose text is not looked at.  ``unheld`` (binary, lines) stands for
+    the content of files too large to be held; such a file must carry its hash.
     """
+    if "unheld" not in files.columns:
+        files = files.withColumn("unheld", F.lit(None).cast("struct<binary: boolean, lines: bigint>"))
     if "read_error" not in files.columns:
         files = files.withColumn("read_error", F.lit(None).cast("string"))
     if "source_hash" not in files.columns:
@@ -51,7 +54,7 @@ def gate(files: DataFrame, strict_keys: bool = False) -> DataFrame:
     )
     return (
         files.withColumn(
-            "exclusion_reason", exclusion_reason(content, F.col("read_error"), strict_keys)
+            "exclusion_reason", exclusion_reason(content, F.col("read_error"), F.col("unheld"), strict_keys)
         )
         .withColumn("excluded", reason.isNotNull())
         .withColumn("is_binary", F.coalesce(reason == BINARY, F.lit(False)))
@@ -90,6 +93,7 @@ def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
     name, ext = F.col("name"), F.col("ext")
     exports = F.col("exports")
     is_js = ext.isin(JS_EXTENSIONS)
+    unheld_text = (reason == TOO_LARGE) & text.isNull()
 
     read = (
         gate(files, strict_keys)
@@ -109,12 +113,12 @@ def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
         "read_error",
         "name",
         "ext",
-        F.when(text.isNull(), "unknown").otherwise(X.role(path, text)).alias("role"),
+        F.when(text.isNull() & ~unheld_text, "unknown").otherwise(X.role(path, F.coalesce(text, F.lit("")))).alias("role"),
         F.when(reason.isNull(), X.redaction_count(text)).otherwise(0).alias("redaction_count"),
         F.when(is_js, X.js_exports(text)).alias("exports"),
         F.when(is_js, X.js_imports(text)).alias("js_imports"),
         F.when(ext == ".md", X.markdown_title(text)).alias("title"),
-        F.when(~ext.isin(SUMMARIZED_EXTENSIONS), X.line_count(text)).alias("lines"),
+        F.when(unheld_text, F.col("unheld.lines")).when(~ext.isin(SUMMARIZED_EXTENSIONS), X.line_count(text)).alias("lines"),
         text.isNotNull().alias("has_text"),
         F.when(ext == ".py", text).alias("python_text"),
     )
@@ -122,7 +126,7 @@ def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
 
     found = (
         F.when(ext == ".py", _python_text(parsed, name))
-        .when(is_js, F.format_string("JavaScript/TypeScript file with %d exports", F.size(exports)))
+        .when(is_js & F.col("has_text"), F.format_string("JavaScript/TypeScript file with %d exports", F.size(exports)))
         .when(ext.isin(CONFIG_EXTENSIONS), F.concat(F.lit("Configuration file: "), name))
         .when(
             ext == ".md",
@@ -134,7 +138,7 @@ def summarize(files: DataFrame, strict_keys: bool = False) -> DataFrame:
         .otherwise(F.concat(name, F.lit(": "), F.col("lines").cast("string"), F.lit(" lines")))
     )
     summary = (
-        F.when(F.col("has_text"), X.clip(found))
+        F.when(F.col("has_text") | (reason == TOO_LARGE), X.clip(found))
         .when(reason == BINARY, F.concat(F.lit("Binary file: "), name))
         .when(reason == PRIVATE_KEY, "File excluded: contains private key")
         .when(reason == READ_ERROR, F.concat(F.lit("Could not read file: "), "read_error"))

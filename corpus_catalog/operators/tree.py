@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpus_catalog import config as C
 from corpus_catalog.functions import text as X
-from corpus_catalog.operators.ordering import assemble, hot_groups
+from corpus_catalog.operators.ordering import assemble
 from corpus_catalog.sources.tables import materialize
 
 
@@ -108,8 +108,7 @@ def tree_lines(files: DataFrame, mark_top_files: bool = True) -> DataFrame:
 
 
 def directory_tree(
-    files: DataFrame, limit: int = C.PART_ROWS, mark_top_files: bool = True
+    files: DataFrame, part_bytes: int = C.PART_BYTES, mark_top_files: bool = True
 ) -> DataFrame:
-    """``(repo, part, content)``; repos above ``limit`` files come in parts."""
-    hot = hot_groups(files.select("repo"), ["repo"], limit)
-    return assemble(tree_lines(files, mark_top_files), ["repo"], ["key"], limit=limit, hot=hot)
+    """``(repo, part, content)``; a long tree comes in ordered parts."""
+    return assemble(tree_lines(files, mark_top_files), ["repo"], ["key"], part_bytes=part_bytes)

@@ -11,6 +11,7 @@ from corpus_catalog.operators import cache as K, diff as D
 from corpus_catalog.operators.document import documents, token_budget
 from corpus_catalog.operators.inventory import normalized
 from corpus_catalog.operators.summarize import packed, summarize, unpacked
+from corpus_catalog.sources.cache_table import CacheTable
 from corpus_catalog.sources.tables import materialize
 
 
@@ -20,7 +21,7 @@ class Build:
 
     summaries: DataFrame  # packed rows with cache_hit, staleness_reason, is_priority
     manifest: DataFrame  # repo, path, source_hash
-    cache: DataFrame  # the new cache
+    cache: DataFrame  # the new cache; of a stored one, what this build found in it and added
 
 
 def contents_of(
@@ -84,21 +85,31 @@ def fill(
 def build(
     files: DataFrame,
     inventory: DataFrame,
-    cache: DataFrame | None,
+    cache: DataFrame | CacheTable | None,
     key: K.CacheKey,
     built_at: Column,
 ) -> Build:
+    """One build.  Of a stored cache only the buckets of the inventory's repos are read, and written if they change."""
+    stored = cache if isinstance(cache, CacheTable) else None
+    if stored is not None:
+        inventory = materialize(inventory, "inventory")
+        cache = stored.read(files.sparkSession, inventory.select("repo").distinct())
     filled = materialize(fill(files, inventory, cache, key), "summaries")
     fresh = filled.filter(~F.col("cache_hit")).select("repo", "path", "source_hash", "summary")
     new = K.entries(fresh, key, built_at)
+    known = new if cache is None else K.upsert(cache, new)
+    if stored is not None:
+        known = materialize(known, "cache")  # before the table changes
+        if not fresh.isEmpty():
+            stored.upsert(new)
     return Build(
         summaries=filled,
         manifest=filled.select("repo", "path", "source_hash"),
-        cache=new if cache is None else K.upsert(cache, new),
+        cache=known,
     )
 
 
-def context_documents(built: Build, modes: DataFrame, limit: int = C.PART_ROWS) -> DataFrame:
+def context_documents(built: Build, modes: DataFrame, part_bytes: int = C.PART_BYTES) -> DataFrame:
     """Markdown documents with their token estimate and warnings."""
-    parts = materialize(documents(unpacked(built.summaries), modes, limit), "documents")
+    parts = materialize(documents(unpacked(built.summaries), modes, part_bytes), "documents")
     return parts.join(token_budget(parts), "repo")

@@ -557,6 +557,11 @@ def statements() -> dict[str, str]:
               pattern <> '[ab' AS valid FROM named""",
         "rule_warnings": """SELECT DISTINCT source AS repo, 'malformed ignore rule: [ab' AS warning FROM documents""",
         "submodule_paths": """SELECT DISTINCT source AS repo, unnest(['vendor/sub', 'dup']) AS path FROM documents""",
+        "tree_ingest": f"""{files}, read AS (SELECT *, id % 41 = 1 AS looped, id % 41 <> 1 AND id % 43 = 2 AS dangling FROM v1)
+            SELECT repo, path, CASE WHEN NOT looped AND NOT dangling THEN strlen(content) END AS size,
+              CASE WHEN NOT looped AND NOT dangling THEN sha256(content) END AS source_hash,
+              CASE WHEN looped THEN 'Too many levels of symbolic links' END AS read_error,
+              CASE WHEN looped THEN 'read_error' WHEN dangling THEN 'file_not_found' ELSE {REASON} END AS reason FROM read""",
         "content_gate": f"""WITH {V1_PATHS},{V2},
             gated AS (SELECT repo, path, CASE WHEN id % 41 = 1 THEN 'read_error' ELSE {REASON} END AS reason FROM v2)
             SELECT p.repo, p.path, CASE WHEN g.path IS NULL THEN 'file_not_found' ELSE g.reason END AS exclusion_reason,
@@ -727,7 +732,7 @@ def statements() -> dict[str, str]:
         "watch_versions": f"""WITH {VERSIONS} SELECT repo, path, ts, deleted, source_hash FROM landed
             UNION ALL SELECT repo, path, ts, deleted, source_hash FROM landed""",
         "watch_dedup": f"WITH {VERSIONS} SELECT repo, path, ts, deleted, source_hash FROM landed",
-        "watch_rebuild": f"""WITH docs AS (SELECT doc_id AS id, source AS repo, text FROM documents),{V2},{S2}
-            SELECT repo, path, source_hash, summary, role, array_to_string(symbols, ',') AS public_symbols FROM s2""",
+        "watch_rebuild": f"""WITH {BUILDS} SELECT repo, path, source_hash, summary, role,
+            array_to_string(symbols, ',') AS public_symbols FROM b2""",
     }
     return sql

@@ -20,7 +20,9 @@ from corpus_catalog.operators.digest import corpus_fingerprint, scan_hash_of
 from corpus_catalog.operators.tree import directory_counts, directory_tree
 from corpus_catalog.plans import build as B
 from corpus_catalog.sources import corpus, rules as R, tables
+from corpus_catalog.sources.cache_table import CacheTable
 from corpus_catalog.sources.tables import materialize
+from corpus_catalog.sources.tree_source import read_trees
 from corpus_catalog.streaming import watch as W
 
 KEY = K.CacheKey(K.prompt_hash())
@@ -168,6 +170,11 @@ class Tables:
             }
         )
 
+    def stored_cache(self, entries: DataFrame) -> CacheTable:
+        table = CacheTable(tables.new_path(self.spark, "cache-table"))
+        table.upsert(entries)
+        return table
+
     # --- builds ----------------------------------------------------------------
 
     @cached_property
@@ -239,6 +246,35 @@ class Tables:
         second = written.unionByName(removed)
         return [first, second, first.unionByName(second)]
 
+    def settings(self) -> list[DataFrame]:
+        """Setting versions in order of arrival: rules of all repos alike at first, then everything, then both again."""
+        day1, day2 = F.lit(FIRST_BUILD).cast("timestamp"), F.lit(SECOND_BUILD).cast("timestamp")
+
+        def rows(frame: DataFrame, kind: str, path: Column, content: Column, deleted: bool = False, ts: Column = day2) -> DataFrame:
+            return frame.select(
+                "repo", F.lit(kind).alias("kind"), path.alias("path"), content.cast("binary").alias("content"),
+                F.lit(deleted).alias("deleted"), ts.alias("ts"),
+            )
+
+        none, path = F.lit(""), F.col("path")
+        versioned = self.existing.filter(F.col("ignore_mode") == I.GIT).select("repo")
+        before = corpus.tracked(self.docs).join(versioned, "repo", "left_semi")
+        now = self.paths2.join(versioned, "repo", "left_semi")
+        definitions = corpus.submodule_files(self.docs)
+        at_first = F.lit("\n".join(["*.ts", "pkg2/", *corpus.SAMPLE_RULES]))
+        first = rows(self.existing, W.RULES, none, at_first, ts=day1)
+        first = first.unionByName(rows(before, W.TRACKED, path, F.lit(None), ts=day1))
+        second = [
+            rows(self.existing, W.MODE, none, F.col("ignore_mode")),
+            rows(corpus.rule_files(self.docs), W.RULES, none, F.col("content")),
+            rows(definitions.filter(path == ".gitmodules"), W.SUBMODULES, none, F.col("content")),
+            rows(definitions.filter(path != ".gitmodules"), W.MARKER, path, F.col("content")),
+            rows(now, W.TRACKED, path, F.lit(None)),
+            rows(before.join(now, ["repo", "path"], "left_anti"), W.TRACKED, path, F.lit(None), deleted=True),
+        ]
+        second = DOC.union_lines(second)
+        return [first, second, first.unionByName(second)]
+
     def stream_to_table(self, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Run a transformation over the landed versions; the written result."""
         landing = tables.new_path(self.spark, "landing")
@@ -284,6 +320,19 @@ def file_inventory(t: Tables) -> DataFrame:
     return every.orderBy("repo", "path")
 
 
+@query
+def tree_ingest(t: Tables) -> DataFrame:
+    """The first snapshot written as directories, some files as links that lead nowhere or in circles, and read back."""
+    folder = tables.new_path(t.spark, "trees").removeprefix("file:")
+    name = X.file_name(F.col("path"))
+    link = F.when(F.col("doc_id") % 41 == 1, name).when(F.col("doc_id") % 43 == 2, F.lit("nowhere"))
+    corpus.write_trees(t.files1.withColumn("link", link), folder)
+    read = read_trees(t.spark, folder)
+    return read.select(
+        "repo", "path", "size", "source_hash", "read_error", S.exclusion_reason(F.col("content"), F.col("read_error"), F.col("unheld")).alias("reason")
+    )
+
+
 @query
 def vcs_manifest_scan(t: Tables) -> DataFrame:
     return I.tracked_only(t.paths1, corpus.tracked(t.docs))
@@ -536,7 +585,9 @@ def page_summary(t: Tables) -> DataFrame:
 
 @query
 def cache_lookup(t: Tables) -> DataFrame:
-    found = K.lookup(D.hashes(t.files2), t.mixed_cache, KEY)
+    """Second snapshot looked up in the stored cache, of which the buckets of its repos are read."""
+    cache = t.stored_cache(t.mixed_cache).read(t.spark, t.paths2.select("repo").distinct())
+    found = K.lookup(D.hashes(t.files2), cache, KEY)
     return found.withColumn("summary", F.col("summary.summary"))
 
 
@@ -560,10 +611,9 @@ def cache_upsert(t: Tables) -> DataFrame:
     stale = materialize(found.filter("is_stale").select("repo", "path"), "stale")
     fresh = S.packed(S.summarize(B.contents_of(t.files2, stale, stale.count())))
     new = K.entries(fresh.join(stale, ["repo", "path"], "left_semi"), KEY, F.lit(SECOND_BUILD))
-    root = tables.new_path(t.spark, "caches")
-    tables.write_snapshot(K.upsert(t.mixed_cache, new), root)
-    stored = tables.read_snapshot(t.spark, root, t.mixed_cache.schema)
-    return stored.withColumn("summary", F.col("summary.summary")).withColumn(
+    table = t.stored_cache(t.mixed_cache)
+    table.upsert(new)
+    return table.read(t.spark).withColumn("summary", F.col("summary.summary")).withColumn(
         "ts", F.date_format("ts", "yyyy-MM-dd")
     )
 
@@ -600,8 +650,9 @@ def cache_purge(t: Tables) -> DataFrame:
     """Entries removed and kept when every third repo is purged."""
     number = corpus.repo_number()
     purged = t.hashes1.select("repo").distinct().filter(number % 3 == 0)
-    kept, removed = K.purge(t.cache1, purged)
-    left = kept.groupBy("repo").agg(F.count(F.lit(1)).alias("kept"))
+    table = t.stored_cache(t.cache1)
+    removed = table.purge(purged)
+    left = table.read(t.spark).groupBy("repo").agg(F.count(F.lit(1)).alias("kept"))
     return left.join(removed, "repo", "full_outer").select(
         "repo",
         F.coalesce("removed", F.lit(0)).alias("removed"),
@@ -786,22 +837,29 @@ def watch_versions(t: Tables) -> DataFrame:
 
 @query
 def watch_dedup(t: Tables) -> DataFrame:
-    """Versions without repeated deliveries."""
-    stored = t.stream_to_table(W.drop_redelivered)
+    """Versions without repeated deliveries, however late; state is kept by RocksDB."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", W.ROCKSDB
+    before = t.spark.conf.get(name, None)
+    t.spark.conf.set(name, provider)
+    try:
+        stored = t.stream_to_table(W.drop_superseded)
+    finally:
+        t.spark.conf.unset(name) if before is None else t.spark.conf.set(name, before)
     return stored.withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
 
 
 @query
 def watch_rebuild(t: Tables) -> DataFrame:
-    """Final state of the watched corpus; equals a build of the second snapshot."""
-    watch = W.Watch(tables.new_path(t.spark, "watch"))
-    landing = tables.new_path(t.spark, "landing")
+    """Final state of the watched corpus, files and settings; equals the scanned build of the second snapshot."""
+    landing, settings = tables.new_path(t.spark, "landing"), tables.new_path(t.spark, "settings-landing")
+    watch = W.Watch(tables.new_path(t.spark, "watch"), landing)
     checkpoint = tables.new_path(t.spark, "stream-checkpoint")
-    for number, arrival in enumerate(t.versions()):
+    for number, (arrival, changed) in enumerate(zip(t.versions(), t.settings())):
         arrival.write.parquet(f"{landing}/{number}")
+        changed.write.parquet(f"{settings}/{number}")
         # Each run goes on where the last one stopped.
-        versions = W.read_versions(t.spark, landing)
-        watch.start(versions, checkpoint, available_now=True).awaitTermination()
+        streams = W.read_versions(t.spark, landing), W.read_settings(t.spark, settings)
+        watch.start(streams[0], checkpoint, available_now=True, settings=streams[1]).awaitTermination()
     return S.unpacked(watch.files(t.spark)).select(
         "repo", "path", "source_hash", "summary", "role", _joined("public_symbols")
     )

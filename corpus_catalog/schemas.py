@@ -65,6 +65,11 @@ FILES = T.StructType(
         T.StructField("content", T.BinaryType()),
         T.StructField("size", T.LongType()),
         T.StructField("read_error", T.StringType()),
+        T.StructField("source_hash", T.StringType()),
+        # Set for a file too large to be held, which has no content.
+        T.StructField(
+            "unheld", T.StructType([T.StructField("binary", T.BooleanType()), T.StructField("lines", T.LongType())])
+        ),
     ]
 )
 
@@ -77,3 +82,15 @@ FILE_VERSIONS = T.StructType(
         T.StructField("ts", T.TimestampType()),
     ]
 )
+
+# Settings of repos as they change: the kinds are named in streaming.watch.
+SETTING_VERSIONS = T.StructType(
+    [
+        T.StructField("repo", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("content", T.BinaryType()),
+        T.StructField("deleted", T.BooleanType()),
+        T.StructField("ts", T.TimestampType()),
+    ]
+)

@@ -8,6 +8,10 @@ files.  Everything is a projection of the table, so it scales with it.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The name of a file, by doc_id % 16.
@@ -207,3 +211,21 @@ def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.regexp_extract("url", url, 2), F.lit("/page"), F.col("page_id"), F.lit(".html")).alias("path"),
         F.col("html").cast("binary").alias("content"),
     )
+
+
+def write_trees(files: DataFrame, folder: str) -> None:
+    """Files ``(repo, path, content, link)`` below a folder that every executor can reach; a link if that is set."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for repo, path, content, link in zip(*(c.to_pylist() for c in batch.columns)):
+                target = os.path.join(folder, repo, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                if link is None:
+                    with open(target, "wb") as f:
+                        f.write(content)
+                elif not os.path.islink(target):  # else written by a lost attempt
+                    os.symlink(link, target)
+            yield batch.select([0])
+
+    files.select("repo", "path", "content", "link").mapInArrow(write, "repo string").write.format("noop").mode("overwrite").save()

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from corpus_catalog import config as C
@@ -40,6 +40,22 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """File system and path object."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _at(spark, path)
+    return fs.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = _at(spark, path)
+    fs.delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a compact intermediate table to the shared folder and read it back.
 
@@ -65,10 +81,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         paths, _scratch.paths = _scratch.paths, outer
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            delete(spark, path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -90,16 +104,13 @@ def small(df: DataFrame, rows: int, limit: int = C.BROADCAST_ROWS) -> DataFrame:
 
 def _snapshot_ids(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the complete snapshots below ``root``."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, base = _at(spark, root)
     if not fs.exists(base):
         return []
     found = []
     for status in fs.listStatus(base):
         name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("snapshot=") and fs.exists(done):
+        if name.startswith("snapshot=") and exists(spark, f"{root}/{name}/_SUCCESS"):
             found.append(int(name.split("=")[1]))
     return sorted(found)
 
@@ -143,21 +154,44 @@ def read_snapshot(
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One text folder per repo; parts of large documents stay in order by name.
+    """One text folder per repo; its files, in order by name, are the document, one part each.
 
-    A document ends with a newline, which the text writer adds itself.
+    Parts are range partitioned, so those of a large document are written by several
+    tasks, and files are named by task and place.  The text writer ends every file
+    with the newline between the parts, and the last one with that of the document.
     """
-    docs.select(
-        "repo", "part", F.regexp_replace("content", r"\n\z", "").alias("content")
-    ).write.mode("overwrite").partitionBy("repo", "part").text(path)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(docs.select("repo", "part", "content"), "document-parts")
+    last = parts.groupBy("repo").agg(F.max("part").alias("last"))
+    text = F.when(F.col("part") == F.col("last"), F.regexp_replace("content", r"\n\z", ""))
+    (
+        parts.join(last, "repo")
+        # The newline before an empty last part ends the document.
+        .filter((F.col("part") < F.col("last")) | (F.col("content") != "") | (F.col("part") == 0))
+        .select("repo", "part", F.coalesce(text, "content").alias("content"))
+        .repartitionByRange(n, "repo", "part")
+        .sortWithinPartitions("repo", "part")
+        .drop("part")
+        .write.mode("overwrite")
+        .option("maxRecordsPerFile", 1)
+        .partitionBy("repo")
+        .text(path)
+    )
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents as written, ``(repo, part, content)``."""
-    schema = "value string, repo string, part bigint"
-    return spark.read.schema(schema).text(path, wholetext=True).select(
-        "repo", "part", F.col("value").alias("content")
+    """Documents as written, ``(repo, part, content)``; joining the contents gives the document."""
+    name = F.col("_metadata.file_name")
+    files = spark.read.schema("value string, repo string").text(path, wholetext=True).select(
+        "repo",
+        F.regexp_extract(name, r"^part-([0-9]+)", 1).cast("bigint").alias("task"),
+        F.regexp_extract(name, r"\.?c([0-9]+)\.txt", 1).cast("bigint").alias("place"),
+        F.col("value").alias("content"),
     )
+    # Numbered without the contents: a row per file.
+    order = Window.partitionBy("repo").orderBy("task", "place")
+    numbers = files.select("repo", "task", "place", (F.row_number().over(order) - 1).cast("bigint").alias("part"))
+    return files.join(numbers, ["repo", "task", "place"]).select("repo", "part", "content")
 
 
 # --- cache entries as JSON ------------------------------------------------------

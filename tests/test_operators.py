@@ -1,6 +1,9 @@
 """Contracts and quirks of each operator."""
 
+import glob
 import hashlib
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -522,7 +525,7 @@ def test_snapshots(spark, cache):
 def test_document_sink_writes_exact_text(spark, tmp_path):
     docs = spark.createDataFrame([("r", 0, "é line\nlast\n"), ("q", 0, "x\n")], "repo string, part long, content string")
     tables.write_documents(docs, str(tmp_path / "out"))
-    (written,) = (tmp_path / "out" / "repo=r" / "part=0").glob("*.txt")
+    (written,) = (tmp_path / "out" / "repo=r").glob("*.txt")
     assert written.read_bytes().decode() == "é line\nlast\n"
 
 
@@ -544,6 +547,77 @@ def test_source_trees(spark, tmp_path):
     assert {r.repo for r in single.collect()} == {"mine"} and single.count() == 3
 
 
+def test_deep_chain_of_directories_is_listed_in_rounds(spark, tmp_path):
+    """10,000 directories in each other: longer than any path may be, and no round lists them all."""
+    at = os.open(tmp_path, os.O_RDONLY)
+    for depth in range(10_000):
+        os.mkdir("d", dir_fd=at)
+        last, at = at, os.open("d", os.O_RDONLY, dir_fd=at)
+        os.close(last)
+        if depth % 2500 == 2499:
+            with os.fdopen(os.open(f"f{depth}.py", os.O_WRONLY | os.O_CREAT, dir_fd=at), "w") as f:
+                f.write(f"x = {depth}")
+    os.close(at)
+    found = {r.path: bytes(r.content) for r in read_trees(spark, str(tmp_path)).collect()}
+    assert found == {"d/" * n + f"f{n}.py": b"x = %d" % n for n in (2499, 4999, 7499, 9999)}
+
+
+def test_wide_tree_in_small_rounds(spark, tmp_path):
+    from corpus_catalog.sources import tree_source
+
+    want = set()
+    for i in range(40):
+        for j in range(i % 5):
+            place = f"r{i % 3}/a{i}/b{j}/c"
+            (tmp_path / place).mkdir(parents=True)
+            (tmp_path / place / "f").write_text("x" * i)
+            want.add((f"{place}/f", i))
+    os.mkfifo(tmp_path / "r0" / "pipe")
+    (tmp_path / "r1" / "way").symlink_to(tmp_path / "r0")
+    for share in (1, 1000):
+        got = tree_source.list_trees(spark, str(tmp_path), first_share=share).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert tree_source.list_trees(spark, str(tmp_path / "nowhere")).collect() == []
+
+
+def test_files_too_large_to_hold(spark, tmp_path):
+    """Two gigabytes that take no room on the disk: hash, size, lines and gate without the content."""
+    size, text = (2 << 30) + 5, b"a\r\nb\n" * 3000
+    (tmp_path / "r").mkdir()
+    with open(tmp_path / "r" / "big.log", "wb") as f:
+        f.write(text)
+        f.truncate(size)
+    with open(tmp_path / "r" / "blob", "wb") as f:
+        f.truncate(C.HOLD_BYTES + 1)
+    (tmp_path / "r" / "small.py").write_text("x = 1\n")
+    files = tables.materialize(read_trees(spark, str(tmp_path)), "files")
+    got = {r.path: r for r in files.collect()}
+    digest, zeros = hashlib.sha256(text), bytes(1 << 24)
+    for begin in range(len(text), size, len(zeros)):
+        digest.update(zeros[: size - begin])
+    big = got["big.log"]
+    assert (big.content, big.size, big.source_hash, tuple(big.unheld)) == (None, size, digest.hexdigest(), (False, 6001))
+    assert got["blob"].unheld.binary and got["small.py"].unheld is None
+    assert {r.path: r.source_hash for r in D.hashes(files).collect()}["blob"] == got["blob"].source_hash
+    rows = {r.path: (r.exclusion_reason, r.role, r.summary, r.decode_lossy) for r in S.summarize(files).collect()}
+    assert rows["big.log"] == ("file_too_large", "unknown", "big.log: 6001 lines", True)
+    assert rows["blob"][0] == "binary_file" and rows["small.py"][0] is None
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_lines_counted_in_pieces(size):
+    from corpus_catalog.sources.tree_source import _Lines
+
+    r = random.Random(6)
+    bits = ["a", "\n", "\r", "\r\n", "\x0b", "\x85", "\u2028", "\u2029", "é", "\x1e", "\u2027", "\xa0"]
+    for _ in range(300):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(12)))
+        data, lines = text.encode(), _Lines()
+        for i in range(0, len(data), size):
+            lines.add(data[i : i + size])
+        assert lines.total() == len(text.splitlines())
+
+
 def test_fingerprint_counts_repeated_rows(spark):
     from corpus_catalog.operators.digest import corpus_fingerprint
 

@@ -1,6 +1,5 @@
 import hashlib
 import json
-import math
 import random
 
 import pytest
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_catalog.operators import digest, document, ordering, reports, tree
 from corpus_catalog.operators.diff import diff
+from corpus_catalog.sources import tables
 
 
 @pytest.fixture
@@ -32,17 +32,35 @@ def test_row_numbers_of_hot_groups(spark, skewed):
         assert sorted(r.row_no for r in got if r.repo == repo) == list(range(1, len(want) + 1))
 
 
-@pytest.mark.parametrize("limit", [1, 7, 50, 1000])
-def test_parts_join_to_the_whole(spark, skewed, limit):
-    df = paths_frame(spark, skewed).withColumn("text", F.concat("path", F.lit("!")))
-    got = ordering.assemble(df, ["repo"], ["path"], limit=limit).collect()
+def cut_by_bytes(texts, width, limit):
+    """The texts of each part, by where they begin in the whole."""
+    parts, at = {}, 0
+    for text in texts:
+        parts.setdefault(at // limit, []).append(text)
+        at += len(text.encode()) + width
+    return parts
+
+
+@pytest.mark.parametrize("part_bytes", [1, 7, 50, 1000, 1 << 20])
+@pytest.mark.parametrize("separator", ["\n", ""])
+def test_parts_join_to_the_whole(spark, skewed, part_bytes, separator):
+    """One rule for a group of 400 rows and one of a single row."""
+    text = F.concat("path", F.when(F.length("path") % 3 == 0, "é" * 40).otherwise("!"))
+    rows = [(r, p, p + ("é" * 40 if len(p) % 3 == 0 else "!")) for r, p in sorted(skewed)]
+    df = paths_frame(spark, skewed).withColumn("text", text)
+    got = ordering.assemble(df, ["repo"], ["path"], separator, part_bytes).collect()
     for repo in {"big", "small", "tiny"}:
-        want = [p + "!" for p in sorted(p for r, p in skewed if r == repo)]
-        parts = [r.content for r in sorted(got, key=lambda r: r.part) if r.repo == repo]
-        assert "\n".join(parts) == "\n".join(want)
-        assert len(parts) == (math.ceil(len(want) / limit) if len(want) > limit else 1)
-        if len(want) > limit:
-            assert all(len(p.split("\n")) <= limit for p in parts)
+        want = cut_by_bytes([t for r, _, t in rows if r == repo], len(separator), part_bytes)
+        assert {r.part: r.content for r in got if r.repo == repo} == {n: separator.join(t) for n, t in want.items()}
+
+
+def test_long_lines_of_few_rows_come_in_parts(spark):
+    """What counts is bytes: ten long lines are cut, a thousand short ones are not."""
+    data = [("long", f"{i}", "x" * 5000) for i in range(10)] + [("short", f"{i:04}", "y") for i in range(1000)]
+    df = spark.createDataFrame(data, "repo string, path string, text string")
+    got = ordering.assemble(df, ["repo"], ["path"], part_bytes=10_000).collect()
+    parts = {repo: [len(r.content) for r in got if r.repo == repo] for repo in ("long", "short")}
+    assert parts == {"long": [10_001] * 5, "short": [1999]}
 
 
 def test_parts_do_not_depend_on_partitions(spark, skewed):
@@ -50,7 +68,7 @@ def test_parts_do_not_depend_on_partitions(spark, skewed):
     results = []
     for n in ("1", "4", "13"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        got = ordering.assemble(df.repartition(int(n)), ["repo"], ["path"], limit=30).collect()
+        got = ordering.assemble(df.repartition(int(n)), ["repo"], ["path"], part_bytes=300).collect()
         results.append(sorted(tuple(r) for r in got))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1] == results[2]
@@ -112,20 +130,31 @@ def drawn(paths):
     return "\n".join(lines)
 
 
-@pytest.mark.parametrize("limit", [20, 100_000])
-def test_tree_equals_independent_rendering(spark, limit):
+@pytest.mark.parametrize("part_bytes", [200, 1 << 20])
+def test_tree_equals_independent_rendering(spark, part_bytes):
     rng = random.Random(9)
     names = ["a", "a-b", "b", "b.x", "a0", "z", "é"]
     data = set()
     for repo in ("p", "q", "r"):
         for _ in range(60 if repo == "p" else 12):
             data.add((repo, "/".join(rng.choices(names, k=rng.randint(1, 5)))))
-    got = tree.directory_tree(paths_frame(spark, sorted(data)), limit).collect()
+    got = tree.directory_tree(paths_frame(spark, sorted(data)), part_bytes).collect()
     for repo in ("p", "q", "r"):
         parts = [r.content for r in sorted(got, key=lambda r: r.part) if r.repo == repo]
         assert "\n".join(parts) == drawn(sorted(p for r, p in data if r == repo))
 
 
+def test_few_files_in_very_deep_directories(spark):
+    """Three files, 200 levels: the tree is 80 KB of indentation, in parts that each hold little more than 8,000 bytes."""
+    deep = "/".join(f"d{i}" for i in range(200))
+    paths = [f"{deep}/a.py", f"{deep}/b.py", "c.py"]
+    got = tree.directory_tree(paths_frame(spark, [("r", p) for p in paths]), 8000).collect()
+    parts = [r.content for r in sorted(got, key=lambda r: r.part)]
+    assert "\n".join(parts) == drawn(paths)
+    longest = max(len(line.encode()) for line in drawn(paths).split("\n"))
+    assert len(parts) > 5 and max(len(p.encode()) for p in parts) <= 8000 + longest
+
+
 def test_directory_counts(spark, rows):
     df = paths_frame(spark, [("r", "a/b/c"), ("r", "a/d"), ("r", "e")])
     got = rows(tree.directory_counts(df), "dir", "files", "files_below")
@@ -160,13 +189,13 @@ def test_large_documents_come_in_parts(spark):
     df = summaries(spark, 60)
     modes = spark.createDataFrame([("big", "git"), ("small", "git"), ("none", "git")], "repo string, ignore_mode string")
     whole, _ = joined(document.documents(df, modes))
-    cut, parts = joined(document.documents(df, modes, limit=20))
-    assert len(parts["big"]) > 1 and len(parts["small"]) == 1
+    cut, parts = joined(document.documents(df, modes, part_bytes=1500))
+    assert len(parts["big"]) > 2
     assert cut == whole
     assert whole["none"].endswith("```\n\n```\n") and "Files: 0 | Cache: 0/0" in whole["none"]
 
     whole, _ = joined(document.documents_json(df, modes), "")
-    cut, parts = joined(document.documents_json(df, modes, limit=20), "")
+    cut, parts = joined(document.documents_json(df, modes, part_bytes=1500), "")
     assert len(parts["big"]) > 1
     for repo in whole:
         a, b = json.loads(whole[repo]), json.loads(cut[repo])
@@ -174,6 +203,21 @@ def test_large_documents_come_in_parts(spark):
         assert len(a["key_files"]) + len(a["other_files"]) == a["metadata"]["files"]
 
 
+def test_sink_writes_ordered_files_that_join_to_the_document(spark, tmp_path):
+    df = summaries(spark, 60)
+    modes = spark.createDataFrame([("big", "git"), ("small", "git"), ("none", "git")], "repo string, ignore_mode string")
+    whole, _ = joined(document.documents(df, modes))
+    for part_bytes in (700, 1 << 20):
+        path = str(tmp_path / str(part_bytes))
+        tables.write_documents(document.documents(df, modes, part_bytes), path)
+        for repo, text in whole.items():
+            files = sorted((tmp_path / str(part_bytes) / f"repo={repo}").glob("*.txt"))
+            assert "".join(f.read_bytes().decode() for f in files) == text
+            assert part_bytes > 700 or repo != "big" or len(files) > 5
+        read, _ = joined(tables.read_documents(spark, path), "")
+        assert read == whole
+
+
 def test_budget_covers_all_parts(spark):
     parts = spark.createDataFrame([("r", 0, "a" * 16000), ("r", 1, "b" * 16000), ("q", 0, "x" * 32000)], "repo string, part long, content string")
     got = {r.repo: (r.chars, r.approx_tokens, r.warnings) for r in document.token_budget(parts).collect()}
@@ -186,5 +230,5 @@ def test_large_reports_come_in_parts(spark):
     heads = spark.createDataFrame([("r", "a", "b", "git")], "repo string, previous_hash string, scan_hash string, ignore_mode string")
     found = diff(old, new)
     whole, _ = joined(reports.change_report(found, heads, "list"))
-    cut, parts = joined(reports.change_report(found, heads, "list", limit=10))
+    cut, parts = joined(reports.change_report(found, heads, "list", part_bytes=100))
     assert len(parts["r"]) > 1 and whole == cut

@@ -10,9 +10,6 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
-# Slow to start, and covered by tests of their own.
-SLOW = {"watch_rebuild", "changes_summaries", "document_sink", "cache_status"}
-
 QUERIES, ORACLE = dict(contract.registry.QUERIES), contract.oracle.statements()
 
 
@@ -28,7 +25,7 @@ def test_every_statement_has_a_query():
     assert set(ORACLE) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     found = QUERIES[name](spark, SF_DIR)
     wanted = duck.sql(ORACLE[name])

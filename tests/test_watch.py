@@ -3,8 +3,8 @@ from datetime import datetime
 
 import pytest
 
-from corpus_catalog.functions import globs
-from corpus_catalog.schemas import FILE_VERSIONS
+from corpus_catalog.operators import inventory as I
+from corpus_catalog.schemas import FILE_VERSIONS, SETTING_VERSIONS
 from corpus_catalog.sources import tables
 from corpus_catalog.streaming import watch as W
 
@@ -14,17 +14,26 @@ def version(path, text, day, repo="r"):
     return (repo, path, content, text is None, datetime(2024, 1, day))
 
 
+def setting(kind, text, day, path="", repo="r", deleted=False):
+    return (repo, kind, path, None if text is None else bytearray(text.encode()), deleted, datetime(2024, 1, day))
+
+
 @pytest.fixture
 def run(spark, tmp_path):
-    """Land batches one after the other and process each."""
+    """Land batches one after the other and process each; ``settings`` are landed beside them."""
 
-    def go(batches, **settings):
-        watch = W.Watch(tables.new_path(spark, "watch"), **settings)
+    def go(batches, settings=None, seen=None, **options):
         landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+        watch = W.Watch(tables.new_path(spark, "watch"), landing, **options)
         for n, batch in enumerate(batches):
             spark.createDataFrame(batch, FILE_VERSIONS).write.parquet(f"{landing}/{n}")
-            stream = W.read_versions(spark, landing)
-            watch.start(stream, checkpoint, available_now=True).awaitTermination()
+            stream, beside = W.read_versions(spark, landing), None
+            if settings is not None:
+                spark.createDataFrame(settings[n], SETTING_VERSIONS).write.parquet(f"{tmp_path}/settings/{n}")
+                beside = W.read_settings(spark, f"{tmp_path}/settings")
+            watch.start(stream, checkpoint, available_now=True, settings=beside).awaitTermination()
+            if seen is not None:
+                seen.append({r.path for r in watch.files(spark).collect()})
         return watch
 
     return go
@@ -42,19 +51,18 @@ def test_state_follows_versions(spark, run):
             [version("a.md", "# One", 3), version("b.md", "# late", 1), version("x", None, 3, "q")],
             [version("a.md", "# One", 3), version("skip.log", "x", 3)],
         ],
-        rules=tuple(globs.parse_rules("*.log")),
         fold_every=2,
     )
     assert state(watch, spark) == {("r", "a.md"): "Documentation: One"}
     docs = {r.repo: r.content for r in watch.latest_documents(spark).collect()}
     assert list(docs) == ["r"] and "Documentation: One" in docs["r"]
-    assert len(tables.snapshots(spark, watch.bases)) == 2
+    assert len(tables.snapshots(spark, watch.files_log.bases)) == 2
 
 
 def test_batches_leave_no_intermediate_tables(spark, run):
     run([[version("a.md", "# One", 1)]])
     left = glob.glob(tables.shared_dir(spark) + "/corpus_catalog/*")
-    assert not [p for p in left if "touched-" in p or "newest-" in p or "versions-" in p]
+    assert not [p for p in left if any(f"/{n}-" in p for n in ("touched", "newest", "known", "judged", "arrived", "documented"))]
 
 
 def test_unchanged_content_is_a_hit(spark, run):
@@ -79,6 +87,131 @@ def test_many_misses_are_read_in_place(spark, run):
     assert len(found) == 9 and found[("r", "f1.md")] == "Documentation: new"
 
 
+TREE = ["a.md", "lib/x.py", "lib/y.tmp", ".env", ".hid/h.md", "sub/s.md", "own/o.md"]
+FIRST = [version(p, f"# {p}", 1) for p in TREE]
+
+
+def test_only_an_ignore_file_changes(spark, run):
+    """No file version arrives after the first batch, but paths are withdrawn and admitted."""
+    seen = []
+    settings = [
+        [setting(W.RULES, "*.tmp", 1)],
+        [setting(W.RULES, "lib/", 2)],
+        [setting(W.RULES, "*.md", 1), setting(W.RULES, "lib/", 2)],  # late, and again
+        [setting(W.RULES, None, 3, deleted=True)],
+    ]
+    watch = run([FIRST, [], [], []], settings, seen)
+    assert seen[0] == {"a.md", "lib/x.py", "sub/s.md", "own/o.md"}
+    assert seen[1] == seen[2] == {"a.md", "sub/s.md", "own/o.md"}
+    assert seen[3] == {"a.md", "lib/x.py", "lib/y.tmp", "sub/s.md", "own/o.md"}
+    # y.tmp was never summarised before; its text comes from the landed versions.
+    assert state(watch, spark)[("r", "lib/y.tmp")] == "y.tmp: 1 lines"
+    (doc,) = watch.latest_documents(spark).collect()
+    assert "lib/y.tmp" in doc.content and ".env" not in doc.content
+
+
+def test_ignored_files_are_never_summarised(spark, run):
+    watch = run([FIRST], [[setting(W.RULES, "*.tmp", 1)]])
+    kept = watch.files_log.read(spark).collect()
+    assert {r.path for r in kept} == set(TREE)
+    assert {r.path for r in kept if r.summary is None} == {"lib/y.tmp", ".env", ".hid/h.md"}
+
+
+def test_without_landing_admitted_paths_wait(spark, run, tmp_path):
+    watch = run([FIRST], [[setting(W.RULES, "*.tmp", 1)]])
+    blind = W.Watch(watch.root)
+    batch = spark.createDataFrame([setting(W.RULES, "", 2)], SETTING_VERSIONS)
+    versions = spark.createDataFrame([], FILE_VERSIONS).withColumn("kind", W.F.lit(W.FILE))
+    blind.process(versions.unionByName(batch), 1)
+    assert "lib/y.tmp" not in blind.latest_documents(spark).first().content
+    again = spark.createDataFrame([version("lib/y.tmp", "# now", 5)], FILE_VERSIONS)
+    blind.process(again, 2)
+    assert "lib/y.tmp" in {r.path for r in blind.files(spark).collect() if r.summary is not None}
+
+
+def test_modes_submodules_and_listings_change(spark, run, rows):
+    seen = []
+    settings = [
+        [setting(W.SUBMODULES, "path = own", 1), setting(W.MARKER, "gitdir: x", 1, "sub/.git")],
+        [setting(W.MARKER, None, 2, "sub/.git", deleted=True)],
+        [setting(W.MODE, "git", 3), *(setting(W.TRACKED, None, 3, p) for p in (".hid/h.md", "own/o.md", "gone.md", ".env"))],
+        [setting(W.TRACKED, None, 4, "own/o.md", deleted=True)],
+    ]
+    run([FIRST, [], [], [version("own/o.md", "# new", 4)]], settings, seen)
+    walked = {"a.md", "lib/x.py", "lib/y.tmp"}
+    assert seen == [walked, walked | {"sub/s.md"}, {".hid/h.md", "own/o.md"}, {".hid/h.md"}]
+
+
+def test_state_equals_a_scan(spark, run):
+    """Random versions and settings of three repos in three batches; the state is the scan of the newest of each."""
+    import random
+
+    r, repos, n = random.Random(8), ("p", "q", "r"), 0
+    texts = {W.MODE: ["git", "best_effort"], W.RULES: ["*.tmp\n!lib/y.tmp", "lib/", "own/\n*.py", ""], W.SUBMODULES: ["path = own", "path = none"]}
+    files, settings = [], []
+    for day in range(1, 4):
+        files.append([version(p, r.choice(["# A", "# B", None]), day, q) for q in repos for p in TREE if r.random() < 0.5])
+        settings.append([setting(k, r.choice(t), day, repo=q) for q in repos for k, t in texts.items() if r.random() < 0.5])
+        settings[-1] += [setting(W.TRACKED, None, day, p, q, r.random() < 0.4) for q in repos for p in TREE if r.random() < 0.4]
+    watch = run(files, settings, fold_every=2, buckets=2)
+    newest = {(v[0], v[1]): v for batch in files for v in batch}
+    chosen = {(s[0], s[1], s[2]): s for batch in settings for s in batch}
+    alive = spark.createDataFrame([v[:2] for v in newest.values() if not v[3]], "repo string, path string")
+    pick = lambda kind: [s for s in chosen.values() if s[1] == kind and not s[4]]
+    modes = {s[0]: bytes(s[3]).decode() for s in pick(W.MODE)}
+    ruled = {s[0]: bytes(s[3]).decode() for s in pick(W.RULES)}
+    text = "repo string, content string"
+    want = I.scan(
+        alive,
+        spark.createDataFrame([(q, modes.get(q, I.BEST_EFFORT)) for q in repos], "repo string, ignore_mode string"),
+        spark.createDataFrame([(s[0], s[2]) for s in pick(W.TRACKED)], "repo string, path string"),
+        W.R.rules_by_repo(spark.createDataFrame([(q, ruled.get(q)) for q in repos], text)),
+        W.R.submodule_names(spark.createDataFrame([(s[0], bytes(s[3]).decode()) for s in pick(W.SUBMODULES)], text)),
+        spark.createDataFrame([], "repo string, path string"),
+    )
+    found = watch.files(spark).collect()
+    assert {(x.repo, x.path) for x in found} == {(x.repo, x.path) for x in want.collect()}
+    assert all(x.summary is not None for x in found)
+
+
+def test_a_batch_reads_the_buckets_it_touches(spark, run):
+    watch = run([[version("a.md", "# A", 1, f"r{i}") for i in range(40)], [version("a.md", "# B", 2, "r7")]], buckets=16)
+    root = watch.files_log.deltas.removeprefix("file:")
+    folders = [{p.split("=")[-1] for p in glob.glob(f"{root}/snapshot={n}/bucket=*")} for n in (0, 1)]
+    assert len(folders[0]) > 8 and len(folders[1]) == 1
+    one = spark.createDataFrame([("r7",)], "repo string")
+    read = watch.files_log.read(spark, repos=one)
+    assert "bucket=" in str(read.inputFiles()) and len(read.collect()) == 1
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def superseded(spark, tmp_path, runs):
+    landing, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", W.ROCKSDB)
+    try:
+        for n, batch in enumerate(runs):
+            spark.createDataFrame(batch, FILE_VERSIONS).write.parquet(f"{landing}/{n}")
+            W.run_available(W.drop_superseded(W.read_versions(spark, landing)), sink, str(tmp_path / "checkpoint"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return sorted((r.path, r.ts.day, r.deleted) for r in spark.read.parquet(sink).collect())
+
+
+def test_redeliveries_are_dropped_after_any_time(spark, tmp_path):
+    """Each run resumes the checkpoint; event times move on by ten years, then the first versions come again."""
+    later = lambda v, year: (*v[:4], v[4].replace(year=year))
+    first = [version("a", "1", 1), version("b", "1", 1), version("b", None, 2)]
+    runs = [first, [later(version("a", "1", 5), 2034), later(version("c", "1", 6), 2034)], first + first, [version("c", "0", 9), version("d", "1", 3)]]
+    assert superseded(spark, tmp_path, runs) == [("a", 1, False), ("a", 5, False), ("b", 1, False), ("b", 2, True), ("c", 6, False), ("d", 3, False)]
+
+
+def test_newest_of_equal_times(spark, tmp_path):
+    """A deletion comes after a content of the same time, and repeats in one batch are one."""
+    rows = [version("a", None, 1), version("a", "1", 1), version("a", "1", 1), version("a", "1", 2), version("a", "2", 3), version("a", "1", 4)]
+    assert superseded(spark, tmp_path, [rows, rows]) == [("a", 1, False), ("a", 1, True), ("a", 2, False), ("a", 3, False), ("a", 4, False)]
+
+
 def test_late_first_deliveries_pass(spark, tmp_path):
     """Each run resumes the checkpoint; the third brings a path older than any watermark, and a repeat."""
     landing, sink = str(tmp_path / "in"), str(tmp_path / "out")
