@@ -79,6 +79,14 @@ def row_key(docs: DataFrame, id_col: str = "doc_id") -> Column:
     )
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -8,16 +8,17 @@ similarity of at least ``threshold``; groups are the connected components.
     equal sets become one node.
 2.  Inverted lists of the retained values count how many of a node's values any
     other node retains. Too few, and no partner can be similar: most nodes end here.
-3.  The other nodes get their full sets. A shingle that no other node holds
-    counts against a node, so one whose own shingles outnumber what the
-    threshold allows ends here too. The rest is listed under its rarest shared
-    shingles, as many as guarantee that similar sets meet in some list.
+3.  The lists generate the pairs. A node needs to be in the lists of its rarest
+    values only, as many as guarantee that two sketches with enough values
+    in common meet in one of them.
 4.  Every member of a list is paired with the list's cleanest member only, the one
-    with the fewest shingles of its own, such as the text that others were
+    with the fewest values of its own, such as the text that others were
     copied from. Union-sketch estimates filter the pairs, the full sets decide.
 5.  Lists that still hold several components give the pairs between them, as far
     as their places in the lists leave room for the needed overlap. Pairs inside a
     component would not change it, so they are never formed.
+
+A pair of similar texts is lost only if its sketches share less than ``SHARED``; see there.
 """
 
 from __future__ import annotations
@@ -77,16 +78,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFra
     return rows.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """``rep, hashes`` of ``docs (rep, text)``: the distinct shingle hashes, sorted."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """``f1, f2, hashes`` of ``texts (t)``: the fingerprint and the distinct shingle hashes, sorted."""
 
     def run(batches):
-        def make(ids, found):
-            return pa.RecordBatch.from_arrays([ids, _lists(found)], ["rep", "hashes"])
+        def make(_, found):
+            prints = [S.fingerprint(v) for v in found]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), _lists(found)],
+                ["f1", "f2", "hashes"],
+            )
 
-        return _batches(batches, make)
+        return _batches((pa.RecordBatch.from_arrays([b.column(0)] * 2, ["t", "text"]) for b in batches), make)
 
-    return docs.mapInArrow(run, f"rep {key(docs, 'rep')[1]}, hashes array<long>")
+    return texts.mapInArrow(run, "f1 long, f2 long, hashes array<long>")
 
 
 def _ceil_share(size: Column | str, threshold: float) -> Column:
@@ -105,16 +110,18 @@ def _estimated(k: int, x: str = "x_sketch", y: str = "y_sketch") -> Column:
     )
 
 
-def _confirmed(work: Work, pairs: DataFrame, sets: DataFrame, threshold: float, k: int, name: str):
-    """Pairs ``(a, b)`` whose sketches and then full sets are similar enough."""
-    sketch = sets.select("rep", "n", F.slice("hashes", 1, k).alias("sketch"))
-    left = sketch.select(F.col("rep").alias("a"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"))
-    right = sketch.select(F.col("rep").alias("b"), F.col("n").alias("y_n"), F.col("sketch").alias("y_sketch"))
+def _confirmed(work: Work, pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, k: int, name: str):
+    """Pairs ``(a, b)`` whose ``sketches (rep, n, sketch)`` and then full ``sets (rep, hashes)`` are similar enough."""
+    left = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x_sketch"))
+    right = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y_sketch"))
     near = work.store(
         pairs.join(left, "a").join(right, "b").filter(_estimated(k)).select("a", "b"), f"{name}-near"
     )
-    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
+    # Only sets of such pairs are dealt out.
+    asked = work.store(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), f"{name}-asked")
+    known = sets.join(asked, "rep", "left_semi")
+    left = known.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
+    right = known.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
     both = F.size("x") + F.size("y") - F.col("common")
     return work.store(
@@ -132,29 +139,35 @@ def _comparable(threshold: float, x: str, y: str) -> Column:
     return F.expr(f"10000 * least({x}, {y}) >= {share} * greatest({x}, {y})")
 
 
-def rarest(work: Work, sets: DataFrame, threshold: float) -> DataFrame:
-    """Lists under which similar sets must meet: ``rep, n, h, before, rank``.
+def rarest(work: Work, items: DataFrame) -> DataFrame:
+    """Lists under which nodes with enough in common must meet: ``rep, n, m, needed, h, before, rank``.
 
-    A set is listed under its rarest shingles, in one order for all sets. ``before`` counts
-    its shingles ahead of ``h`` in that order, first those of no other set. With
-    ``ceil(threshold * n)`` or more of them left from ``h`` on, two similar sets
-    share one of the listed. ``rank`` is the part that no other set holds.
+    ``items (rep, n, m, needed, h)`` are the ``m`` values of each node, of which a partner has ``needed``
+    at least. A node is listed under its rarest values, in one order for all nodes. ``before``
+    counts its values ahead of ``h`` in that order, first those of no other node. With
+    ``needed`` or more of them left from ``h`` on, two such nodes share one of the
+    listed. ``rank`` is the part that no other node holds.
     """
-    items = sets.select("rep", "n", F.explode("hashes").alias("h"))
     common = work.store(items.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "common")
     mine = Window.partitionBy("rep")
     ranked = items.join(common, "h").select(
-        "rep", "n", "h",
+        "rep", "n", "m", "needed", "h",
         F.row_number().over(mine.orderBy("c", "h")).alias("place"),
-        F.greatest(F.col("n") - F.count("*").over(mine), F.lit(0)).alias("own"),
+        F.greatest(F.col("m") - F.count("*").over(mine), F.lit(0)).alias("own"),
     )
     return work.store(
-        ranked.select("rep", "n", "h", (F.col("own") + F.col("place") - 1).alias("before"), (F.col("own") / F.col("n")).alias("rank"))
-        .filter(F.col("n") - F.col("before") >= _ceil_share("n", threshold)),
+        ranked.select(
+            "rep", "n", "m", "needed", "h", (F.col("own") + F.col("place") - 1).alias("before"), (F.col("own") / F.col("m")).alias("rank")
+        ).filter("m - before >= needed"),
         "rarest",
     )
 
 
+def set_items(sets: DataFrame, threshold: float) -> DataFrame:
+    """Whole ``sets (rep, n, hashes)`` as items: a similar set holds ``threshold`` of them."""
+    return sets.select("rep", "n", F.col("n").alias("m"), _ceil_share("n", threshold).alias("needed"), F.explode("hashes").alias("h"))
+
+
 def _stars(work: Work, lists: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` of each list's member of the lowest rank with the others."""
     pivots = work.store(
@@ -169,26 +182,26 @@ def _stars(work: Work, lists: DataFrame, threshold: float) -> DataFrame:
 
 
 def linked(
-    work: Work, sets: DataFrame, threshold: float, k: int = K, lists: DataFrame | None = None
+    work: Work, items: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, k: int = K, lists: DataFrame | None = None
 ) -> DataFrame:
-    """Links ``(a, b)`` that connect all similar sets of ``sets (rep, n, hashes)``, not each of their pairs.
+    """Links ``(a, b)`` that connect all similar ``sets (rep, hashes)``, not each of their pairs.
 
     First each member of a list is compared with the list's member of the lowest rank, in
-    the lists of the rarest shingles and in further ``lists (rep, n, h, rank)``. Then
-    members of different components are compared that meet under a rarest shingle:
-    at the first one that two sets share, what either has from there on bounds their overlap.
+    the lists of the rarest ``items`` and in further ``lists (rep, n, h, rank)``. Then
+    members of different components are compared that meet under a rarest value:
+    at the first one that two nodes share, what either has from there on bounds their overlap.
     """
-    exact = rarest(work, sets, threshold)
-    stars = _stars(work, exact, threshold)
+    listed = rarest(work, items)
+    stars = _stars(work, listed, threshold)
     if lists is not None:
         stars = stars.union(_stars(work, lists, threshold)).distinct()
-    first = _confirmed(work, stars, sets, threshold, k, "star")
+    first = _confirmed(work, stars, sketches, sets, threshold, k, "star")
     found = work.store(components(work, first, rounds=1), "found")  # enough to leave few pairs
 
     # Pairs between the components that still meet in a list.
     placed = work.store(
-        exact.join(found, exact.rep == found.node, "left")
-        .select("rep", "n", "h", "before", F.coalesce("component", "rep").alias("component")),
+        listed.join(found, listed.rep == found.node, "left")
+        .select("rep", "n", "needed", "h", (F.col("m") - F.col("before")).alias("rest"), F.coalesce("component", "rep").alias("component")),
         "placed",
     )
     mixed = work.store(
@@ -197,16 +210,13 @@ def linked(
         "mixed",
     )
     left = work.store(placed.join(mixed, "h"), "left")
-    right = left.select("h", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "before", "component")))
-    share = round(threshold * 10_000)
-    overlap = F.expr(
-        f"least(n - before, b_n - b_before) * {10_000 + share} >= {share} * (n + b_n)"
-    )
+    right = left.select("h", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "needed", "rest", "component")))
     between = (
-        left.join(right, "h").filter("component <> b_component and rep < b_rep").filter(overlap)
+        left.join(right, "h").filter("component <> b_component and rep < b_rep")
+        .filter("least(rest, b_rest) >= greatest(needed, b_needed)")
         .filter(_comparable(threshold, "n", "b_n")).select(F.col("rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     )
-    return first.union(_confirmed(work, between, sets, threshold, k, "between"))
+    return first.union(_confirmed(work, between, sketches, sets, threshold, k, "between"))
 
 
 def near_duplicates(
@@ -217,49 +227,50 @@ def near_duplicates(
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer
     than five words has one shingle, the whole sequence. Null, empty and blank
     texts have none: they are linked with nothing and kept. A null id is never linked: its
-    component is null and it is kept. Rows repeated with one id are one node, all kept
-    or none. The component is the smallest id it holds, which is the one kept; an
+    component is null and it is kept. Rows repeated with one id and one text are kept all or
+    none; those of one id with different texts are judged each by its own. The component is the smallest id it holds, which is the one kept; an
     empty table gives an empty one. Ids may be structs. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     with Work(spark, "near-dups") as work:
         rows = work.store(sketches(docs, id_col, text_col, k), "sketches")
         known = rows.filter("n > 0 and id is not null")
-        reps = work.store(known.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "reps")
-        members = work.keep(
-            rows.join(reps, ["f1", "f2"], "left").select(
-                "id", "n", F.when(F.expr("n > 0 and id is not null"), F.col("rep")).alias("rep")
-            ),
-            "members",
-        )
-        nodes = work.store(
-            known.join(reps, ["f1", "f2"]).filter("id = rep")
-            .select("rep", "n", "sketch", "f1", "f2").dropDuplicates(["rep", "f1", "f2"])
-            .select("rep", "n", "sketch"),
+        found = work.store(
+            known.groupBy("f1", "f2").agg(F.min("id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")),
             "nodes",
         )
+        # Nodes go by half of their fingerprint, unless two share it.
+        apart = found.groupBy("f1").count().filter("count > 1").isEmpty()
+        node = (F.col("f1") if apart else F.struct("f1", "f2")).alias("rep")
+        members = work.keep(rows.select("id", "n", F.when(F.expr("n > 0 and id is not null"), node).alias("rep")), "members")
+        nodes = found.select(node, "doc", "n", "sketch")
 
         # Nodes that share enough retained values with others.
-        retained = nodes.select("rep", "n", F.explode("sketch").alias("v"))
-        listed = work.store(retained.groupBy("v").count().filter("count > 1").select("v"), "lists")
         needed = F.when(F.col("n") <= threshold * k, _ceil_share("n", threshold)).otherwise(
             F.ceil(F.lit(SHARED) * F.least(F.col("n"), F.lit(k)))
         )
+        retained = nodes.select("rep", "n", F.size("sketch").cast("long").alias("m"), needed.cast("long").alias("needed"), F.explode("sketch").alias("h"))
+        listed = work.store(retained.groupBy("h").count().filter("count > 1").select("h"), "lists")
         likely = work.store(
-            retained.join(listed, "v").groupBy("rep", "n").agg(F.count("*").alias("shared"))
-            .filter(F.col("shared") >= needed).select("rep").distinct(),
+            retained.join(listed, "h").groupBy("rep").agg(F.count("*").alias("shared"), F.max("needed").alias("needed"))
+            .filter("shared >= needed").select("rep"),
             "likely",
         )
-
-        texts = docs.select(key(docs, id_col)[0].alias("rep"), F.col(text_col).cast("string").alias("t"))
-        sets = work.store(
-            full_sets(texts.join(likely, "rep")).select("rep", F.size("hashes").cast("long").alias("n"), "hashes"),
-            "sets",
-        )
-        links = linked(work, sets, threshold, k)
-        groups = work.keep(components(work, links), "groups")
-    component = F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
-    result = members.join(groups, members.rep == groups.node, "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")
+        likely = work.store(nodes.join(likely, "rep"), "likely-nodes")
+        items = likely.select("rep", "n", F.size("sketch").cast("long").alias("m"), needed.cast("long").alias("needed"), F.explode("sketch").alias("h"))
+
+        texts = docs.select(key(docs, id_col)[0].alias("doc"), F.col(text_col).cast("string").alias("t"))
+        asked = likely.select("doc").distinct()
+        sets = full_sets(texts.join(asked, "doc", "left_semi").select("t")).select(node, "hashes")
+        sets = work.store(sets.dropDuplicates(["rep"]), "sets")
+        links = linked(work, items, likely.select("rep", "n", "sketch"), sets, threshold, k)
+        groups = work.store(components(work, links), "groups")
+        # The smallest id of each component, by way of its nodes.
+        grouped = work.store(groups.join(likely.select(F.col("rep").alias("node"), "doc"), "node"), "grouped")
+        first = grouped.groupBy("component").agg(F.min("doc").alias("label"))
+        labels = grouped.join(first, "component").select(F.col("node").alias("rep"), "label")
+        labels = work.keep(nodes.join(labels, "rep", "left").select("rep", F.coalesce("label", "doc").alias("component_id")), "labels")
+    result = members.join(labels, "rep", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

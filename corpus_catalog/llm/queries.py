@@ -54,11 +54,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph to remove, with the document that keeps its first copy."""
+    """Every span of words to remove, with the document and word where the copy that stays begins."""
     found = substrings.repeated_paragraphs(documents(spark, sf_dir))
     return found.select(
-        F.col("id").alias("doc_id"), F.col("line").alias("paragraph"),
-        F.col("first_id").alias("first_doc_id"), F.col("first_line").alias("first_paragraph"),
+        F.col("id").alias("doc_id"), F.col("first").alias("first_word"), F.col("size").alias("n_words"),
+        F.col("first_id").alias("first_doc_id"), F.col("first_first").alias("first_doc_word"),
     )
 
 
