@@ -14,51 +14,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpus_catalog.llm import decontaminate, near_dups, packing, quality, substrings
-from corpus_catalog.llm.common import Work, documents, row_key
+from corpus_catalog.llm.common import Work, documents, free_name, row_key
 from corpus_catalog.sources import tables
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", row_key(docs))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the key of each row, and the name of its column."""
+    name = free_name(docs, "row_key")
+    return docs.withColumn(name, row_key(docs)), name
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose keys are in the first column of ``gone``."""
-    gone = gone.select(F.col(gone.columns[0]).alias("_gone")).distinct()
-    return _keyed(docs).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    keyed, name = _keyed(docs)
+    gone = gone.select(F.col(gone.columns[0]).alias(name)).distinct()
+    return keyed.join(gone, name, "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep, each judged by itself."""
-    return _without(docs, quality.quality(_keyed(docs), "_key").filter(~F.col("kept")))
+    return _without(docs, quality.quality(*_keyed(docs)).filter(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (similarity 0.8 or more), of the smallest id, without one only if
     none has any. Of equal rows one stays."""
     with Work(spark, "near-duplicates") as work:
-        found = near_dups.near_duplicates(_keyed(docs), "_key")
+        keyed, name = _keyed(docs)
+        found = near_dups.near_duplicates(keyed, name)
         gone = work.keep(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
         several = work.keep(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
     if several.isEmpty():
         return _without(docs, gone)
     # Dealt out again, so that copies of one row are combined per task before they meet.
     repeated = (
-        _keyed(docs).join(several, F.col("_key") == several.doc_id, "left_semi").drop("_key")
+        keyed.join(several, keyed[name] == several.doc_id, "left_semi").select(*docs.columns)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).dropDuplicates()
     )
     return _without(docs, gone.union(several)).union(repeated)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without paragraphs that an earlier document, or an earlier line, has already."""
-    keyed = _keyed(docs)
-    return substrings.without_repeats(keyed, substrings.repeated_paragraphs(keyed, "_key"), "_key").drop("_key")
+    """Texts without passages that an earlier document, or an earlier place, has already."""
+    keyed, name = _keyed(docs)
+    return substrings.without_repeats(keyed, substrings.repeated_paragraphs(keyed, name), name).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    return _without(docs, decontaminate.leaks(_keyed(docs), documents(spark, sf_dir, "benchmark"), "_key"))
+    keyed, name = _keyed(docs)
+    return _without(docs, decontaminate.leaks(keyed, documents(spark, sf_dir, "benchmark"), name))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
