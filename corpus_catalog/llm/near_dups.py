@@ -10,15 +10,14 @@ similarity of at least ``threshold``; groups are the connected components.
     other node retains. Too few, and no partner can be similar: most nodes end here.
 3.  The lists generate the pairs. A node needs to be in the lists of its rarest
     values only, as many as guarantee that two sketches with enough values
-    in common meet in one of them.
-4.  Every member of a list is paired with the list's cleanest member only, the one
-    with the fewest values of its own, such as the text that others were
+    in common meet in one of them; and every member of a list is paired with the
+    list's cleanest member only, the one with the fewest values of its own, such as the text that others were
     copied from. Union-sketch estimates filter the pairs, the full sets decide.
-5.  Lists that still hold several components give the pairs between them, as far
+4.  What these stars leave apart is looked for in the lists of the rarest shingles of the full sets: a
+    sketch of 32 values leaves room for too many pairs in a family of texts
+    just below the threshold. Lists that hold several components give the pairs between them, as far
     as their places in the lists leave room for the needed overlap. Pairs inside a
     component would not change it, so they are never formed.
-
-A pair of similar texts is lost only if its sketches share less than ``SHARED``; see there.
 """
 
 from __future__ import annotations
@@ -182,15 +181,17 @@ def _stars(work: Work, lists: DataFrame, threshold: float) -> DataFrame:
 
 
 def linked(
-    work: Work, items: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, k: int = K, lists: DataFrame | None = None
-) -> DataFrame:
+    work: Work, items: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, k: int = K,
+    lists: DataFrame | None = None,
+) -> DataFrame:
     """Links ``(a, b)`` that connect all similar ``sets (rep, hashes)``, not each of their pairs.
 
-    First each member of a list is compared with the list's member of the lowest rank, in
-    the lists of the rarest ``items`` and in further ``lists (rep, n, h, rank)``. Then
+    ``items`` are those of the whole sets. First each member of a list is compared with the list's member of the lowest rank, in
+    the lists of the rarest items and in further ``lists (rep, n, h, rank)``. Then
     members of different components are compared that meet under a rarest value:
     at the first one that two nodes share, what either has from there on bounds their overlap.
     """
+    share = round(threshold * 10_000)
     listed = rarest(work, items)
     stars = _stars(work, listed, threshold)
     if lists is not None:
@@ -201,7 +202,7 @@ def linked(
     # Pairs between the components that still meet in a list.
     placed = work.store(
         listed.join(found, listed.rep == found.node, "left")
-        .select("rep", "n", "needed", "h", (F.col("m") - F.col("before")).alias("rest"), F.coalesce("component", "rep").alias("component")),
+        .select("rep", "n", "h", (F.col("m") - F.col("before")).alias("rest"), F.coalesce("component", "rep").alias("component")),
         "placed",
     )
     mixed = work.store(
@@ -210,10 +211,10 @@ def linked(
         "mixed",
     )
     left = work.store(placed.join(mixed, "h"), "left")
-    right = left.select("h", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "needed", "rest", "component")))
+    right = left.select("h", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "rest", "component")))
     between = (
         left.join(right, "h").filter("component <> b_component and rep < b_rep")
-        .filter("least(rest, b_rest) >= greatest(needed, b_needed)")
+        .filter(f"least(rest, b_rest) * {10_000 + share} >= {share} * (n + b_n)")
         .filter(_comparable(threshold, "n", "b_n")).select(F.col("rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     )
     return first.union(_confirmed(work, between, sketches, sets, threshold, k, "between"))
@@ -263,7 +264,9 @@ def near_duplicates(
         asked = likely.select("doc").distinct()
         sets = full_sets(texts.join(asked, "doc", "left_semi").select("t")).select(node, "hashes")
         sets = work.store(sets.dropDuplicates(["rep"]), "sets")
-        links = linked(work, items, likely.select("rep", "n", "sketch"), sets, threshold, k)
+        stars = rarest(work, items).select("rep", "n", "h", "rank")
+        counted = sets.join(likely.select("rep", "n"), "rep")
+        links = linked(work, set_items(counted, threshold), likely.select("rep", "n", "sketch"), sets, threshold, k, stars)
         groups = work.store(components(work, links), "groups")
         # The smallest id of each component, by way of its nodes.
         grouped = work.store(groups.join(likely.select(F.col("rep").alias("node"), "doc"), "node"), "grouped")

@@ -218,13 +218,15 @@ def repeated_paragraphs(
     with Work(spark, "substrings") as work:
         found = work.store(paragraphs(docs, id_col, text_col), "paragraphs")
         where = F.struct("id", "first", "place")
-        reps = work.store(found.groupBy("node").agg(F.min(where).alias("rep"), F.max(where).alias("last")), "reps")
+        reps = work.store(
+            found.groupBy("node").agg(F.min(where).alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "reps"
+        )
 
         # Nodes that agree in a band with another one.
-        banded = work.store(found.select(F.col("node").alias("rep"), F.explode("bands").alias("h")).distinct(), "bands")
+        banded = reps.select(F.col("node").alias("rep"), F.explode("bands").alias("h"))
         shared = work.store(banded.groupBy("h").count().filter("count > 1").select("h"), "shared")
         lists = work.store(banded.join(shared, "h"), "lists")
-        work.release(banded)
+        reps = reps.drop("bands")
         # The paragraph that collides in most bands is the likeliest origin of the others.
         hits = work.store(lists.groupBy("rep").agg((-F.count("*")).alias("rank")), "hits")
         asked = work.store(
@@ -242,7 +244,7 @@ def repeated_paragraphs(
         grouped = work.store(groups.join(reps, "node"), "grouped")
         first = grouped.groupBy("component").agg(F.min("rep").alias("stays"))
         labels = grouped.join(first, "component").select("node", "stays")
-        alone = reps.filter(reps.rep != reps.last).join(groups, "node", "left_anti").select("node", F.col("rep").alias("stays"))
+        alone = reps.filter("copies > 1").join(groups, "node", "left_anti").select("node", F.col("rep").alias("stays"))
         labels = work.store(labels.union(alone), "labels")
         goes = found.drop("bands").join(labels, "node").filter(F.struct("id", "first", "place") != F.col("stays"))
         goes = work.store(goes.select("id", "place", "first", "size", "stays").distinct(), "goes")
