@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpus_catalog.functions import text as X
 from corpus_catalog.functions.json_text import json_string
@@ -38,12 +38,43 @@ def scan_hash(files: DataFrame) -> DataFrame:
     ``[mode, path, hash]`` triples; the repo's is taken over the digests of its
     blocks in order, cut to 16 characters.
     """
-    blocks = (
+    return combined(block_digests(files))
+
+
+def block_of(path: Column) -> Column:
+    """Block that a path falls into."""
+    return F.substring(F.sha2(path, 256), 1, BLOCK_DIGITS)
+
+
+def block_digests(files: DataFrame) -> DataFrame:
+    """``(repo, block, files, digest)``: what a digest is taken over, to be stored and kept up to date."""
+    return (
         _entries(files)
-        .withColumn("block", F.substring(F.sha2("path", 256), 1, BLOCK_DIGITS))
+        .withColumn("block", block_of(F.col("path")))
         .groupBy("repo", "block")
         .agg(F.count(F.lit(1)).alias("files"), F.sha2(F.expr(_ENTRIES), 256).alias("digest"))
     )
+
+
+def touched_blocks(changes: DataFrame) -> DataFrame:
+    """``(repo, block)`` of all paths that a diff ``(repo, kind, old_path, new_path)`` names."""
+    paths = changes.select("repo", F.explode(F.array("old_path", "new_path")).alias("path"))
+    return paths.filter(F.col("path").isNotNull()).select("repo", block_of(F.col("path")).alias("block")).distinct()
+
+
+def updated_blocks(blocks: DataFrame, files: DataFrame, touched: DataFrame) -> DataFrame:
+    """``block_digests`` of the new snapshot ``files (repo, ignore_mode, path, source_hash)``; only touched blocks are hashed.
+
+    ``touched`` is a stored table.  The mode belongs to a block's entries: of a repo whose mode changes
+    all blocks, old and new, must be touched.
+    """
+    again = files.withColumn("block", block_of(F.col("path"))).join(touched, ["repo", "block"], "left_semi")
+    kept = blocks.join(touched, ["repo", "block"], "left_anti")
+    return kept.unionByName(block_digests(again.drop("block")))
+
+
+def combined(blocks: DataFrame) -> DataFrame:
+    """``(repo, files, scan_hash)`` of block digests."""
     top = F.expr("listagg(digest, ', ') within group (order by block)")
     return blocks.groupBy("repo").agg(F.sum("files").alias("files"), X.short_hash(top).alias("scan_hash"))
 

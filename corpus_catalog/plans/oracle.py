@@ -701,6 +701,14 @@ def statements() -> dict[str, str]:
         "other_files": f"WITH {BUILD1} SELECT repo, path, role, {CELL} AS summary FROM b1 WHERE score < 5",
         "directory_tree": f"""{paths},{_tree('t1', 'v1p')} SELECT repo, CAST(0 AS BIGINT) AS part,
             string_agg(line, {NL} ORDER BY node) AS content FROM t1 GROUP BY repo""",
+        "scan_hash_update": f"""WITH docs AS (SELECT doc_id AS id, source AS repo, text FROM documents),{MODES},{V2},{H2},
+            whole AS ({_digest('h2')}) SELECT repo, files, scan_hash FROM whole WHERE files > 0""",
+        "directory_tree_update": f"""WITH docs AS (SELECT doc_id AS id, source AS repo, text FROM documents),{V2},{_tree('t2', 'v2')}
+            SELECT repo, CAST(0 AS BIGINT) AS part, string_agg(line, {NL} ORDER BY node) AS content FROM t2 GROUP BY repo""",
+        "directory_rollup_update": f"""WITH docs AS (SELECT doc_id AS id, source AS repo, text FROM documents),{V2},
+            above AS (SELECT repo, path, unnest(list_prepend('', {_above('path')})) AS dir FROM v2)
+            SELECT repo, dir, count(*) FILTER (regexp_replace(path, '/?[^/]*$', '') = dir) AS files,
+              count(*) AS files_below FROM above GROUP BY repo, dir""",
         "directory_rollup": f"""{paths}, above AS (SELECT repo, path, unnest(list_prepend('', {_above('path')})) AS dir FROM v1p)
             SELECT repo, dir, count(*) FILTER (regexp_replace(path, '/?[^/]*$', '') = dir) AS files,
               count(*) AS files_below FROM above GROUP BY repo, dir""",

@@ -11,13 +11,22 @@ from corpus_catalog import config as C
 from corpus_catalog.functions import globs, text as X
 from corpus_catalog.operators import cache as K
 from corpus_catalog.operators import diff as D
+from corpus_catalog.operators import digest as DG
 from corpus_catalog.operators import document as DOC
 from corpus_catalog.operators import inventory as I
 from corpus_catalog.operators import rank as RK
 from corpus_catalog.operators import reports as REP
 from corpus_catalog.operators import summarize as S
 from corpus_catalog.operators.digest import corpus_fingerprint, scan_hash_of
-from corpus_catalog.operators.tree import directory_counts, directory_tree
+from corpus_catalog.operators.ordering import assemble
+from corpus_catalog.operators.tree import (
+    directory_counts,
+    directory_tree,
+    drawn_lines,
+    tree_nodes,
+    updated_counts,
+    updated_nodes,
+)
 from corpus_catalog.plans import build as B
 from corpus_catalog.sources import corpus, rules as R, tables
 from corpus_catalog.sources.cache_table import CacheTable
@@ -737,6 +746,22 @@ def scan_digest(t: Tables) -> DataFrame:
     return scan_hash_of(t.existing, t.hashes1)
 
 
+@query
+def scan_hash_update(t: Tables) -> DataFrame:
+    """Digests of the second snapshot from the stored blocks of the first: a diff's blocks are read and hashed again."""
+    modes = t.existing.select("repo", "ignore_mode")
+    blocks = materialize(DG.block_digests(t.hashes1.join(modes, "repo")), "blocks")
+    # The manifest lies in parts of blocks, of which those that the diff touches are read.
+    part = F.substring(DG.block_of(F.col("path")), 1, 2).alias("part")
+    root = tables.new_path(t.spark, "manifest-parts")
+    stored = t.hashes2.join(modes, "repo").select("repo", "ignore_mode", "path", "source_hash", part)
+    tables.write_snapshot(stored.hint("rebalance", "part"), root, by=("part",))
+    touched = materialize(DG.touched_blocks(D.diff(t.hashes1, t.hashes2)), "touched")
+    parts = touched.select(F.substring("block", 1, 2).alias("part")).distinct()  # 256 at most
+    read = tables.read_snapshot(t.spark, root, stored.schema).join(F.broadcast(parts), "part", "left_semi")
+    return DG.combined(DG.updated_blocks(blocks, read.drop("part"), touched))
+
+
 @query
 def fingerprint(t: Tables) -> DataFrame:
     return corpus_fingerprint(D.hashes(t.files1))
@@ -774,6 +799,20 @@ def tree(t: Tables) -> DataFrame:
     return directory_tree(t.paths1)
 
 
+@query
+def directory_tree_update(t: Tables) -> DataFrame:
+    """Trees of the second snapshot, from the stored nodes of the first and a diff."""
+    nodes = updated_nodes(tree_nodes(t.paths1), D.diff(t.hashes1, t.hashes2))
+    return assemble(drawn_lines(nodes), ["repo"], ["key"])
+
+
+@query
+def directory_rollup_update(t: Tables) -> DataFrame:
+    """Counts of the second snapshot, from the stored counts of the first and a diff."""
+    before = materialize(directory_counts(t.paths1), "counts")
+    return updated_counts(before, D.diff(t.hashes1, t.hashes2))
+
+
 @query
 def directory_rollup(t: Tables) -> DataFrame:
     return directory_counts(t.paths1)

@@ -14,44 +14,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpus_catalog.llm import decontaminate, near_dups, packing, quality, substrings
-from corpus_catalog.llm.common import Work, documents, free_name, row_key
+from corpus_catalog.llm.common import Work, documents, free_name, short_row_key
 from corpus_catalog.sources import tables
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with the key of each row, and the name of its column."""
     name = free_name(docs, "row_key")
-    return docs.withColumn(name, row_key(docs)), name
+    return docs.withColumn(name, short_row_key(docs)), name
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose keys are in the first column of ``gone``."""
-    keyed, name = _keyed(docs)
+def _without(keyed: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """Rows whose keys are not in the first column of ``gone``, without the key."""
     gone = gone.select(F.col(gone.columns[0]).alias(name)).distinct()
-    return keyed.join(gone, name, "left_anti").select(*docs.columns)
+    return keyed.join(gone, name, "left_anti").drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep, each judged by itself."""
-    return _without(docs, quality.quality(*_keyed(docs)).filter(~F.col("kept")))
+    keyed, name = _keyed(docs)
+    return _without(keyed, name, quality.quality(keyed, name).filter(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (similarity 0.8 or more), of the smallest id, without one only if
     none has any. Of equal rows one stays."""
+    keyed, name = _keyed(docs)
     with Work(spark, "near-duplicates") as work:
-        keyed, name = _keyed(docs)
         found = near_dups.near_duplicates(keyed, name)
         gone = work.keep(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
         several = work.keep(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
     if several.isEmpty():
-        return _without(docs, gone)
+        return _without(keyed, name, gone)
     # Dealt out again, so that copies of one row are combined per task before they meet.
     repeated = (
         keyed.join(several, keyed[name] == several.doc_id, "left_semi").select(*docs.columns)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).dropDuplicates()
     )
-    return _without(docs, gone.union(several)).union(repeated)
+    return _without(keyed, name, gone.union(several)).union(repeated)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
     keyed, name = _keyed(docs)
-    return _without(docs, decontaminate.leaks(keyed, documents(spark, sf_dir, "benchmark"), name))
+    return _without(keyed, name, decontaminate.leaks(keyed, documents(spark, sf_dir, "benchmark"), name))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

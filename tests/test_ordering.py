@@ -232,3 +232,53 @@ def test_large_reports_come_in_parts(spark):
     whole, _ = joined(reports.change_report(found, heads, "list"))
     cut, parts = joined(reports.change_report(found, heads, "list", part_bytes=100))
     assert len(parts["r"]) > 1 and whole == cut
+
+
+def snapshots(seed, n):
+    """Random snapshots of two repos: files come, go, move and change; a path may be a file and a directory."""
+    rng = random.Random(seed)
+    names = ["a", "a-b", "b", "b.x", "z", "é"]
+    current, found = {}, []
+    for _ in range(n):
+        for _ in range(30):
+            path = (rng.choice("pq"), "/".join(rng.choices(names, k=rng.randint(1, 4))))
+            if rng.random() < 0.4:
+                current.pop(path, None)
+            else:
+                current[path] = f"h{rng.randint(0, 9)}"
+        if current and rng.random() < 0.7:
+            (repo, path), h = rng.choice(sorted(current.items()))
+            del current[repo, path]
+            current[repo, f"moved/{path}"] = h
+        found.append(dict(current))
+    return [*found, {k: v for k, v in current.items() if k[0] == "p"}]  # at last one repo is gone
+
+
+def manifest(spark, snapshot):
+    return spark.createDataFrame([(r, p, h) for (r, p), h in snapshot.items()], "repo string, path string, source_hash string")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_and_counts_follow_changes(spark, rows, seed):
+    found = [manifest(spark, s) for s in snapshots(seed, 2)]
+    nodes, counts = tree.tree_nodes(found[0]), tree.directory_counts(found[0])
+    for old, new in zip(found, found[1:]):
+        changed = tables.materialize(diff(old, new), "changes")
+        nodes, counts = tree.updated_nodes(nodes, changed), tables.materialize(tree.updated_counts(counts, changed), "counts")
+        columns = ["repo", "node", "is_file", "below", "parent", "name", "is_last"]
+        assert rows(nodes, *columns) == rows(tree.tree_nodes(new), *columns)
+        assert rows(counts, "repo", "dir", "files", "files_below") == rows(tree.directory_counts(new), "repo", "dir", "files", "files_below")
+    content = {r.repo: r.content for r in ordering.assemble(tree.drawn_lines(nodes), ["repo"], ["key"]).collect()}
+    assert content == {"p": drawn(sorted(p for r, p in snapshots(seed, 2)[-1] if r == "p"))}
+
+
+def test_digests_follow_changes(spark, rows):
+    found = [manifest(spark, s).withColumn("ignore_mode", F.lit("git")) for s in snapshots(5, 2)]
+    blocks = digest.block_digests(found[0])
+    for old, new in zip(found, found[1:]):
+        touched = tables.materialize(digest.touched_blocks(diff(old, new)), "touched")
+        # Untouched files may be left out of what is read.
+        read = new.withColumn("block", digest.block_of(F.col("path"))).join(touched, ["repo", "block"], "left_semi")
+        blocks = tables.materialize(digest.updated_blocks(blocks, read.drop("block"), touched), "blocks")
+        assert rows(blocks, "repo", "block", "files", "digest") == rows(digest.block_digests(new), "repo", "block", "files", "digest")
+        assert rows(digest.combined(blocks), "repo", "files", "scan_hash") == rows(digest.scan_hash(new), "repo", "files", "scan_hash")
