@@ -26,17 +26,15 @@ from pyspark.sql import DataFrame, functions as F
 #: Labelled pages of the table that the model is fitted on, at most.
 TRAIN_PAGES = 300
 
-# Bounded repeats keep unclosed quotes and tags from being scanned over and over.
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)
     |<(script|style|noscript|template|iframe|textarea|title|svg|math|xmp|object|select)\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\b[^>]*+>|\Z))
     |<[!?][^>]*+>
-    |<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]{0,2000}+"|'[^']{0,2000}+'){0,300}+)>
-    |<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
+    |<(/?)([a-zA-Z][^\s/<>]*+)""",
     re.X | re.S | re.I,
 )
-_MARK = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""display\s*:\s*none|\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true""", re.I)
+_STOP = re.compile(r"""=\s*["']|[<>]""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: Block elements, elements that end an open paragraph or item of their
 #: kind, tags and names that tell boilerplate or main text.
@@ -49,11 +47,14 @@ ENDS_ITSELF = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "t
 NOISE_TAGS = set("nav header footer aside form menu dialog fieldset legend button label".split())
 MAIN_TAGS = {"article", "main"}
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|breadcrumbs?|header|footer|foot|side-?bar|aside|"
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|breadcrumbs?|header|footer|foot|side|sidebar|aside|"
     r"widget|related|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|cookies?\w*|consent|gdpr|notice|alert|popup|modal|"
-    r"newsletter|subscri\w+|login|signup|search\w*|form|pag(?:er|ination)|tags?|legal|copyright|masthead|toolbar|skip|print|"
-    r"contentinfo|complementary|navigation|recommend\w*|trending|teaser|discussion|respond)(?=$|[\s_-])"
+    r"newsletter|subscri\w+|login|signup|search\w*|form|pag(?:er|ination)|tags|legal|copyright|masthead|toolbar|"
+    r"contentinfo|complementary|navigation|recommend\w*|trending|teaser|discussion|respond"
 )
+#: Names that tell boilerplate only if they stand alone, and beginnings that say what an element has, not what it is.
+NOISE_ALONE = {"print", "skip", "tag"}
+MODIFIERS = {"with", "without", "has", "no", "not", "is", "overflow", "hide", "show"}
 MAIN = re.compile(
     r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body|articlebody|text|page-?content|post-?content)(?=$|[\s_-])"
 )
@@ -68,10 +69,54 @@ class Node:
     linked: int = 0
     words: int = 0
     prose: int = 0  # words in paragraphs
+    hidden: bool = False
     own: bool | None = None  # label written in a training page
     children: list[int] = field(default_factory=list)
 
 
+def noisy(marks: str) -> bool:
+    """Whether one of the names of an element is one of boilerplate, whole or by a part of it."""
+    for name in marks.split():
+        parts = re.split("[_-]+", name)
+        if name in NOISE_ALONE or parts[0] not in MODIFIERS and any(NOISE.fullmatch(p) for p in parts):
+            return True
+    return False
+
+
+class _Ends:
+    """Finds where the tags of a page end; ``>`` in quoted values doesn't count. Reads each part of the page a few times at most."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def after(self, at: int) -> int:
+        """Place after the tag whose attributes begin at ``at``; -1 if another tag or nothing comes first."""
+        while found := _STOP.search(self.page, at):
+            mark = found[0][-1]
+            if mark == ">":
+                return found.end()
+            if mark == "<":
+                return -1
+            # A quote that is never closed is a character like others.
+            at = self.page.find(mark, found.end()) + 1 if self.last[mark] >= found.end() else found.end()
+        return -1
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    return found
+
+
+def _is_hidden(own: dict[str, str]) -> bool:
+    style = re.sub(r"\s", "", own.get("style", "")).lower()
+    plain = own.get("hidden", "no").lower() not in ("no", "false", "until-found")
+    return plain or own.get("aria-hidden", "").lower() == "true" or "display:none" in style
+
+
 def parse(page: str) -> list[Node]:
     """The page's block elements and text blocks, parents before children, in page order."""
     nodes = [Node(-1, "html")]
@@ -92,15 +137,22 @@ def parse(page: str) -> list[Node]:
         flush()
         del stack[upto:]
 
-    at = 0
-    for token in _TOKEN.finditer(page):
+    at = scan = 0
+    ends = _Ends(page)
+    while token := _TOKEN.search(page, scan):
+        scan = token.end()
+        ending, tag, rest = token[2], token[3], ""
+        if tag:
+            end = ends.after(scan)
+            if end < 0:  # no tag after all
+                continue
+            rest, scan = page[scan : end - 1], end
         if token.start() > at:
             piece = page[at : token.start()]
             buffer.append(piece)
             if link_depth:
                 linked += len(piece.strip())
-        at = token.end()
-        ending, tag, rest = (token[2], token[3], token[4]) if token[3] else (token[5], token[6], token[7])
+        at = scan
         if not tag:
             if token[1]:
                 buffer.append(" ")
@@ -137,10 +189,9 @@ def parse(page: str) -> list[Node]:
             flush()
             if rest.rstrip().endswith("/") and tag in ("p", "div"):
                 continue
-            marks = " ".join(m.strip("\"'") for m in _MARK.findall(rest)).lower() if rest else ""
-            if rest and _HIDDEN.search(rest):
-                marks += " notice"
-            nodes.append(Node(stack[-1], tag, marks))
+            own = attributes(rest) if rest else {}
+            marks = " ".join(own[k] for k in ("class", "id", "role", "itemprop") if k in own).lower()
+            nodes.append(Node(stack[-1], tag, marks, hidden=_is_hidden(own)))
             if rest and "data-main" in rest:
                 nodes[-1].own = "data-main=0" not in rest
             nodes[stack[-1]].children.append(len(nodes) - 1)
@@ -167,6 +218,11 @@ def _length(nodes: list[Node]) -> list[int]:
     return size
 
 
+def holds_most(nodes: list[Node], i: int, may: bool = True) -> bool:
+    """Whether most words of the page are below an element: a container, such as a form around the page, whatever its name."""
+    return may and 2 * nodes[i].words > nodes[0].words
+
+
 def _regions(nodes: list[Node], hide: float, random: np.random.Generator | None) -> list[int]:
     """For each node, what its nearest marked element says: -1 boilerplate, 1 main text, 0 nothing."""
     region = [0] * len(nodes)
@@ -176,7 +232,7 @@ def _regions(nodes: list[Node], hide: float, random: np.random.Generator | None)
             continue
         if n.tag == "header" and region[i] > 0:
             continue  # an article's own heading
-        if n.tag in NOISE_TAGS or n.marks and NOISE.search(n.marks):
+        if n.hidden or n.tag in NOISE_TAGS and not holds_most(nodes, i, n.tag == "form") or noisy(n.marks) and not holds_most(nodes, i):
             region[i] = -1
         elif n.tag in MAIN_TAGS or n.marks and region[i] == 0 and MAIN.search(n.marks):
             region[i] = 1
@@ -294,8 +350,9 @@ def _marked(page: str) -> list[Node] | None:
     if len(articles) != 1 or not articles[0].words:
         return None
     articles[0].own = True
-    for n in nodes:
-        if n.tag in ("nav", "aside", "footer", "form") or n.tag and NOISE.search(n.marks):
+    for i, n in enumerate(nodes):
+        most = holds_most(nodes, i)
+        if n.tag in ("nav", "aside", "footer") or n.hidden or not most and (n.tag == "form" or n.tag and noisy(n.marks)):
             n.own = False
     return nodes
 
@@ -346,12 +403,11 @@ def fit(pages: list[str], seed: int = 0, rounds: int = 12) -> Model:
 
 
 def train(pages: DataFrame, html_col: str = "html", most: int = TRAIN_PAGES) -> Model:
-    """A model from at most ``most`` pages that mark their main text, chosen by a hash of the page."""
+    """A model from at most ``most`` pages of up to 100,000 characters that mark their main text: those of the least hashes,
+    whatever the files they come from."""
     marked = pages.select(F.col(html_col).cast("string").alias("h")).filter(F.col("h").rlike("(?i)<article[ >]"))
-    marked = marked.filter(F.length("h") < 100_000)
-    every = max(1, marked.count() // most)  # so that each task sends its share only
-    sample = marked.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).limit(most).collect()
-    return fit([r["h"] for r in sample])
+    marked = marked.filter(F.length("h") < 100_000).distinct()
+    return fit([r["h"] for r in marked.orderBy(F.xxhash64("h"), "h").limit(most).collect()])
 
 
 def main_text(pages: DataFrame, model: Model, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

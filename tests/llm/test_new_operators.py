@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import itertools
 import re
 import zlib
+from re import _constants as RC, _parser as RP
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpus_catalog.llm import fill_middle as M, periodic_runs as P, queries as Q, url_rules as U
+from corpus_catalog.llm import fill_middle as M, html_text as H, licenses as L, periodic_runs as P, queries as Q, url_rules as U
 
 TEXTS = "doc_id long, text string, n long, runs int, output string, form string, id string"
 
@@ -257,3 +259,159 @@ def test_cut_rates_and_empty_table(spark):
     assert {r.form for r in M.fill_middle(table, spm=0).collect()} == {"psm"}
     half = sum(r.form == "plain" for r in M.fill_middle(table, rate=50).collect())
     assert 150 < half < 250
+
+
+# --- licence rules ------------------------------------------------------------------
+
+
+def samples(expression):
+    """Texts that an expression matches: every alternative, each optional part with and without."""
+
+    def of(parts):
+        found = [""]
+        for op, value in parts:
+            if op is RC.LITERAL:
+                some = [chr(value)]
+            elif op is RC.ANY:
+                some = ["x"]
+            elif op is RC.IN:
+                first = value[0]
+                some = ["w" if first[0] is RC.CATEGORY else chr(first[1][0] if first[0] is RC.RANGE else first[1])]
+            elif op is RC.BRANCH:
+                some = [t for branch in value[1] for t in of(branch)]
+            elif op is RC.SUBPATTERN:
+                some = of(value[3])
+            elif op in (RC.MAX_REPEAT, RC.MIN_REPEAT):
+                low, high, inner = value
+                one = of(inner)
+                some = [t * low for t in one] if low else ["", *one]
+                some += [t * 2 for t in one] if high > 1 and low < 2 else []
+            else:
+                raise ValueError(op)
+            found = [a + b for a, b in itertools.islice(itertools.product(found, some), 400)]
+        return found
+
+    return list(dict.fromkeys(of(RP.parse(expression))))
+
+
+RULES = [(k, e, l, p, samples(e)) for k, e, l, p in L.rules()]
+
+
+def test_every_match_of_a_rule_holds_its_keyword():
+    for keyword, expression, label, _, texts in RULES:
+        for text in texts:
+            assert re.fullmatch(expression, text), (expression, text)
+            assert keyword in text.split(" "), (keyword, label, text)
+            assert text == " ".join(re.findall("[a-z0-9]+", text)), text
+
+
+def test_rules_are_written_by_hand():
+    families = {(e, l) for _, e, l, _ in L._FAMILIES}
+    assert len({e for _, e, _, _ in L._OTHERS} | families) >= 190 and len(L.rules()) > 400
+
+
+def plain_labels(text):
+    """Every rule on the whole text, every detection compared with every other."""
+    body = f" {' '.join(re.findall('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', re.sub('[A-Z]', lambda m: m[0].lower(), text or '')))} "
+    found = set()
+    for _, expression, label, priority, _ in RULES:
+        for m in re.finditer(rf"(?<= )(?:{expression})(?= )", body):
+            start = body[: m.start()].count(" ") - 1
+            found.add((label, priority, start, start + m[0].count(" ")))
+    kept = set()
+    for label, p, a, b in found:
+        inside = [(q, x, y) for _, q, x, y in found if x <= a and b <= y and (q > p or q == p and y - x > b - a)]
+        if not inside:
+            kept.add(label)
+    flat = body.replace(" ", "  ")
+    return kept | {l for phrase, l in L.BASE.items() if f" {phrase.replace(' ', '  ')} " in flat}
+
+
+def test_labels_against_a_plain_scan(spark):
+    r = random.Random(11)
+    filler = "the of license under public terms x copy mit gnu version 2 0 or later all rights and by".split()
+    texts = [(n, rule[4][-1] if n % 2 else rule[4][0]) for n, rule in enumerate(RULES)]
+    for n in range(300):
+        parts = [r.choice(r.choice(RULES)[4]) if r.random() < 0.4 else r.choice(filler) for _ in range(r.randint(1, 12))]
+        texts.append((1000 + n, r.choice([" ", ", ", "\n", "-"]).join(parts)))
+    texts += [(5000, None), (5001, ""), (None, "GPLv3"), (5002, "GPLv3 " * 3000)]
+    found = {r.doc_id: set(filter(None, r.labels.split(","))) for r in L.scan(docs(spark, texts)).collect()}
+    wrong = [(t, found[i], plain_labels(t)) for i, t in texts if found[i] != plain_labels(t)]
+    assert not wrong, wrong[:3]
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("GPLv3", "gpl-3"), ("LGPLv2.1+", "lgpl-2.1"), ("It is released to the public domain.", "public-domain"), ("dedicated to the public domain", "public-domain"),
+        ("placed in the public domain", "public-domain"), ("Licenced under the Foo licence", "licensed"), ("Q Public License", "qpl"), ("may not be copied", "no-redistribution"),
+        ("may not be redistributed", "no-redistribution"), ("MIT licensed", "mit"), ("BSD licensed", "bsd"), ("Beer-ware license", "beerware"), ("PSF License", "psf"),
+        ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: MIT", "mit"),
+        (f"Neither the name of {'x' * 90} nor the names of its contributors", "bsd-3-clause"),
+    ],
+)
+def test_phrases_that_had_no_label(text, label):
+    assert label in plain_labels(text)
+
+
+@pytest.mark.parametrize("text", ["the quick license of mitten", "GPLv", "submit license", "public domains", "mpl3000", "spdx license", "reserved rights", "bsdx license"])
+def test_near_misses(text):
+    assert plain_labels(text) == set()
+
+
+# --- pages that once lost their text ---------------------------------------------------
+
+PROSE = "A sentence of ordinary prose runs on for a while, and says what it has to say. Another one follows it here."
+BODY = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p>"
+NAV, FOOT = "<nav><a href=/>Home</a> <a href=/b>About</a></nav>", "<footer><p>Copyright 2020 Somebody</p></footer>"
+WANTED = "\n".join(["Title", PROSE, PROSE, PROSE])
+
+
+@pytest.fixture(scope="module")
+def model():
+    return H.fit([])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'{NAV}<article class="overflow-hidden">{BODY}</article>{FOOT}',
+        f'{NAV}<article class="with-sidebar" style="overflow:hidden">{BODY}</article>{FOOT}',
+        f'{NAV}<article class="post tag-news">{BODY}</article>{FOOT}',
+        f'{NAV}<article class="page-print">{BODY}</article>{FOOT}',
+        f'<div class="has-sidebar no-comments">{NAV}<main>{BODY}</main>{FOOT}</div>',
+        f'<form id="all" action="/">{NAV}<article>{BODY}</article>{FOOT}</form>',
+        f'{NAV}<article data-x="{"a>b" * 1500}">{BODY}</article>{FOOT}',
+        f'{NAV}<article {" ".join(f"a{k}=1" for k in range(600))}>{BODY}</article>{FOOT}',
+        f"{NAV}<article title='it is \"so\" > here'>{BODY}</article>{FOOT}",
+        f'{NAV}<article>{BODY}<p hidden>{PROSE}</p><div style="display : none"><p>{PROSE}</p></div><p aria-hidden=true>{PROSE}</p></article>{FOOT}',
+        f'{NAV}<article>{BODY}</article><form class="signup"><p>Give us your address</p></form>{FOOT}',
+    ],
+)
+def test_containers_names_and_attributes(model, page):
+    assert model.text(f"<html><body>{page}</body></html>") == WANTED
+
+
+def test_names_of_boilerplate():
+    assert all(H.noisy(n) for n in ("sidebar", "site-footer", "main_nav", "post comments", "cookie-notice", "print", "entry-tags"))
+    assert not any(H.noisy(n) for n in ("", "with-sidebar", "tag-news", "page-print", "overflow-hidden", "has_comments", "brand", "headers-x", "main"))
+
+
+def test_attributes():
+    found = H.attributes(""" CLASS='a b' id=x data-q="1 > 2" hidden title = "it's" class=z""")
+    assert found == {"class": "a b", "id": "x", "data-q": "1 > 2", "hidden": "", "title": "it's"}
+
+
+def test_broken_markup_ends():
+    for page in ("<a b='" * 20_000, '<a b="<' * 20_000 + ">", "<" * 50_000, "<p " * 50_000, "<p a=\"" + "x" * 100_000):
+        H.parse(page)
+
+
+def test_training_pages_do_not_depend_on_files(spark):
+    rows = [(k, f"u{k}", f"<body>{NAV}<article>{BODY}<p>Number {k} of the pages</p></article>{FOOT}</body>") for k in range(60)]
+    models = []
+    for n in (1, 3, 7):
+        table = spark.createDataFrame(random.Random(n).sample(rows, 60), "page_id long, url string, html string").repartition(n)
+        models.append(H.train(table, most=20))
+    assert all((m.weights == models[0].weights).all() and m.pairs == models[0].pairs for m in models)
+
