@@ -62,7 +62,7 @@ def test_state_follows_versions(spark, run):
 def test_batches_leave_no_intermediate_tables(spark, run):
     run([[version("a.md", "# One", 1)]])
     left = glob.glob(tables.shared_dir(spark) + "/corpus_catalog/*")
-    assert not [p for p in left if any(f"/{n}-" in p for n in ("touched", "newest", "known", "judged", "arrived", "documented"))]
+    assert not [p for p in left if any(f"/{n}-" in p for n in ("newest", "known", "to-judge", "judged", "fresh", "documented"))]
 
 
 def test_unchanged_content_is_a_hit(spark, run):
