@@ -359,10 +359,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         found = scanned.filter(F.size("found") > 0).select("doc_id", "text_key", F.explode("found").alias("d"))
         found = found.select("doc_id", "text_key", "d.*").distinct()
         ahead = Window.partitionBy("doc_id", "text_key").orderBy("start", F.desc("stop"), F.desc("priority"), "label")
+        earlier = Window.partitionBy("doc_id", "text_key").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
         covered = F.lit(False)
         for p in SCORE:  # by a higher priority, or by a longer one of the same
-            end = F.max(F.when(F.col("priority") >= p, F.col("stop"))).over(ahead)
-            covered |= ((F.col("priority") < p) & (end >= F.col("stop"))) | ((F.col("priority") == p) & (end > F.col("stop")))
+            stop = F.when(F.col("priority") >= p, F.col("stop"))
+            end = F.max(stop).over(ahead)
+            longer = (end > F.col("stop")) | F.coalesce(F.max(stop).over(earlier) >= F.col("stop"), F.lit(False))
+            covered |= ((F.col("priority") < p) & (end >= F.col("stop"))) | ((F.col("priority") == p) & longer)
         labels = work.keep(
             found.withColumn("covered", F.coalesce(covered, F.lit(False))).filter(~F.col("covered"))
             .groupBy("doc_id", "text_key")
