@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpus_catalog.llm import fill_middle as M, html_text as H, licenses as L, periodic_runs as P, queries as Q, url_rules as U
+from corpus_catalog.llm import fill_middle as M, html_text as H, licenses as L, periodic_runs as P, quality as QL, queries as Q, url_rules as U
 
 TEXTS = "doc_id long, text string, n long, runs int, output string, form string, id string"
 
@@ -415,3 +415,62 @@ def test_training_pages_do_not_depend_on_files(spark):
         models.append(H.train(table, most=20))
     assert all((m.weights == models[0].weights).all() and m.pairs == models[0].pairs for m in models)
 
+
+
+# --- robust estimate against plain numpy ------------------------------------------------
+
+
+def quantile(values, p):
+    return np.sort(values)[max(0, int(np.ceil(p * len(values))) - 1)]
+
+
+def plain_estimate(x):
+    """Mean and factor of one group by the same steps, on whole arrays."""
+    p = x.shape[1]
+    middle = np.array([quantile(x[:, i], 0.5) for i in range(p)])
+    widths = [
+        [(quantile(x[:, i], 0.75) - quantile(x[:, i], 0.25)) / 1.349 for i in range(p)],
+        [quantile(np.abs(x[:, i] - middle[i]), 0.5) / 0.6745 for i in range(p)],
+    ]
+    now = [(middle, np.diag(1 / np.maximum(w, QL.FLOOR))) for w in widths]
+    best = [(np.inf, None, None)] * 2
+    while True:
+        fell, following = False, []
+        for k, (m, w) in enumerate(now):
+            d = (((x - m) @ w.T) ** 2).sum(1)
+            core = x[d <= quantile(d, QL.CORE)]
+            mean, scatter = core.mean(0), np.cov(core.T, bias=True)
+            free = sum(scatter[i, i] * max(QL.CONSISTENT) > QL.FLOOR[i] ** 2 for i in range(p))
+            scatter = scatter * QL.CONSISTENT[free]
+            low = np.zeros((p, p))
+            for i in range(p):
+                for j in range(i + 1):
+                    rest = scatter[i, j] - low[i, :j] @ low[j, :j]
+                    low[i, j] = np.sqrt(max(rest, QL.FLOOR[i] ** 2)) if i == j else rest / low[j, j]
+            det = 2 * np.log(np.diag(low)).sum()
+            fell |= best[k][0] - det > QL.FALL
+            best[k] = min(best[k], (det, mean, np.linalg.inv(low)), key=lambda b: b[0])
+            following.append((mean, np.linalg.inv(low)))
+        now = following
+        if not fell:
+            return min(best, key=lambda b: b[0])
+
+
+def test_robust_distances_equal_plain_numpy(spark):
+    """Correlated rows, a third of them junk, ties and repeated rows; a statistic without scatter."""
+    r = np.random.default_rng(3)
+    n, p = 500, len(QL.STATS)
+    x = r.normal(size=(n, p)) @ np.diag([0.3, 0.5, 0.4, 0.6, 0.5])
+    x[:, 1] += 0.5 * x[:, 0]
+    x[:160] += [0, 7, 0, 6, 0]
+    x[:, 2] = 0.0
+    x[200:230] = x[200]
+    x[300:340, 4] = 0.25
+    rows = spark.createDataFrame([("en", "s", i, *map(float, v)) for i, v in enumerate(x)], "lang string, source string, i long, " + ", ".join(f"{s} double" for s in QL.STATS))
+    with QL.Work(spark, "test") as work:
+        found = {row.i: row.distance for row in QL.outliers(work, rows).collect()}
+    _, m, w = plain_estimate(x)
+    want = (((x - m) @ w.T) ** 2).sum(1)
+    assert np.allclose([found[i] for i in range(n)], want, rtol=1e-6, atol=1e-9)
+    assert (want[:160] > QL.LIMIT).all() and (want[160:] < QL.LIMIT).mean() > 0.98
+    assert len({found[i] for i in range(200, 230)}) == 1
