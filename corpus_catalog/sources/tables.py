@@ -11,7 +11,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from corpus_catalog import config as C
 from corpus_catalog.schemas import CACHE
 
 _local_dirs: dict[str, str] = {}
@@ -94,11 +93,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def small(df: DataFrame, rows: int, limit: int = C.BROADCAST_ROWS) -> DataFrame:
-    """Mark a frame of ``rows`` counted rows for broadcast if that is few enough."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 # --- numbered snapshots ------------------------------------------------------
 
 
