@@ -406,8 +406,13 @@ def train(pages: DataFrame, html_col: str = "html", most: int = TRAIN_PAGES) ->
     """A model from at most ``most`` pages of up to 100,000 characters that mark their main text: those of the least hashes,
     whatever the files they come from."""
     marked = pages.select(F.col(html_col).cast("string").alias("h")).filter(F.col("h").rlike("(?i)<article[ >]"))
-    marked = marked.filter(F.length("h") < 100_000).distinct()
-    return fit([r["h"] for r in marked.orderBy(F.xxhash64("h"), "h").limit(most).collect()])
+    marked = marked.filter(F.length("h") < 100_000).select("h", F.xxhash64("h").alias("k"))
+    # Hashes first, then the pages that have one of the least; copies of a page are one in every task.
+    least = [r["k"] for r in marked.select("k").distinct().orderBy("k").limit(most).collect()]
+    if not least:
+        return fit([])
+    chosen = marked.filter(F.col("k") <= least[-1]).groupBy("k").agg(F.min("h").alias("h"))
+    return fit([r["h"] for r in sorted(chosen.collect(), key=lambda r: r["k"])])
 
 
 def main_text(pages: DataFrame, model: Model, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
