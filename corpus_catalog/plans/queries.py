@@ -239,11 +239,11 @@ class Tables:
         day1, day2 = F.lit(FIRST_BUILD).cast("timestamp"), F.lit(SECOND_BUILD).cast("timestamp")
         kept = F.lit(False).alias("deleted")
         first = self.files1.select("repo", "path", "content", kept, day1.alias("ts"))
-        delta = D.diff(self.hashes1, self.hashes2)
-        new = delta.filter(F.col("new_path").isNotNull())
-        written = self.files2.join(
-            new.select("repo", F.col("new_path").alias("path")), ["repo", "path"], "left_semi"
-        ).select("repo", "path", "content", kept, day2.alias("ts"))
+        delta = materialize(D.diff(self.hashes1, self.hashes2), "changes")
+        new = delta.filter(F.col("new_path").isNotNull()).select("repo", F.col("new_path").alias("path"))
+        # Found where they lie, then compared exactly: contents of unchanged files are not shuffled.
+        near = B.contents_of(self.files2, new, new.count())
+        written = near.join(new, ["repo", "path"], "left_semi").select("repo", "path", "content", kept, day2.alias("ts"))
         gone = delta.filter(F.col("kind").isin("deleted", "renamed"))
         removed = gone.select(
             "repo",
@@ -252,7 +252,7 @@ class Tables:
             F.lit(True).alias("deleted"),
             day2.alias("ts"),
         )
-        second = written.unionByName(removed)
+        second = materialize(written.unionByName(removed), "versions")
         return [first, second, first.unionByName(second)]
 
     def settings(self) -> list[DataFrame]:
@@ -281,7 +281,7 @@ class Tables:
             rows(now, W.TRACKED, path, F.lit(None)),
             rows(before.join(now, ["repo", "path"], "left_anti"), W.TRACKED, path, F.lit(None), deleted=True),
         ]
-        second = DOC.union_lines(second)
+        second = materialize(DOC.union_lines(second), "settings")
         return [first, second, first.unionByName(second)]
 
     def stream_to_table(self, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -233,3 +233,43 @@ def test_return_to_older_content_is_a_new_version(spark, tmp_path):
     W.run_available(stream, sink, str(tmp_path / "checkpoint"))
     got = [r.ts.day for r in spark.read.parquet(sink).orderBy("ts").collect()]
     assert got == [1, 2, 3]
+
+
+def test_a_batch_is_read_twice_at_most(spark, tmp_path):
+    """Once for keys, hashes and settings together, and once for the contents that are to be summarised."""
+    read = spark.sparkContext.accumulator(0)
+    files = [(r, W.FILE, p, c, d, t) for r, p, c, d, t in FIRST]
+    both = spark.sparkContext.parallelize([*files, setting(W.RULES, "*.tmp", 1)])
+    batch = spark.createDataFrame(both.map(lambda row: (read.add(1), row)[1]), SETTING_VERSIONS)
+    watch = W.Watch(tables.new_path(spark, "watch"))
+    watch.process(batch, 0)
+    assert {r.path for r in watch.files(spark).collect()} == {"a.md", "lib/x.py", "sub/s.md", "own/o.md"}
+    assert read.value <= 2 * (len(FIRST) + 1)
+
+
+def test_contents_are_not_shuffled(spark, tmp_path):
+    """However long the list of missing versions is; other versions of its paths are left out."""
+    landed = [version("a.md", "# One", 1), version("a.md", "# Two", 2), version("a.md", "# Two", 3), version("b.md", "# B", 1)]
+    spark.createDataFrame(landed, FILE_VERSIONS).write.parquet(f"{tmp_path}/landed")
+    files = spark.read.schema(FILE_VERSIONS).parquet(f"{tmp_path}/landed")
+    missing = tables.materialize(W.version_keys(files).filter("day(ts) = 2").select("repo", "path", "source_hash"), "missing")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for rows in (9, 0):  # also if the list is too long to be broadcast
+            found = W.Watch("unused", broadcast_rows=rows)._summaries(files, missing)
+            plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+            moved = [part for part in plan.split("\n\n") if part.split("\n")[0].endswith((") Exchange", ") Sort"))]
+            assert moved and not [part for part in moved if "content#" in part]
+            assert [(r.path, r.summary.summary) for r in found.collect()] == [("a.md", "Documentation: Two")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_arrivals_after_the_first_are_stored(spark):
+    """The third arrival repeats the second, which is found and written once."""
+    from corpus_catalog.plans import queries
+
+    t = queries.Tables(spark, "/root/testdata/sf0.001")
+    for later in (t.versions()[1], t.settings()[1]):
+        assert "Exchange" not in later._jdf.queryExecution().executedPlan().toString()
