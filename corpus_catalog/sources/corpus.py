@@ -213,19 +213,26 @@ def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_trees(files: DataFrame, folder: str) -> None:
-    """Files ``(repo, path, content, link)`` below a folder that every executor can reach; a link if that is set."""
+def _write(folder: str):
+    """Writes rows one at a time, so that no second copy of a batch's contents is made."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for repo, path, content, link in zip(*(c.to_pylist() for c in batch.columns)):
-                target = os.path.join(folder, repo, path)
+            for row in range(batch.num_rows):
+                repo, path, content, link = (column[row] for column in batch.columns)
+                target = os.path.join(folder, repo.as_py(), path.as_py())
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                if link is None:
+                if not link.is_valid:
                     with open(target, "wb") as f:
-                        f.write(content)
+                        f.write(content.as_buffer())
                 elif not os.path.islink(target):  # else written by a lost attempt
-                    os.symlink(link, target)
+                    os.symlink(link.as_py(), target)
             yield batch.select([0])
 
-    files.select("repo", "path", "content", "link").mapInArrow(write, "repo string").write.format("noop").mode("overwrite").save()
+    return run
+
+
+def write_trees(files: DataFrame, folder: str) -> None:
+    """Files ``(repo, path, content, link)`` below a folder that every executor can reach; a link if that is set."""
+    written = files.select("repo", "path", "content", "link").mapInArrow(_write(folder), "repo string")
+    written.write.format("noop").mode("overwrite").save()

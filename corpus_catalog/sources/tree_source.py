@@ -43,8 +43,8 @@ _LISTING_ARROW = to_arrow_schema(LISTING)
 _FILES_ARROW = to_arrow_schema(FILES)
 _SKIPPED = ".git"  # version-control data; a pointer file of this name is kept
 _TASK_BYTES = 128 << 20
-_BATCH_BYTES = 32 << 20
-_PIECE_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
+_PIECE_BYTES = 1 << 20
 _PATH_BYTES = 1024  # a longer path is opened in steps, since systems limit its length
 #: Directories that a task lists in the first round, and at most in a later one.
 FIRST_SHARE, LARGEST_SHARE = 64, 16_384

@@ -604,6 +604,34 @@ def test_files_too_large_to_hold(spark, tmp_path):
     assert rows["blob"][0] == "binary_file" and rows["small.py"][0] is None
 
 
+def test_trees_are_copied_in_small_pieces(tmp_path):
+    """A task holds a few files at a time, however many it writes or reads."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpus_catalog.sources import corpus, tree_source
+
+    n, content = 48, bytes(range(256)) * 4096  # 1 MiB
+    places = [f"r/d{i}/f" for i in range(n)]
+    columns = {"repo": ["r"] * n, "path": [p[2:] for p in places], "content": [content] * n, "link": pa.array([None] * n, pa.string())}
+    given = pa.RecordBatch.from_pydict(columns)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in corpus._write(str(tmp_path))(iter([given]))) == n
+        listed = pa.RecordBatch.from_pydict({"place": places})
+        sizes, found = [], {}
+        for batch in tree_source._contents(str(tmp_path), None, C.HOLD_BYTES)(iter([listed])):
+            sizes.append(batch.nbytes)
+            found |= dict.fromkeys(batch["path"].to_pylist(), batch["content"][0].as_py() == content)
+            del batch
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == dict.fromkeys(columns["path"], True)
+    assert max(sizes) < 8 << 20 and peak < 24 << 20
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
 def test_lines_counted_in_pieces(size):
     from corpus_catalog.sources.tree_source import _Lines
